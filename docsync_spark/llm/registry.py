@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docsync_spark.llm import topk
+from docsync_spark.llm import simhash, substring, topk
 
-MODULES = (topk,)
+MODULES = (topk, substring, simhash)
 
 
 def queries() -> dict:
