@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docsync_spark.llm import simhash, substring, topk
+from docsync_spark.llm import bpe, mixing, pii, quality, simhash, substring, topk, toxicity
 
-MODULES = (topk, substring, simhash)
+MODULES = (topk, bpe, pii, substring, quality, mixing, simhash, toxicity)
 
 
 def queries() -> dict:
