@@ -121,6 +121,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return whole.join(goals, "sid").select("doc_id", *keep, "size", "source", "source_size", "target", "taken")
 
 
+def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of docs as often as the mix takes them: whole texts, taken / size times, rounded half up.
+
+    Empty texts hold no words and are not taken. Repeated rows are taken each on its own.
+    """
+    keys = ["__row1", "__row2"]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *docs.columns) for k in keys})
+    found = mix(keyed, id_col, text_col, source_col, keep=tuple(keys)).filter("size > 0")
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    turn = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    found = found.select(*keys, copies.alias("__copies")).withColumn("__turn", turn(F.desc("__copies")))
+    joined = keyed.withColumn("__turn", turn(F.lit(0))).join(found.filter("__copies > 0"), [*keys, "__turn"])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     found = mix(table(spark, sf_dir, "documents"))
