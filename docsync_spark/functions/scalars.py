@@ -129,7 +129,7 @@ def path_is_contained(segments: Column) -> Column:
 def format_size(n: Column) -> Column:
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(UNITS, 1):
-        text = F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.1f", F.bround(n / float(1024**i), 1)), F.lit(f" {unit}"))
         out = out.when(n < 1024 ** (i + 1), text) if unit != "GB" else out.otherwise(text)
     return out
 
@@ -140,7 +140,7 @@ def humanize_duration(seconds: Column) -> Column:
     two = lambda big, small, a, b: F.concat(F.floor(big).cast("string"), F.lit(f"{a} "), F.floor(small).cast("string"), F.lit(b))
     return (
         F.when(seconds.isNull(), None)
-        .when(total < 10, F.concat(F.format_string("%.1f", total), F.lit("s")))
+        .when(total < 10, F.concat(F.format_string("%.1f", F.bround(total, 1)), F.lit("s")))
         .when(n < 60, F.concat(n.cast("string"), F.lit("s")))
         .when(n < 3600, two(n / 60, n % 60, "m", "s"))
         .when(n < 86400, two(n / 3600, n % 3600 / 60, "h", "m"))

@@ -438,9 +438,9 @@ def _(t):
     return memo.prune_cache(t.b_cache, 90, F.lit(300)).select("doc_id", "size")
 
 
-@query("h03_apply_memoized", f"SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN '' WHEN hit THEN 'done' ELSE upper(substr(text, 1, 5)) END AS result, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'blank' WHEN hit THEN 'cache' ELSE 'computed' END AS source FROM ({_HIT}) JOIN documents USING (doc_id)")
+@query("h03_apply_memoized", f"SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN '' WHEN hit THEN 'done' ELSE '<' || substr(text, 1, 5) END AS result, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'blank' WHEN hit THEN 'cache' ELSE 'computed' END AS source FROM ({_HIT}) JOIN documents USING (doc_id)")
 def _(t):
-    out = memo.apply_memoized(t.documents.select("doc_id", "text"), F.lit("fp1"), lambda text: text[:5].upper(), _cache(t), lambda new: new)
+    out = memo.apply_memoized(t.documents.select("doc_id", "text"), F.lit("fp1"), lambda text: "<" + text[:5], _cache(t), lambda new: new)
     return out.select("doc_id", "result", "source")
 
 
