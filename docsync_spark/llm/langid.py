@@ -89,7 +89,7 @@ class Scorer:
         return np.maximum(total - total.max(), FLOOR)
 
 
-def train(labelled: DataFrame, fit_rows: int = 8000, fit_chars: int = 50_000) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, fit_rows: int = 8000, fit_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Languages and their trigrams, from (doc_id, text, lang)."""
     usable = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit_chars))
     picked = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(fit_rows)
@@ -103,7 +103,7 @@ def train(labelled: DataFrame, fit_rows: int = 8000, fit_chars: int = 50_000) ->
             rows = rows[rows["lang"].isin(languages)]
             yield pd.DataFrame({"languages": [languages], "logs": [fit(rows["text"].tolist(), rows["lang"].tolist(), languages).ravel()]})
 
-    model = sample.coalesce(1).mapInPandas(learn, "languages array<string>, logs array<float>").first()
+    model = sample.repartition(1).mapInPandas(learn, "languages array<string>, logs array<float>").first()
     if model is None:
         return ["und"], np.zeros((SLOTS, 1))
     return list(model["languages"]), np.array(model["logs"]).reshape(SLOTS, -1)

@@ -122,7 +122,7 @@ class Scorer:
         return float(-np.expm1(-held)), worst
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: int = 50_000) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: int = 20_000) -> DataFrame:
     """One row (bias, at array<int>, weights array<double>): the model, of the weights that are not zero.
 
     Learns from rows of labels with toxic 0 or 1 whose crc32(doc_id) mod 5 is not 0. Of several
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: i
         at = np.flatnonzero(weights)
         yield pd.DataFrame({"bias": [bias], "at": [at.astype(np.int32)], "weights": [weights[at]]})
 
-    return sample.coalesce(1).mapInPandas(learn, "bias double, at array<int>, weights array<double>")
+    return sample.repartition(1).mapInPandas(learn, "bias double, at array<int>, weights array<double>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
