@@ -2,8 +2,8 @@
 
 Two neighbouring byte symbols that never stand side by side inside any token of the vocabulary can
 not be merged by whatever rule, so each such pair marks a certain cut. Words are split at
-those cuts, the fragments are merged independently, and their ids are concatenated. Whole
-whitespace-separated chunks are remembered per task in a bounded table. The vocabulary file is
+those cuts, the fragments are merged independently, and their ids are concatenated. Words and
+whitespace-separated chunks are remembered in bounded tables, for as long as a Python worker lives. The vocabulary file is
 read on the driver and travels with the function (about 2 MB, whatever the data).
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
+import types
 import unicodedata
 
 import numpy as np
@@ -22,8 +24,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from docsync_spark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN_CHUNKS = 1 << 18
+KNOWN_CHUNKS = 1 << 19
 LONG_CHUNK = 256
+SHORT_FRAGMENT = 24
+NO_RANK = 1 << 40
 #: The bytes that byte-level vocabularies write as themselves; the others follow from code point 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -55,6 +59,7 @@ class Coder:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.joined = self._neighbours()
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.words: dict[str, list[str]] = {}
 
     def _symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end)
@@ -81,6 +86,8 @@ class Coder:
         n = len(symbols)
         if n < 2:
             return symbols
+        if n <= SHORT_FRAGMENT:
+            return self._merge_short(symbols)
         symbols = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := self.ranks.get((a, b))) is not None]
@@ -99,10 +106,43 @@ class Coder:
                     heapq.heappush(heap, (r, left, symbols[left], symbols[right]))
         return [s for s in symbols if s]
 
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """The same with a plain scan for the lowest rank; a token's own merges come after those that make it."""
+        ranks = self.ranks
+        while len(symbols) > 1:
+            found = [ranks.get(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
+            best = min(found)
+            if best == NO_RANK:
+                break
+            out, i, n = [], 0, len(found)
+            while i < n:
+                if found[i] == best:
+                    out.append(symbols[i] + symbols[i + 1])
+                    i += 2
+                else:
+                    out.append(symbols[i])
+                    i += 1
+            if i == n:
+                out.append(symbols[n])
+            symbols = out
+        return symbols
+
+    def tokens_of(self, word: str) -> list[str]:
+        """The tokens of one word of the text, remembered."""
+        found = self.words.get(word)
+        if found is None:
+            found = [t for f in self.fragments(word) for t in self.merge(f) if t in self.vocab]
+            if len(word) <= LONG_CHUNK:
+                if len(self.words) >= KNOWN_CHUNKS:
+                    self.words.clear()
+                self.words[word] = found
+        return found
+
     def chunk(self, chunk: str) -> tuple[str, str, int]:
         """Of a text without white space: ids joined by one space, tokens likewise, how many."""
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        found = [t for word in self.word.findall(text) for f in self.fragments(word) for t in self.merge(f) if t in self.vocab]
+        text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        words = [text] if text.isascii() and text.isalpha() else self.word.findall(text)
+        found = [t for word in words for t in self.tokens_of(word)]
         return " ".join(str(self.vocab[t]) for t in found), " ".join(found), len(found)
 
     def plain(self, text: str) -> list[tuple[str, str, int]]:
@@ -140,6 +180,15 @@ class Coder:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
+def coder_of(spec: str) -> Coder:
+    """The task's coder. A Python worker that runs several tasks keeps it, with the chunks that it knows."""
+    memory = sys.modules.setdefault("_docsync_worker_memory", types.ModuleType("_docsync_worker_memory"))
+    key, held = getattr(memory, "coder", (None, None))
+    if key != spec:
+        key, held = memory.coder = spec, Coder(spec)
+    return held
+
+
 def vocabulary(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers
@@ -166,7 +215,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, out
         schema = schema.add(decoded, "string")
 
     def run(batches):
-        c = Coder(spec.value)
+        c = coder_of(spec.value)
         for batch in batches:
             done = [c.encode(_text(t)) for t in batch[text_col]]
             frame = batch[kept].copy()
@@ -185,7 +234,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, out:
     schema = rows.select(*kept).schema.add(out, "string")
 
     def run(batches):
-        c = Coder(spec.value)
+        c = coder_of(spec.value)
         for batch in batches:
             yield batch[kept].assign(**{out: [None if x is None else c.decode(map(int, x)) for x in batch[ids_col]]})
 
@@ -198,7 +247,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        c = Coder(spec.value)
+        c = coder_of(spec.value)
         for batch in batches:
             n, ids, texts = [], [], []
             for t in batch[text_col]:
