@@ -24,7 +24,7 @@ def read_blob_index(spark: SparkSession, path: str) -> DataFrame:
     The first line of a file is its schema version; lines of fewer than 5 parts are passed over; a
     size that is no whole number makes the whole document void. doc_id is the file's name.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(_stem(F.col("_metadata.file_path")).alias("doc_id"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("doc_id"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     parts = F.split("line", ":")
     rows = lines.filter("n > 0").select("doc_id", parts.alias("p")).filter(F.size("p") >= 5)
     rows = rows.select("doc_id", F.col("p")[0].alias("hash"), F.col("p")[1].alias("type"), F.col("p")[2].alias("id"), F.col("p")[3].try_cast("int").alias("subfiles"), F.col("p")[4].try_cast("long").alias("size"))
@@ -37,7 +37,7 @@ def read_listing(spark: SparkSession, path: str, flavor: str = "cloud", limit: i
     A file that is no JSON object costs its row alone; deleted items are dropped. 'ssh' takes lastModified,
     else the id, as hash; 'cloud' the JSON's own. ord is the order of ids; limit counts accepted items.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(_stem(F.col("_metadata.file_path")).alias("file_id"), F.try_parse_json("value").alias("j"))
+    raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("file_id"), F.try_parse_json("value").alias("j"))
     get = lambda key, kind="string": F.try_variant_get("j", f"$.{key}", kind)
     millis = get("lastModified").try_cast("long")
     id_ = F.coalesce(get("id"), F.col("file_id"))
