@@ -11,7 +11,8 @@ from docsync_spark.functions import scalars as S
 from docsync_spark.functions import text as T
 from docsync_spark.operators import hierarchy, memo, notes, pages, report, schedule, selection, state
 from docsync_spark.plans.bindings import Tables, with_bindings
-from docsync_spark.sources import files, sinks
+from docsync_spark.sources import files, scratch, sinks
+from docsync_spark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -735,6 +736,103 @@ def _(t):
 
 @query("i06_run_stats", f"SELECT CAST(date_trunc('day', started_at) AS TIMESTAMP) AS start, {_phrase} AS phrase, count(*) AS n FROM b_runs GROUP BY ALL")
 def _(t):
-    from docsync_spark.streaming.streams import stream_run_stats
+    return streams.stream_run_stats(t.b_runs).withColumn("start", c("start").cast("timestamp_ntz"))
 
-    return stream_run_stats(t.b_runs).withColumn("start", c("start").cast("timestamp_ntz"))
+
+# --- streams: every file of a table in one available-now run ----------------------------------------
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t._dir}/{name}.parquet*")
+
+
+def _drained(t: Tables, stream: DataFrame) -> DataFrame:
+    """All that an append stream gives, as a table in the shared folder."""
+    folder = scratch.scratch_folder(t.spark)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _snapshots(orders: DataFrame) -> DataFrame:
+    at = c("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=c("o_orderkey") / 1e6)
+    return orders.select(F.concat(F.lit("C"), c("o_custkey").cast("string")).alias("doc_id"), c("o_orderstatus").alias("version"), c("o_orderpriority").alias("recipe"), at.alias("ts"))
+
+
+@query("i05_stream_changes", """
+SELECT doc_id, version, recipe FROM (
+  SELECT 'C' || o_custkey AS doc_id, o_orderstatus AS version, o_orderpriority AS recipe, row_number() OVER w AS n, lag(o_orderstatus) OVER w AS v, lag(o_orderpriority) OVER w AS r
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE n = 1 OR v <> version OR r <> recipe""")
+def _(t):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _drained(t, streams.stream_changes(_snapshots(_stream(t, "orders"))))
+    finally:
+        t.spark.conf.set(key, before)
+
+
+@query("i07_distinct_snapshots", "SELECT DISTINCT 'C' || o_custkey AS doc_id, o_orderstatus AS version FROM orders")
+def _(t):
+    return _drained(t, streams.distinct_snapshots(_snapshots(_stream(t, "orders")).select("doc_id", "version", "ts"), "3650 days").select("doc_id", "version"))
+
+
+@query("i04_stream_sync", "SELECT 'C' || c_custkey AS doc_id, CASE WHEN c_custkey % 37 = 0 THEN 'failed' ELSE 'published' END AS status FROM customer WHERE c_custkey % 3 > 0")
+def _(t):
+    folder = scratch.scratch_folder(t.spark)
+    outcome = F.when(c("c_custkey") % 37 == 0, "failed").otherwise("published")
+    query = streams.stream_sync(
+        _stream(t, "customer"), f"{folder}/log", lambda batch: batch.filter("c_custkey % 3 > 0"),
+        lambda rows, n: rows.select(F.concat(F.lit("C"), c("c_custkey").cast("string")).alias("doc_id"), outcome.alias("status")),
+        lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"),
+    )
+    query.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("doc_id", "status")
+
+
+@query("a12_state_tables", "SELECT doc_id, destination, CASE WHEN run_id % 2 = 0 THEN 'v2' ELSE version END AS version FROM b_publications")
+def _(t):
+    tables = sinks.StateTables(t.spark, scratch.scratch_folder(t.spark))
+    tables.save("publications", t.b_publications)
+    new = t.b_publications.filter("run_id % 2 = 0").withColumn("version", F.lit("v2"))
+    tables.save("publications", state.upsert_publications(tables.load("publications"), new))
+    return tables.load("publications").select("doc_id", "destination", "version")
+
+
+@query("a03_delimited_documents", "SELECT 'C' || c_custkey AS id, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS file_type FROM customer")
+def _(t):
+    folder = scratch.scratch_folder(t.spark)
+    body = F.when(c("c_custkey") % 5 > 0, F.to_json(F.struct(c("c_mktsegment").alias("fileType")))).otherwise("{broken")
+    t.customer.select(F.concat(F.lit("C"), c("c_custkey").cast("string"), F.lit("\n"), body)).write.option("lineSep", "===FILE===").text(folder)
+    return files.file_types(files.read_delimited_documents(t.spark, folder))
+
+
+@query("a01_blob_index", "SELECT o_custkey AS doc, count(*) AS blobs, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_custkey")
+def _(t):
+    folder = scratch.scratch_folder(t.spark)
+    size = F.when(c("o_custkey") % 3 == 0, "bad").otherwise(c("o_orderkey").cast("string"))
+    line = F.concat_ws(":", F.lit("h"), F.lit("0"), c("o_orderkey").cast("string"), F.lit("0"), size)
+    index = t.orders.groupBy("o_custkey").agg(F.concat(F.lit("3\nshort:line\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    sinks.write_notes(index.select(F.concat(c("o_custkey").cast("string"), F.lit(".idx")).alias("path"), "text"), folder.removeprefix("file://").removeprefix("file:"))
+    found = files.read_blob_index(t.spark, folder)
+    return found.groupBy(c("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"))
+
+
+@query("a06_a09_notes", "SELECT conv_id AS doc_id, 'text' AS state, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def _(t):
+    folder = scratch.scratch_folder(t.spark).removeprefix("file://").removeprefix("file:")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    rows = t.conversations.groupBy("conv_id").agg(whole.alias("text"))
+    sinks.write_notes(rows.select(F.concat(F.lit("notes/"), c("conv_id").cast("string"), F.lit(".md")).alias("path"), "text"), folder)
+    found = files.read_notes(t.spark, folder)
+    return found.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("doc_id"), "state", "text")
+
+
+@query("a02_listing", "SELECT 'C' || c_custkey AS id, c_name AS name, CAST(c_custkey * 7 AS VARCHAR) AS hash, 'DocumentType' AS doc_type FROM customer WHERE c_custkey % 4 > 0")
+def _(t):
+    folder = scratch.scratch_folder(t.spark)
+    body = F.to_json(F.struct(c("c_name").alias("visibleName"), (c("c_custkey") * 7).cast("string").alias("hash"), (c("c_custkey") % 4 == 0).alias("deleted")))
+    path = F.concat(F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata"))
+    sinks.write_notes(t.customer.select(path.alias("path"), body.alias("text")), folder.removeprefix("file://").removeprefix("file:"))
+    return files.read_listing(t.spark, folder).select("id", "name", "hash", "doc_type")
