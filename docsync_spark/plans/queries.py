@@ -362,6 +362,12 @@ def _(t):
     return _overview(t)
 
 
+@query("flagship_status_by_folder", _WALK + f", {_OVERVIEW} SELECT array_to_string(parts, ' / ') AS folder, status, count(*) AS n FROM docs JOIN o USING (id) GROUP BY ALL")
+def _(t):
+    folders = hierarchy.with_folders(t.b_listing).select("id", S.folder_label(c("folder_parts")).alias("folder"))
+    return folders.join(_overview(t).select("id", "status"), "id").groupBy("folder", "status").agg(F.count("*").alias("n"))
+
+
 @query("d01_count_by_status", f"WITH {_OVERVIEW} SELECT s.status, count(o.id) AS n FROM (SELECT unnest(['failed', 'new', 'changed', 'up_to_date']) AS status) s LEFT JOIN o USING (status) GROUP BY s.status")
 def _(t):
     return report.count_by_status(_overview(t))
