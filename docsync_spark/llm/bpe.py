@@ -24,10 +24,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 from docsync_spark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN_CHUNKS = 1 << 19
+KNOWN_CHUNKS = 3 << 16
+KNOWN_WORDS = 3 << 17
 LONG_CHUNK = 256
 SHORT_FRAGMENT = 24
 NO_RANK = 1 << 40
+#: Rows whose ids are held at once.
+ROWS = 256
 #: The bytes that byte-level vocabularies write as themselves; the others follow from code point 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -59,7 +62,7 @@ class Coder:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.joined = self._neighbours()
         self.known: dict[str, tuple[str, str, int]] = {}
-        self.words: dict[str, list[str]] = {}
+        self.words: dict[str, str] = {}
 
     def _symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end)
@@ -130,13 +133,14 @@ class Coder:
     def tokens_of(self, word: str) -> list[str]:
         """The tokens of one word of the text, remembered."""
         found = self.words.get(word)
-        if found is None:
-            found = [t for f in self.fragments(word) for t in self.merge(f) if t in self.vocab]
-            if len(word) <= LONG_CHUNK:
-                if len(self.words) >= KNOWN_CHUNKS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        if found is not None:
+            return found.split()
+        tokens = [t for f in self.fragments(word) for t in self.merge(f) if t in self.vocab]
+        if len(word) <= LONG_CHUNK:
+            if len(self.words) >= KNOWN_WORDS:
+                self.words.clear()
+            self.words[word] = " ".join(tokens)
+        return tokens
 
     def chunk(self, chunk: str) -> tuple[str, str, int]:
         """Of a text without white space: ids joined by one space, tokens likewise, how many."""
@@ -217,12 +221,17 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, out
     def run(batches):
         c = coder_of(spec.value)
         for batch in batches:
-            done = [c.encode(_text(t)) for t in batch[text_col]]
-            frame = batch[kept].copy()
-            frame[out] = [np.array(i.split(), np.int32) for i, _, _ in done]
-            if decoded:
-                frame[decoded] = [d for _, d, _ in done]
-            yield frame
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                frame, ids, texts = part[kept].copy(), [], []
+                for t in part[text_col]:
+                    i, d, _ = c.encode(_text(t))
+                    ids.append(np.array(i.split(), np.int32))
+                    texts.append(d if decoded else None)
+                frame[out] = ids
+                if decoded:
+                    frame[decoded] = texts
+                yield frame
 
     return docs.mapInPandas(run, schema)
 

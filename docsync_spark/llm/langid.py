@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import materialize, table
+from docsync_spark.llm.common import materialize, table, thinned
 from docsync_spark.llm.urlfilter import parts
 
 SLOTS = 1 << 15
@@ -92,8 +92,9 @@ class Scorer:
 def train(labelled: DataFrame, fit_rows: int = 8000, fit_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Languages and their trigrams, from (doc_id, text, lang)."""
     usable = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit_chars))
-    picked = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(fit_rows)
-    sample = usable.join(F.broadcast(picked.select("doc_id")), "doc_id").select("text", "lang")
+    ids = thinned(usable.select("doc_id"), ["doc_id"], fit_rows, labelled.count())
+    picked = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = usable.join(F.broadcast(picked), "doc_id").select("text", "lang")
 
     def learn(batches):
         frames = [b for b in batches if len(b)]

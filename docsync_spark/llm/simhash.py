@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import checkpoint, materialize, steps, table, utf8
+from docsync_spark.llm.common import materialize, steps, table, thinned, utf8
 
 SEED = 42
 #: Bound of the fingerprints from which the driver builds the dealing tree.
@@ -168,7 +168,7 @@ def links(fps: DataFrame, radius: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFr
     """Links (a, b) between distinct fingerprints, a > b, that connect all within the radius."""
     n = fps.count()
     leaves = -(-n // leaf_rows)
-    sample = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).select("fp").collect()] if leaves > 1 else []
+    sample = sorted(r[0] for r in thinned(fps, ["fp"], TREE_SAMPLE, n).limit(2 * TREE_SAMPLE).collect()) if leaves > 1 else []
     tree = grow(np.array(sample, np.int64).view(np.uint64), leaves, radius)
 
     def deal(batches):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import table
+from docsync_spark.llm.common import table, thinned
 
 FEATURES = 1 << 18
 KNOWN_WORDS = 1 << 19
@@ -131,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: i
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= fit_chars))
-    order = F.xxhash64("doc_id")
-    picked = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(fit_rows) for y in (0, 1)]
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = [thinned(known.filter(F.col("y") == y), ["doc_id"], fit_rows, counts.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "y")
 
     def learn(batches):
