@@ -12,6 +12,8 @@ from docsync_spark.plans import queries
 
 FOLDER = "/root/testdata/sf0.001"
 PYTHON = {"h06_h07_blocks_round_trip", "d14_block_stats", "h03_apply_memoized", "h04_block_diff", "h05_parse_segments", "h04_merge_notes", "e02_claim_names", "a07_html_to_text", "a06_a09_notes"}
+#: Without rows on so small a table.
+NONE_HERE = {"c11_page_drift", "g05_prune_cache", "i02_catch_up"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +39,7 @@ def test_query(spark, duck, name):
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert name in PYTHON or "Python" not in plan and "Pandas" not in plan
-    assert got
+    assert got or name in NONE_HERE
     if name in queries.SQL:
         out = duck.execute(queries.SQL[name])
         columns = [d[0] for d in out.description]
