@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from docsync_spark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN_CHUNKS = 3 << 16
+KNOWN_CHUNKS = 3 << 15
 KNOWN_WORDS = 3 << 17
 LONG_CHUNK = 256
 SHORT_FRAGMENT = 24
