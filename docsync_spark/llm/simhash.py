@@ -243,15 +243,15 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id.
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
+    """The rows of docs that stay: of each component, as find has them, the one with the smallest id.
 
     Of several rows with that id, which one stays is settled by their other columns' hash.
     Components of null ids alone keep one row.
     """
     keys = ["__row1", "__row2"]
     keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *docs.columns) for k in keys})
-    found = near_duplicates(keyed.select(id_col, text_col, *keys), id_col, text_col, keep=tuple(keys))
+    found = find(keyed.select(id_col, text_col, *keys), id_col, text_col, keep=tuple(keys))
     first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     row = F.struct(*keys)
     group = F.when(F.col(id_col).isNull(), F.col("fp"))
