@@ -38,6 +38,12 @@ KINDS = {
     "phone": r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-]?)\d{3}[ .-]?\d{4}(?![\w-])",
 }
 ANY = "|".join(KINDS.values())
+#: Cards in their usual shapes; and maximal runs of groups, in which an IBAN or a card may stand beside other numbers.
+CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?![\w-])"
+CARD_CHAIN = r"(?<![\w.-])(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++(?!\w|-(?!\d)))*+(?![\w-])"
+IBAN_CHAIN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]*+(?: [A-Z0-9]++(?![A-Za-z0-9]))*+(?![A-Za-z0-9])"
+#: Characters of an IBAN by country; others may have any length.
+IBAN_LENGTHS = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT LY", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for c in cs.split()}
 
 
 def _round(key: str, kind: str, i: Column, half: Column, size: Column) -> Column:
@@ -189,36 +195,109 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@private.invalid"))
 
 
-def _replacement(m: Column, key: str) -> Column:
-    """The pseudonym of a match; null where it is not valid. The kinds are tried in the order of KINDS."""
-    made = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+def _segment(s: Column, n: int) -> Column:
+    """A part of a text: n is 0 while open, 1 for a pseudonym, 2 for what stays as it is."""
+    return F.struct(s.alias("s"), F.lit(n).alias("n"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<s:string,n:int>>")
+
+
+def _replacement(m: Column, key: str, kinds: tuple[str, ...], invalid: int = 0) -> Column:
+    """The pseudonym of a match of the kinds as one segment, or the match itself where it is not valid, then with n invalid."""
+    made = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
     shape = {
-        "email": m.contains("@"), "iban": m.rlike("^[A-Z]"), "ip": m.rlike("^\\d+\\.\\d+\\.\\d+\\.\\d+$"), "date": m.rlike("^(\\d{4}-\\d\\d-\\d\\d|\\d\\d[./]\\d\\d[./]\\d{4})$"),
+        "email": m.contains("@"), "ip": m.rlike("^\\d+\\.\\d+\\.\\d+\\.\\d+$"), "date": m.rlike("^(\\d{4}-\\d\\d-\\d\\d|\\d\\d[./]\\d\\d[./]\\d{4})$"),
         "ssn": m.rlike("^\\d{3}-\\d\\d-\\d{4}$"), "card": F.length(_digits(m)) > 11, "phone": F.lit(True),
     }
     out = None
-    for kind in KINDS:
+    for kind in kinds:
         out = F.when(shape[kind], made[kind](m, key)) if out is None else out.when(shape[kind], made[kind](m, key))
-    return out
+    return let(out, lambda new: F.array(F.when(new.isNotNull(), _segment(new, 1)).otherwise(_segment(m, invalid))))
+
+
+def _runs(chain: Column, most: int, starts, fits, new) -> Column:
+    """Segments of a chain of groups: from the left, at each group the run of whole groups that new() accepts.
+
+    Of several, the first in the order of fits, a number for each run (null: none), ties to the longer.
+    """
+
+    def scan(groups: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            group = F.get(groups, i)
+
+            def best() -> Column:
+                runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - i)), lambda k: F.struct(k.alias("k"), F.rtrim(F.array_join(F.slice(groups, i + 1, k), "")).alias("r")))
+                runs = F.transform(runs, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(x["r"], "-$", "").alias("r")))
+                good = F.filter(F.transform(runs, lambda x: F.struct(fits(x["r"]).alias("f"), (-x["k"]).alias("k"), x["r"].alias("r"))), lambda x: x["f"].isNotNull())
+                made = F.transform(F.array_sort(good), lambda x: F.struct(x["k"], x["r"], new(x["r"]).alias("new")))
+                return F.get(F.filter(made, lambda x: x["new"].isNotNull()), F.lit(0))
+
+            def added(x: Column) -> Column:
+                end = F.substring(F.get(groups, i - x["k"] - 1), -1, 1)
+                gap = F.when(end.isin(" ", "-"), end).otherwise("")
+                took = F.struct((i - x["k"]).alias("next"), F.concat(state["out"], F.array(_segment(x["new"], 1), _segment(gap, 0))).alias("out"))
+                left = F.struct((i + 1).alias("next"), F.concat(state["out"], F.array(_segment(group, 0))).alias("out"))
+                return F.when(x.isNotNull(), took).otherwise(left)
+
+            return F.when(i < state["next"], state).otherwise(let(F.when(starts(group), best()), added))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(0).alias("next"), _none().alias("out")), step)["out"]
+
+    return let(F.regexp_extract_all(chain, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), scan)
 
 
-def pseudonymized(text: Column, key: str = KEY) -> Column:
-    """(text, n): the text with pseudonyms for personal data, and how many were put in."""
+def _cards(chain: Column, key: str) -> Column:
+    return _runs(chain, 19, lambda g: F.lit(True), lambda r: F.when(F.length(_digits(r)).between(13, 19), 0), lambda r: _card(r, key))
 
-    def joined(parts: Column, found: Column, new: Column) -> Column:
-        whole = F.concat(F.array_join(F.zip_with(parts, F.zip_with(new, found, lambda n, f: F.coalesce(n, f)), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), ""))
-        return F.struct(whole.alias("text"), F.size(F.filter(new, lambda x: x.isNotNull())).cast("long").alias("n"))
 
-    some = let(
-        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
-        lambda found: let(
-            F.transform(found, lambda m: _replacement(m, key)),
-            lambda new: let(F.split(text, ANY, -1), lambda parts: joined(parts, found, new)),
-        ),
-    )
-    none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
-    # most texts have neither digit nor @ and end at the first test
-    return F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)) & F.coalesce(text.rlike(ANY), F.lit(False)), some).otherwise(none)
+def _ibans(chain: Column, key: str) -> Column:
+    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+
+    def fits(r: Column) -> Column:
+        own = F.length(F.replace(r, F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substring(r, 1, 2))
+        return F.when(r.rlike(f"^{KINDS['iban']}$"), F.when(own, 0).otherwise(1))
+
+    return _runs(chain, 35, lambda g: g.rlike("^[A-Z]{2}\\d{2}"), fits, lambda r: _iban(r, key))
+
+
+def _swept(segments: Column, pattern: str, new) -> Column:
+    """Segments (s, n) after the open ones (n = 0) have had their matches replaced by new(match), an array of segments.
+
+    What new() leaves open is joined with the text beside it, so that a later sweep sees it in its place.
+    """
+
+    def put(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        join = (F.size(out) > 0) & (last["n"] == 0) & (x["n"] == 0)
+        return F.when(join, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(_segment(F.concat(last["s"], x["s"]), 0)))).otherwise(F.concat(out, F.array(x)))
+
+    def swept(s: Column) -> Column:
+        def mixed(found: Column, parts: Column) -> Column:
+            pieces = F.flatten(F.zip_with(parts, found, lambda p, f: F.concat(F.array(_segment(p, 0)), F.when(f.isNotNull(), new(f)).otherwise(_none()))))
+            return F.aggregate(pieces, _none(), put)
+
+        return let(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), lambda found: let(F.split(s, pattern, -1), lambda parts: mixed(found, parts)))
+
+    return F.flatten(F.transform(segments, lambda x: F.when((x["n"] == 0) & x["s"].rlike(pattern), swept(x["s"])).otherwise(F.array(x))))
+
+
+def _sweeps(key: str) -> list[tuple]:
+    """(pattern, new) of each sweep: kinds of a firm shape go first, each on what the ones before left.
+
+    E-mail and IBANs, then IP addresses, dates and SSNs, cards in their usual shapes, cards in any run
+    of whole groups, phones. What has the shape of a date or an SSN is no part of a card, valid or not.
+    """
+    firm = ("ip", "date", "ssn")
+    return [
+        (KINDS["email"], lambda m: _replacement(m, key, ("email",))),
+        (IBAN_CHAIN, lambda m: _ibans(m, key)),
+        ("|".join(KINDS[k] for k in firm), lambda m: _replacement(m, key, firm, 2)),
+        (CARD, lambda m: _replacement(m, key, ("card",))),
+        (CARD_CHAIN, lambda m: _cards(m, key)),
+        (KINDS["phone"], lambda m: _replacement(m, key, ("phone",))),
+    ]
 
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = "n_private") -> DataFrame:
@@ -228,9 +307,17 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, count_
     other columns stay; a column named count_col is replaced. ``key`` is a secret: who has it
     can undo all kinds but email.
     """
-    out = docs.withColumn("__new", pseudonymized(F.col(text_col), key)).withColumn(text_col, F.col("__new")["text"])
+    text = F.col(text_col)
+    sweeps = _sweeps(key)
+    # most texts have neither digit nor @ and end at the first test; their segments are null
+    seen = text.rlike("[0-9@]") & text.rlike("|".join(p for p, _ in sweeps))
+    out = docs.withColumn("__new", F.when(seen, F.array(_segment(text, 0))))
+    for pattern, new in sweeps:  # a column each: nested in one expression they exceed the analyzer's iterations
+        out = out.withColumn("__new", _swept(F.col("__new"), pattern, new))
+    total = F.aggregate("__new", F.lit(0).cast("long"), lambda n, x: n + (x["n"] == 1).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col("__new").isNull(), text).otherwise(F.array_join(F.col("__new")["s"], "")))
     if count_col:
-        out = out.withColumn(count_col, F.col("__new")["n"])
+        out = out.withColumn(count_col, F.coalesce(total, F.lit(0).cast("long")))
     return out.drop("__new")
 
 
