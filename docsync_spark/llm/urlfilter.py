@@ -2,9 +2,9 @@
 
 A block list is a log of dated entries: a pattern was added or removed on a day. Per pattern the
 entries become validity intervals, from each addition to the next removal. A capture is judged by
-the entries that were active when it was fetched: its URL yields a bounded number of candidate
-patterns (the host and its parent domains, the site's path prefixes), these are joined to the
-intervals by pattern, and the as-of condition keeps those whose interval holds the fetch time. Only
+the entries that were active when it was fetched: its URL yields candidate patterns (the host and
+its parent domains, each alone and with the path's prefixes) of every depth that the list has,
+these are joined to the intervals by pattern, and the as-of condition keeps those whose interval holds the fetch time. Only
 DataFrame functions are used.
 """
 
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from docsync_spark.llm.common import let, table
 
-MOST_LABELS = 6
-MOST_SEGMENTS = 3
-
 
 def parts(url: Column) -> Column:
     """(host, path) of a URL in lower case host, without user, port, query and fragment; null where there is no host."""
@@ -28,21 +25,30 @@ def parts(url: Column) -> Column:
     return F.when(host != "", F.struct(host.alias("host"), path.alias("path")))
 
 
-def patterns(url: Column) -> Column:
-    """The patterns that a URL falls under: its last 1 to MOST_LABELS labels joined, its host, and host/first segments."""
+def patterns(url: Column, depths: Column) -> Column:
+    """The patterns that a URL falls under: of its host and each parent domain, alone (0) and with the path's first segments, those of the given depths.
+
+    depths: an array of structs (labels, segments), each depth that a list has entries of.
+    """
 
     def made(p: Column) -> Column:
-        labels = F.split(p["host"], "\\.")
-        n = F.size(labels)
-        domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-        segments = F.filter(F.split(p["path"], "/"), lambda x: x != "")
-        m = F.least(F.size(segments), F.lit(MOST_SEGMENTS))
-        prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda k: F.concat_ws("/", p["host"], F.array_join(F.slice(segments, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.concat(domains, F.array(p["host"]), prefixes))
+        labels, segments = F.split(p["host"], "\\."), F.filter(F.split(p["path"], "/"), lambda x: x != "")
+        n, m = F.size(labels), F.size(segments)
+        own = F.filter(depths, lambda d: (d["labels"] <= n) & (d["segments"] <= m))
+        domain = lambda d: F.array_join(F.slice(labels, n - d["labels"] + 1, d["labels"]), ".")
+        named = lambda d: F.when(d["segments"] == 0, domain(d)).otherwise(F.concat_ws("/", domain(d), F.array_join(F.slice(segments, F.lit(1), d["segments"]), "/")))
+        return F.array_distinct(F.transform(own, named))
 
     return let(parts(url), lambda p: F.when(p.isNotNull(), made(p)))
 
 
+def depths(entries: DataFrame) -> DataFrame:
+    """One row (depths): the distinct (labels, segments) of the listed patterns."""
+    host, path = F.substring_index("pattern", "/", 1), F.split("pattern", "/")
+    depth = F.struct(F.size(F.split(host, "\\.")).alias("labels"), (F.size(path) - 1).alias("segments"))
+    return entries.filter("pattern is not null").select(depth.alias("d")).distinct().agg(F.collect_list("d").alias("depths"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, valid_from, valid_to) from (pattern, day, action 'add' or 'remove'); valid_to null while it holds.
 
@@ -68,7 +74,9 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     counted = rows.groupBy("id", "url", "fetched").agg(F.count("*").alias("copies"))
     valid = intervals(entries)
     # A pattern is looked up once for each day, however many captures of a host that day has.
-    asked = counted.select("url", "fetched").distinct().withColumn("pattern", F.explode(patterns(F.col("url"))))
+    # Only depths that the list has are looked up: a table of one row, however long the list is.
+    asked = counted.select("url", "fetched").distinct().crossJoin(F.broadcast(depths(entries)))
+    asked = asked.select("url", "fetched", F.explode(patterns(F.col("url"), F.col("depths"))).alias("pattern"))
     keys = asked.select("pattern", "fetched").distinct()
     active = keys.join(valid, "pattern").filter("valid_from <= fetched and (valid_to is null or fetched < valid_to)").select("pattern", "fetched")
     hits = asked.join(active, ["pattern", "fetched"]).groupBy("url", "fetched").agg(
