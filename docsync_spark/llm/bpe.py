@@ -2,8 +2,9 @@
 
 Two neighbouring byte symbols that never stand side by side inside any token of the vocabulary can
 not be merged by whatever rule, so each such pair marks a certain cut. Words are split at
-those cuts, the fragments are merged independently, and their ids are concatenated. Words and
-whitespace-separated chunks are remembered in bounded tables, for as long as a Python worker lives. The vocabulary file is
+those cuts, the fragments are merged independently, and their ids are concatenated. A task remembers
+the ids of words and whitespace-separated chunks as bytes, in two generations of bounded size: when the young
+one is full it becomes the old one, and what is asked for again moves back. The vocabulary file is
 read on the driver and travels with the function (about 2 MB, whatever the data).
 """
 
@@ -12,8 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
-import types
 import unicodedata
 
 import numpy as np
@@ -24,8 +23,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from docsync_spark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-KNOWN_CHUNKS = 3 << 15
-KNOWN_WORDS = 3 << 17
+#: Entries of one generation of a task's table of known chunks, about 180 bytes each.
+KNOWN = 1 << 18
 LONG_CHUNK = 256
 SHORT_FRAGMENT = 24
 NO_RANK = 1 << 40
@@ -43,6 +42,25 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Known(dict):
+    """What ``make`` returns for a string, remembered in two generations; strings over LONG_CHUNK are made anew each time."""
+
+    def __init__(self, make):
+        self.make = make
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        x = self.old.get(key)
+        if x is None:
+            x = self.make(key)
+        if len(key) <= LONG_CHUNK:
+            if len(self) >= KNOWN:
+                self.old = dict(self)
+                self.clear()
+            self[key] = x
+        return x
+
+
 class Coder:
     """Encodes and decodes as the tokenizer file says (BPE over byte letters with a word-end suffix)."""
 
@@ -61,8 +79,8 @@ class Coder:
         self.space = regex.compile(r"\p{White_Space}+")
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.joined = self._neighbours()
-        self.known: dict[str, tuple[str, str, int]] = {}
-        self.words: dict[str, str] = {}
+        self.decimals = {i: str(i) for i in self.tokens}
+        self.known, self.words = Known(self.chunk), Known(self.word_ids)
 
     def _symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end)
@@ -130,67 +148,45 @@ class Coder:
             symbols = out
         return symbols
 
-    def tokens_of(self, word: str) -> list[str]:
-        """The tokens of one word of the text, remembered."""
-        found = self.words.get(word)
-        if found is not None:
-            return found.split()
-        tokens = [t for f in self.fragments(word) for t in self.merge(f) if t in self.vocab]
-        if len(word) <= LONG_CHUNK:
-            if len(self.words) >= KNOWN_WORDS:
-                self.words.clear()
-            self.words[word] = " ".join(tokens)
-        return tokens
-
-    def chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Of a text without white space: ids joined by one space, tokens likewise, how many."""
+    def word_ids(self, word: str) -> bytes:
+        """The ids of one word of the text, as int32 bytes."""
+        vocab = self.vocab
+        return np.array([vocab[t] for f in self.fragments(word) for t in self.merge(f) if t in vocab], np.int32).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a text without white space."""
         text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        words = [text] if text.isascii() and text.isalpha() else self.word.findall(text)
-        found = [t for word in words for t in self.tokens_of(word)]
-        return " ".join(str(self.vocab[t]) for t in found), " ".join(found), len(found)
-
-    def plain(self, text: str) -> list[tuple[str, str, int]]:
-        known = self.known
-        chunks = text.split() if text.isascii() and not any("\x1c" <= c <= "\x1f" for c in set(text)) else self.space.split(text)
-        out = []
-        for c in chunks:
-            x = known.get(c)
-            if x is None:
-                x = self.chunk(c) if c else ("", "", 0)
-                if len(c) <= LONG_CHUNK:
-                    if len(known) >= KNOWN_CHUNKS:
-                        known.clear()
-                    known[c] = x
-            if x[2]:
-                out.append(x)
-        return out
+        if text.isascii() and text.isalpha():  # one word, and its own chunk
+            return self.word_ids(text) if text == chunk else self.known[text]
+        return b"".join([self.known[w] if w.isascii() and w.isalpha() else self.words[w] for w in self.word.findall(text)])
 
-    def encode(self, text: str | None) -> tuple[str, str, int]:
-        """Of a text: its ids in decimal joined by one space, the text decoded from them, how many."""
+    def plain(self, text: str) -> bytes:
+        chunks = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else filter(None, self.space.split(text))
+        return b"".join(map(self.known.__getitem__, chunks))
+
+    def coded(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text."""
         parts, at = [], 0
         text = text or ""
         for m in self.specials.finditer(text) if "<|" in text else ():
-            parts += self.plain(text[at : m.start()])
-            parts.append((str(self.special[m[0]]), m[0], 1))
+            parts.append(self.plain(text[at : m.start()]))
+            parts.append(np.int32(self.special[m[0]]).tobytes())
             at = m.end()
-        parts += self.plain(text[at:])
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum(p[2] for p in parts)
+        parts.append(self.plain(text[at:]))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.encode(text)[0].split()]
+        return self.coded(text).tolist()
+
+    def encode(self, text: str | None) -> tuple[str, str, int]:
+        """Of a text: its ids in decimal joined by one space, the text decoded from them, how many."""
+        ids = self.ids(text)
+        return " ".join(map(self.decimals.__getitem__, ids)), self.decode(ids), len(ids)
 
     def decode(self, ids) -> str:
         """The tokens joined by one space, special ones too; numbers outside the vocabulary are passed over."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
-
-
-def coder_of(spec: str) -> Coder:
-    """The task's coder. A Python worker that runs several tasks keeps it, with the chunks that it knows."""
-    memory = sys.modules.setdefault("_docsync_worker_memory", types.ModuleType("_docsync_worker_memory"))
-    key, held = getattr(memory, "coder", (None, None))
-    if key != spec:
-        key, held = memory.coder = spec, Coder(spec)
-    return held
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -219,15 +215,14 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, out
         schema = schema.add(decoded, "string")
 
     def run(batches):
-        c = coder_of(spec.value)
+        c = Coder(spec.value)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
                 frame, ids, texts = part[kept].copy(), [], []
                 for t in part[text_col]:
-                    i, d, _ = c.encode(_text(t))
-                    ids.append(np.array(i.split(), np.int32))
-                    texts.append(d if decoded else None)
+                    ids.append(c.coded(_text(t)))
+                    texts.append(c.decode(ids[-1].tolist()) if decoded else None)
                 frame[out] = ids
                 if decoded:
                     frame[decoded] = texts
@@ -243,7 +238,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, out:
     schema = rows.select(*kept).schema.add(out, "string")
 
     def run(batches):
-        c = coder_of(spec.value)
+        c = Coder(spec.value)
         for batch in batches:
             yield batch[kept].assign(**{out: [None if x is None else c.decode(map(int, x)) for x in batch[ids_col]]})
 
@@ -256,7 +251,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        c = coder_of(spec.value)
+        c = Coder(spec.value)
         for batch in batches:
             n, ids, texts = [], [], []
             for t in batch[text_col]:
