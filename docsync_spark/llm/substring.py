@@ -1,13 +1,21 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of all reference blocks.
 
 A window is ``length`` consecutive words. Every window has an anchor, the leftmost smallest hash of
-its runs of ``anchor`` words, so equal windows have equal anchors. The windows that share one
-occurrence of an anchor make a block: a phrase of the parse. All blocks of all documents are
-indexed, by anchor and content. A document is factored greedily phrase by phrase: a phrase that is
-in the index elsewhere extends the current factor whole; at a factor's boundary, where only the
-anchor is known elsewhere, the phrase's windows are checked one by one. What such factors
-cover is removed. Identical phrases are counted before they are dealt, so a passage with a million
-copies is one row from each task; only boundary phrases send windows.
+its runs of ``anchor`` words, so equal windows have equal anchors. The windows of a document that share one
+occurrence of an anchor make a phrase, and all phrases of all documents with one anchor make a reference
+block, to which no other phrase can have an equal window. Every document is factored against every block that
+its anchors name, and only blocks of two phrases or more are looked at again:
+
+* a phrase that stands elsewhere as it is, word for word, is a factor whole;
+* the other phrases of a block are laid over each other at the anchor. From each word of a phrase the
+  greedy parse takes the longest factor that any other phrase of the block has, left and right of the
+  anchor word by word. Factors of ``length`` words and more become duplicate spans;
+* neighbouring phrases overlap by ``length - 1`` words, so a window across the boundary of two factors
+  belongs to one of the phrases and is checked there.
+
+Blocks of more than ``MOST`` different phrases are not parsed pair by pair: their windows are counted one by one,
+which has the same result. Identical phrases are counted before they are dealt, so a passage with a million
+copies is one row from each task.
 """
 
 from __future__ import annotations
@@ -26,7 +34,9 @@ U = np.uint64
 #: Two odd bases of the word-sequence hashes, modulo 2^64, and their inverses.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
+#: Different phrases of a block that are parsed pair by pair; numbers that one step of it compares.
+MOST, COMPARED = 64, 1 << 21
 
 
 class _WordHashes(dict):
@@ -70,11 +80,11 @@ class Text:
         """Hashes of the words [at, at + size)."""
         return _mixed((self.sums[which][at + size] - self.sums[which][at]) * self.back[which][at] + np.asarray(size).astype(U))
 
-    def blocks(self, doc: int, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of one text: where each block's windows start (an index of all words), how many they are, the anchors' hashes."""
+    def phrases(self, doc: int, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+        """Of one text: where each phrase starts (an index of all words), how many windows it has, how far its anchor is in, the anchor's hash."""
         n = int(self.sizes[doc]) - length + 1
         if n <= 0:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
         first = int(self.starts[doc])
         h = self.runs(np.arange(first, first + n + length - anchor), anchor)
         width = length - anchor + 1
@@ -84,7 +94,7 @@ class Text:
             b = min(n, a + (1 << 15))
             at[a:b] = np.lib.stride_tricks.sliding_window_view(h[a : b + width - 1], width).argmin(axis=1) + np.arange(a, b)
         new = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        return first + new, np.diff(np.concatenate([new, [n]])), h[at[new]]
+        return first + new, np.diff(np.concatenate([new, [n]])), at[new] - new, h[at[new]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +102,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _parsed(batches, length: int, anchor: int):
-    """The phrases of each document: (k1, k2, start, n, anchor, block); start counts from the document's first word."""
+    """The phrases of each document: (k1, k2, start, n, lead, anchor, phrase); start counts from the document's first word."""
     known = _WordHashes()
     for batch in batches:
         texts = utf8(batch["text"])
@@ -100,11 +110,11 @@ def _parsed(batches, length: int, anchor: int):
         for a, b in steps(texts):
             text = Text(texts[a:b], known)
             for i in range(b - a):
-                start, n, h = text.blocks(i, length, anchor)
+                start, n, lead, h = text.phrases(i, length, anchor)
                 if len(start):
                     yield pd.DataFrame({
-                        "k1": k1[a + i], "k2": k2[a + i], "start": (start - text.starts[i]).astype(np.int32), "n": n.astype(np.int32),
-                        "anchor": _signed(h), "block": _signed(text.runs(start, n + length - 1, 1)),
+                        "k1": k1[a + i], "k2": k2[a + i], "start": (start - text.starts[i]).astype(np.int32), "n": n.astype(np.int32), "lead": lead.astype(np.int32),
+                        "anchor": _signed(h), "phrase": _signed(text.runs(start, n + length - 1, 1)),
                     })
 
 
@@ -121,26 +131,94 @@ def _joined(frames, rows: int = 20_000):
         yield pd.concat(held, ignore_index=True)
 
 
-def _windows(batches, length: int):
-    """The windows of boundary phrases: (k1, k2, at, w1, w2)."""
+def _opened(batches, length: int, anchor: int):
+    """Phrases of blocks with the hashes of their words beside the anchor; of a large block one row for each window, with its hashes."""
     known = _WordHashes()
+    whole = {"words": None, "w1": 0, "w2": 0}
     for batch in batches:
         texts = utf8(batch["text"])
         for a, b in steps(texts):
             text = Text(texts[a:b], known)
             for i, (k1, k2, spans) in enumerate(batch[["k1", "k2", "spans"]].iloc[a:b].itertuples(index=False, name=None)):
-                at = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans]))
-                where = at + text.starts[i]
-                yield pd.DataFrame({"k1": k1, "k2": k2, "at": at.astype(np.int32), "w1": _signed(text.runs(where, length, 0)), "w2": _signed(text.runs(where, length, 1))})
+                parts, rows = text.words[i], []
+                for s in spans:
+                    begin, lead = s["start"], s["lead"]
+                    if s["large"]:
+                        at = begin + np.arange(s["n"])
+                        where = at + text.starts[i]
+                        yield pd.DataFrame({"k1": k1, "k2": k2, "start": at.astype(np.int32), "n": 1, "lead": 0, "anchor": s["anchor"], "words": None, "w1": _signed(text.runs(where, length, 0)), "w2": _signed(text.runs(where, length, 1))})
+                    else:
+                        beside = parts[begin : begin + lead] + parts[begin + lead + anchor : begin + s["n"] + length - 1]
+                        rows.append({"k1": k1, "k2": k2, "start": begin, "n": s["n"], "lead": lead, "anchor": s["anchor"], **whole, "words": np.fromiter((known[w] for w in beside), U, len(beside)).tobytes()})
+                if rows:
+                    yield pd.DataFrame(rows)
+
+
+def longest(sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The greedy parse of blocks of m phrases, laid over each other at the anchor.
+
+    sides: word hashes leftward and rightward from the anchor, [blocks, m, words], zero where the phrase has no more.
+    Returns right[block, phrase, j]: how many words on the right of the anchor the longest factor has
+    that starts j words before the anchor and stands in another phrase of the block; -1 for none.
+    """
+    left, right = (np.logical_and.accumulate((x[:, :, None] == x[:, None]) & (x[:, :, None] != 0), axis=3).sum(axis=3, dtype=np.int16) for x in sides)
+    left[:, np.arange(left.shape[1]), np.arange(left.shape[1])] = -1  # not against itself
+    reach = [np.where(left >= j, right, -1).max(axis=2) for j in range(sides[0].shape[2] + 1)]
+    return np.stack(reach, axis=2)
+
+
+def _factors(batches, length: int, anchor: int):
+    """(k1, k2, start, n) of the windows inside factors of length words and more; rows come sorted by anchor."""
+    width = length - anchor
+
+    def parsed(rows: pd.DataFrame):
+        sizes = rows.groupby("anchor", sort=False).size().to_numpy()
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        lead, n, start = (rows[c].to_numpy(np.int64) for c in ("lead", "n", "start"))
+        sides = np.zeros((2, len(rows), width), U)
+        for i, x in enumerate(rows["words"]):
+            x = np.frombuffer(x, U)
+            x = np.where(x == 0, U(1), x)
+            sides[0, i, : lead[i]] = x[: lead[i]][::-1]
+            after = x[lead[i] :]
+            sides[1, i, : len(after)] = after
+        k1, k2 = rows["k1"].to_numpy(np.int64), rows["k2"].to_numpy(np.int64)
+        for m in np.unique(sizes[sizes > 1]):
+            of = first[sizes == m]
+            per = max(1, COMPARED // int(m * m * width))
+            for a in range(0, len(of), per):
+                at = of[a : a + per, None] + np.arange(m)
+                right = longest((sides[0][at], sides[1][at])).reshape(-1, width + 1)
+                flat = at.ravel()
+                offsets = lead[flat, None] - np.arange(n[flat].max())  # words before the anchor at which each window starts
+                inside = (np.arange(offsets.shape[1]) < n[flat, None]) & (offsets >= 0)
+                inside &= np.take_along_axis(right, np.maximum(offsets, 0), 1) >= width - offsets
+                edge = np.diff(np.pad(inside.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                row, begin = np.nonzero(edge == 1)
+                end = np.nonzero(edge == -1)[1]
+                yield pd.DataFrame({"k1": k1[flat[row]], "k2": k2[flat[row]], "start": (start[flat[row]] + begin).astype(np.int32), "n": (end - begin).astype(np.int32)})
+
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        open_ = batch["anchor"] == batch["anchor"].iloc[-1]
+        held = batch[open_]
+        if not open_.all():
+            yield from parsed(batch[~open_].reset_index(drop=True))
+    if held is not None:
+        yield from parsed(held.reset_index(drop=True))
 
 
 def _cut(batches, length: int, kept: list[str], text_col: str, with_text: bool):
     for batch in batches:
         texts = utf8(batch[text_col])
-        total, gone, digests, left_texts = [], [], [], []
+        total, gone, digests, left_texts, factors = [], [], [], [], []
         for text, spans in zip(texts, batch["spans"], strict=True):
             parts = text.split()
-            removed = 0
+            removed, runs = 0, []
             if spans is not None and len(spans):
                 edge = np.zeros(len(parts) + 1, np.int32)
                 for s in spans:
@@ -149,6 +227,8 @@ def _cut(batches, length: int, kept: list[str], text_col: str, with_text: bool):
                 covered = np.cumsum(edge[:-1]) > 0
                 removed = int(covered.sum())
                 left = b" ".join([p for p, c in zip(parts, covered.tolist(), strict=True) if not c])
+                ends = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]]))).reshape(-1, 2).tolist()
+                runs = [{"start": a, "length": b - a} for a, b in ends]
             else:
                 left = b" ".join(parts)
             total.append(len(parts))
@@ -156,39 +236,46 @@ def _cut(batches, length: int, kept: list[str], text_col: str, with_text: bool):
             digests.append(hashlib.sha256(left).hexdigest())
             if with_text:
                 left_texts.append(left.decode("utf-8", "surrogatepass"))
-        yield batch[kept].assign(n_words=np.array(total, np.int64), n_removed=np.array(gone, np.int64), kept_sha256=digests, **{"kept_text": left_texts} if with_text else {})
+                factors.append(runs)
+        yield batch[kept].assign(n_words=np.array(total, np.int64), n_removed=np.array(gone, np.int64), kept_sha256=digests, **{"kept_text": left_texts, "factors": factors} if with_text else {})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, anchor: int = 12, with_text: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept_text]) of every row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, anchor: int = 8, with_text: bool = True) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256[, kept_text, factors]) of every row of docs.
 
     Removed is each word covered by a window of ``length`` words whose words also start anywhere
     else, in the same document too. Texts that are null or shorter than a window keep all.
     Repeated rows are documents of their own: each is a repeat of the other. Null ids are kept.
+    An empty table gives an empty result; other columns of docs are not looked at. factors has the
+    (start, length) in words of what was removed, neighbouring and overlapping factors as one.
     """
     row = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     row = row.withColumns({"k1": F.xxhash64("__id", "text"), "k2": F.xxhash64(F.lit(1), "text", "__id")})
-    phrase = "k1 long, k2 long, start int, n int, anchor long, block long"
+    phrase = "k1 long, k2 long, start int, n int, lead int, anchor long, phrase long"
     phrases = materialize(row.mapInPandas(lambda b: _joined(_parsed(b, length, anchor)), phrase))
 
-    blocks = materialize(phrases.groupBy("anchor", "block").agg(F.count("*").alias("copies")))
-    shared = blocks.groupBy("anchor").agg(F.count("*").alias("blocks"), F.sum("copies").alias("all")).filter(F.col("all") > 1)
-    index = materialize(blocks.join(shared, "anchor").select("anchor", "block", (F.col("copies") > 1).alias("whole"), (F.col("blocks") > 1).alias("open")))
-    # whole: the phrase is elsewhere as it is. open: its anchor also stands in another phrase.
-    matched = materialize(phrases.join(index, ["anchor", "block"]).select("k1", "k2", "start", "n", "anchor", "block", "whole", "open"))
-
-    one_each = matched.filter("whole and open").groupBy("anchor", "block").agg(F.min(F.struct("k1", "k2", "start", "n")).alias("x")).select("x.*")
-    checked = matched.filter("open and not whole").select("k1", "k2", "start", "n").union(one_each)
-    spans = checked.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    at_boundaries = row.select("k1", "k2", "text").join(spans, ["k1", "k2"])
-    windows = materialize(at_boundaries.mapInPandas(lambda b: _joined(_windows(b, length)), "k1 long, k2 long, at int, w1 long, w2 long"))
-    repeated = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1")
-    edges = windows.join(repeated, ["w1", "w2"], "left_semi").select("k1", "k2", F.col("at").alias("start"), F.lit(1).alias("n"))
-
-    factors = matched.filter("whole").select("k1", "k2", "start", "n").union(edges)
-    factors = factors.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    result = "__id " + docs.schema[id_col].dataType.simpleString() + ", n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    cut = row.join(factors, ["k1", "k2"], "left").mapInPandas(lambda b: _cut(b, length, ["__id"], "text", with_text), result)
+    shared = materialize(phrases.groupBy("anchor").count().filter("count > 1").select("anchor"))
+    indexed = materialize(phrases.join(shared, "anchor"))  # the blocks of two phrases and more
+    copies = materialize(indexed.groupBy("anchor", "phrase").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "n", "lead")).alias("one")))
+    several = indexed.join(copies.filter("copies > 1").select("anchor", "phrase"), ["anchor", "phrase"])
+
+    blocks = copies.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1")
+    asked = copies.select("anchor", "one.*").join(blocks, "anchor").groupBy("k1", "k2")
+    asked = asked.agg(F.collect_set(F.struct("start", "n", "lead", "anchor", (F.col("different") > MOST).alias("large"))).alias("spans"))
+    texts = row.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    opened = "k1 long, k2 long, start int, n int, lead int, anchor long, words binary, w1 long, w2 long"
+    opened = materialize(texts.join(asked, ["k1", "k2"]).mapInPandas(lambda b: _joined(_opened(b, length, anchor)), opened))
+
+    small = opened.filter("words is not null").drop("w1", "w2").repartition("anchor").sortWithinPartitions("anchor")
+    factors = small.mapInPandas(lambda b: _joined(_factors(b, length, anchor)), "k1 long, k2 long, start int, n int")
+    windows = opened.filter("words is null").select("k1", "k2", "start", "n", "w1", "w2")
+    repeated = windows.groupBy("w1", "w2").count().filter("count > 1").drop("count")
+    counted = windows.join(repeated, ["w1", "w2"], "left_semi").select("k1", "k2", "start", "n")
+
+    spans = several.select("k1", "k2", "start", "n").union(factors).union(counted).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    result = "__id " + docs.schema[id_col].dataType.simpleString() + ", n_words long, n_removed long, kept_sha256 string"
+    result += ", kept_text string, factors array<struct<start:int,length:int>>" if with_text else ""
+    cut = row.join(spans, ["k1", "k2"], "left").mapInPandas(lambda b: _cut(b, length, ["__id"], "text", with_text), result)
     return cut.withColumnRenamed("__id", id_col)
 
 
