@@ -12,10 +12,12 @@ kind       accepted                                               permuted
 card       13 to 19 digits, blanks or dashes between, Luhn holds  all but the last; Luhn holds again
 iban       country, check digits, 10 to 30 more, mod 97 is 1      the digits; the check is made anew
 ssn        ddd-dd-dddd in the ranges that are given out           all, within these ranges
-phone      North American, area code from 2 on                    ten digits, area code from 2 on
-ip         four numbers to 255                                    the 32 bits
+phone      North American, area and exchange from 2 on and not    ten digits, area and exchange likewise
+           x11, set apart by signs or after +1
+ip         four numbers to 255, the first 1 to 223, not after     all four, within these ranges
+           version, release or section
 date       yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy; 1800 to 2199       the 146,097 days = 189 x 773
-email      local part, @, domain                                  a keyed name at a domain that can't exist
+email      local part, @, domain of 128 labels at most            a keyed name at a domain that can't exist
 =========  =====================================================  ==================================
 """
 
@@ -24,20 +26,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import let, table
+from docsync_spark.llm.common import let, table, unused
 
-KEY = "docsync"
+#: The session setting with the key; KEY, which is no secret, serves where it is unset.
+KEY_SETTING, KEY = "spark.docsync.pii.key", "docsync"
 ROUNDS = 10
 KINDS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9_%+-][\w.%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+(?![\w-])",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9_%+-][\w.%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}+(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
+    "ip": r"(?<![\w.])(?<!(?i:version|release|section) )(?:22[0-3]|2[01]\d|1\d\d|[1-9]\d?)\.(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){2}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-]?)\d{3}[ .-]?\d{4}(?![\w-])",
+    "phone": r"(?<![\w+.-])(?:(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])|\+1[2-9]\d{2})[2-9]\d{2}[ .-]?\d{4}(?![\w-])",
 }
-ANY = "|".join(KINDS.values())
 #: Cards in their usual shapes; and maximal runs of groups, in which an IBAN or a card may stand beside other numbers.
 CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?![\w-])"
 CARD_CHAIN = r"(?<![\w.-])(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++(?!\w|-(?!\d)))*+(?![\w-])"
@@ -156,10 +158,15 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Area and exchange codes are 200 to 999 without 211, 311, ..., 911: 792 each."""
+    place = lambda x: x - 200 - F.floor((x - 111) / 100)
+    code = lambda n: n + 200 + F.floor((n + 88) / 99)
+
     def new(d: Column) -> Column:
-        ten = F.right(d, F.lit(10))
-        halves = feistel(_part(ten, 1, 5) - 20000, _part(ten, 6, 5), F.lit(80000), F.lit(100000), key, "phone")
-        return let(halves, lambda h: _poured(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), (h["l"] + 20000).cast("string"), _pad(h["r"], 5))))
+        area, exchange, line = _part(F.right(d, F.lit(10)), 1, 3), _part(F.right(d, F.lit(7)), 1, 3), F.right(d, F.lit(4)).cast("long")
+        halves = feistel(place(area), place(exchange) * 10000 + line, F.lit(792), F.lit(7920000), key, "phone")
+        ten = let(halves, lambda h: F.concat(code(h["l"]).cast("string"), code(F.floor(h["r"] / 10000)).cast("string"), _pad(h["r"] % 10000, 4)))
+        return F.when((area % 100 != 11) & (exchange % 100 != 11), _poured(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), ten)))
 
     return let(_digits(m), new)
 
@@ -167,8 +174,8 @@ def _phone(m: Column, key: str) -> Column:
 def _ip(m: Column, key: str) -> Column:
     def new(p: Column) -> Column:
         number = lambda i: p[i].cast("long")
-        halves = feistel(number(0) * 256 + number(1), number(2) * 256 + number(3), F.lit(65536), F.lit(65536), key, "ip")
-        return let(halves, lambda h: F.concat_ws(".", F.floor(h["l"] / 256).cast("string"), (h["l"] % 256).cast("string"), F.floor(h["r"] / 256).cast("string"), (h["r"] % 256).cast("string")))
+        halves = feistel((number(0) - 1) * 256 + number(1), number(2) * 256 + number(3), F.lit(223 * 256), F.lit(65536), key, "ip")
+        return let(halves, lambda h: F.concat_ws(".", (F.floor(h["l"] / 256) + 1).cast("string"), (h["l"] % 256).cast("string"), F.floor(h["r"] / 256).cast("string"), (h["r"] % 256).cast("string")))
 
     return let(F.split(m, "\\."), new)
 
@@ -235,15 +242,27 @@ def _runs(chain: Column, most: int, starts, fits, new) -> Column:
                 return F.get(F.filter(made, lambda x: x["new"].isNotNull()), F.lit(0))
 
             def added(x: Column) -> Column:
-                end = F.substring(F.get(groups, i - x["k"] - 1), -1, 1)
-                gap = F.when(end.isin(" ", "-"), end).otherwise("")
-                took = F.struct((i - x["k"]).alias("next"), F.concat(state["out"], F.array(_segment(x["new"], 1), _segment(gap, 0))).alias("out"))
-                left = F.struct((i + 1).alias("next"), F.concat(state["out"], F.array(_segment(group, 0))).alias("out"))
-                return F.when(x.isNotNull(), took).otherwise(left)
+                took = F.struct(i.alias("i"), (-x["k"]).alias("k"), x["new"].alias("new"))
+                return F.when(x.isNotNull(), F.struct((i - x["k"]).alias("next"), F.concat(state["out"], F.array(took)).alias("out"))).otherwise(state)
 
             return F.when(i < state["next"], state).otherwise(let(F.when(starts(group), best()), added))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(0).alias("next"), _none().alias("out")), step)["out"]
+        none = F.array().cast("array<struct<i:int,k:int,new:string>>")
+        taken = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(0).alias("next"), none.alias("out")), step)["out"]
+        return let(taken, lambda took: written(groups, took))
+
+    def written(groups: Column, took: Column) -> Column:
+        """What was taken as pseudonyms, and the groups between as they are; took is small."""
+        between = lambda a, b: _segment(F.array_join(F.slice(groups, a + 1, b - a), ""), 0)
+        end = lambda x: x["i"] + x["k"]
+
+        def pair(x: Column, j: Column) -> Column:
+            sign = F.substring(F.get(groups, end(x) - 1), -1, 1)
+            before = F.when(j > 0, end(F.get(took, j - 1))).otherwise(0)
+            return F.array(between(before, x["i"]), _segment(x["new"], 1), _segment(F.when(sign.isin(" ", "-"), sign).otherwise(""), 0))
+
+        last = F.when(F.size(took) > 0, end(F.get(took, F.size(took) - 1))).otherwise(0)
+        return F.concat(F.flatten(F.transform(took, pair)), F.array(between(last, F.size(groups))))
 
     return let(F.regexp_extract_all(chain, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), scan)
 
@@ -300,25 +319,27 @@ def _sweeps(key: str) -> list[tuple]:
     ]
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = "n_private") -> DataFrame:
+def pseudonymize(docs: DataFrame, text_col: str = "text", key: str | None = None, count_col: str | None = "n_private") -> DataFrame:
     """docs with the text's personal data replaced, and count_col, how many were.
 
     Null texts stay null, texts without valid personal data stay as they are to the byte. All rows and
-    other columns stay; a column named count_col is replaced. ``key`` is a secret: who has it
-    can undo all kinds but email.
+    other columns stay, repeated rows each on their own; a column named count_col is replaced. An empty
+    table stays empty. ``key`` is a secret: who has it can undo all kinds but email. Without one,
+    the session's KEY_SETTING counts.
     """
-    text = F.col(text_col)
+    text, key = F.col(text_col), key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     sweeps = _sweeps(key)
+    own = unused(docs, "segments")
     # most texts have neither digit nor @ and end at the first test; their segments are null
     seen = text.rlike("[0-9@]") & text.rlike("|".join(p for p, _ in sweeps))
-    out = docs.withColumn("__new", F.when(seen, F.array(_segment(text, 0))))
+    out = docs.withColumn(own, F.when(seen, F.array(_segment(text, 0))))
     for pattern, new in sweeps:  # a column each: nested in one expression they exceed the analyzer's iterations
-        out = out.withColumn("__new", _swept(F.col("__new"), pattern, new))
-    total = F.aggregate("__new", F.lit(0).cast("long"), lambda n, x: n + (x["n"] == 1).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("__new").isNull(), text).otherwise(F.array_join(F.col("__new")["s"], "")))
+        out = out.withColumn(own, _swept(F.col(own), pattern, new))
+    total = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + (x["n"] == 1).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col(own).isNull(), text).otherwise(F.array_join(F.col(own)["s"], "")))
     if count_col:
         out = out.withColumn(count_col, F.coalesce(total, F.lit(0).cast("long")))
-    return out.drop("__new")
+    return out.drop(own)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
