@@ -10,22 +10,24 @@ and for hosts, whose prior is smoothed towards their domain's and that towards e
 that a host with few documents says little. A row's own soft count is taken out of its host's and
 domain's first. Counts are whole millionths, so results don't depend on the order of rows.
 
-The trigrams are fitted in one task to a bounded sample of labelled rows (``fit_rows`` of smallest
-hash); all else covers all rows.
+The trigrams are fitted in one task to a bounded sample of labelled rows: an equal share of ``fit_rows`` for
+each language that any labelled row has, ``LEAST_ROWS`` at least, those of smallest hash; all else covers all
+rows. No language is left out; the model takes 128 KB for each.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import materialize, table, thinned
+from docsync_spark.llm.common import materialize, table
 from docsync_spark.llm.urlfilter import parts
 
 SLOTS = 1 << 15
@@ -34,15 +36,41 @@ TEMPER = 0.3
 FLOOR = -40.0
 SMOOTHING = 5.0
 UNIT = 1_000_000
-MOST_LANGUAGES = 200
+#: Rows that a language has in the sample at least, if there are so many.
+LEAST_ROWS = 40
 WORD = re.compile(r"[^\W\d_]+")
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|head|template)\b.*?</\1\s*>", re.S | re.I)
+#: What hides text: comments, and these elements.
+OPENS = re.compile(r"<(?:!--|(script|style|nav|head|template)\b)", re.I)
+CLOSES = re.compile(r"</(script|style|nav|head|template)\s*>", re.I)
 TAG = re.compile(r"<[^<>]*>")
 
 
+def shown(page: str) -> str:
+    """The page with a blank for each comment and each hidden element, up to the first end that fits; one without an end hides nothing.
+
+    One pass finds all ends, so that a page of a thousand unclosed tags takes no longer than any other.
+    """
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in CLOSES.finditer(page):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    ends["comment"] = [(m.start(), m.end()) for m in re.finditer("-->", page)]
+    out, at = [], 0
+    while m := OPENS.search(page, at):
+        known = ends.get((m[1] or "comment").lower(), [])
+        i = bisect.bisect_left(known, (m.end(), 0))
+        if i < len(known):
+            out += [page[at : m.start()], " "]
+            at = known[i][1]
+        else:
+            out.append(page[at : m.end()])
+            at = m.end()
+    return "".join([*out, page[at:]])
+
+
 def page_text(page: str) -> str:
     """What a page shows, without scripts, navigation and tags."""
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    plain = TAG.sub(" ", shown(page))
+    return html.unescape(re.sub(r"&#([1-9][0-9]{7,});?", "\ufffd", re.sub(r"&#0++(?=[0-9])", "&#", plain)))
 
 
 def trigrams(word: str) -> list[int]:
@@ -92,16 +120,20 @@ class Scorer:
 def train(labelled: DataFrame, fit_rows: int = 8000, fit_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """Languages and their trigrams, from (doc_id, text, lang)."""
     usable = labelled.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit_chars))
-    ids = thinned(usable.select("doc_id"), ["doc_id"], fit_rows, labelled.count())
-    picked = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = usable.join(F.broadcast(picked), "doc_id").select("text", "lang")
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    share = max(LEAST_ROWS, fit_rows // max(1, len(counts)))
+    # a hash leaves about the share of each language, then a sort of these few settles it
+    odds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1.0 if n <= share else min(1.0, 1.25 * share / n + 64 / n))] or [F.lit(""), F.lit(1.0)])
+    few = usable.select("doc_id", "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < (1 << 31) * F.element_at(odds, F.col("lang")))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = few.distinct().withColumn("turn", turn).filter(F.col("turn") <= share).drop("turn")
+    sample = usable.join(picked, ["doc_id", "lang"]).select("text", "lang")
 
     def learn(batches):
         frames = [b for b in batches if len(b)]
         if frames:
             rows = pd.concat(frames).sort_values(["lang", "text"], kind="stable")
-            languages = rows["lang"].value_counts(sort=True).index[:MOST_LANGUAGES].sort_values().tolist()
-            rows = rows[rows["lang"].isin(languages)]
+            languages = sorted(rows["lang"].unique().tolist())
             yield pd.DataFrame({"languages": [languages], "logs": [fit(rows["text"].tolist(), rows["lang"].tolist(), languages).ravel()]})
 
     model = sample.repartition(1).mapInPandas(learn, "languages array<string>, logs array<float>").first()
@@ -131,7 +163,9 @@ def identify(rows: DataFrame, labelled: DataFrame, keep: tuple[str, ...], **limi
     A row has a text, or html whose visible text counts. host and suffix come from the URL; where that
     is null, the column host is taken as it is and no suffix speaks. Null evidence says nothing; with
     none at all the most frequent language wins. Ties go to the smaller language code. score
-    is the posterior. Without labelled rows the language is 'und'.
+    is the posterior. Without labelled rows the language is 'und'. Repeated rows come back as often as they
+    came and count as often in their host's prior; an empty table gives an empty result. Columns of rows
+    other than these are not looked at, whatever their names.
     """
     languages, logs = train(labelled, **limits)
     n = len(languages)
