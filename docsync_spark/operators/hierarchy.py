@@ -6,37 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync_spark.functions.scalars import strip
+from docsync_spark.sources.scratch import written
 
 FOLDER = "CollectionType"
 
 
-def resolve_folders(listing: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(id, parts): the names from the root to each folder, by a recursive walk from the top over folders only.
+def resolve_folders(listing: DataFrame) -> DataFrame:
+    """(id, parts): the names from the root to each folder, by pointer doubling over folders only.
 
-    An unknown parent ends the walk; parent 'trash' puts '[TRASH]' in front. Folders in a parent
-    cycle are never reached and are absent, so a join finds them as null. Depth is capped; the
-    session's spark.sql.cteRecursionRowLimit bounds the number of folders.
+    Each round joins every folder with the one that its pointer has reached, so that names of twice as many levels
+    stand together: log2 of the depth joins, whatever the depth. An unknown parent ends the path; parent 'trash' puts '[TRASH]' in front.
+    Folders in or below a parent cycle never come to an end and are absent, so a join finds them as null: once a
+    round brings nobody to the top, all that is left is cycles. Of several folders with one id each has its row, and
+    its children take the first by name.
     """
     folders = listing.filter(F.col("doc_type") == FOLDER).select("id", strip(F.col("name")).alias("name"), "parent")
-    known = folders.select(F.col("id").alias("known"))
-    tops = folders.join(known, F.col("parent") == F.col("known"), "left_anti")
-    trash = F.array(F.lit("[TRASH]"), F.col("name"))
-    tops = tops.select("id", F.when(F.col("parent") == "trash", trash).otherwise(F.array("name")).alias("parts"))
-    return listing.sparkSession.sql(
-        f"""WITH RECURSIVE walk(id, parts, depth) MAX RECURSION LEVEL {max_depth} AS (
-              SELECT id, parts, 1 FROM {{tops}}
-              UNION ALL SELECT f.id, concat(w.parts, array(f.name)), w.depth + 1 FROM walk w JOIN {{folders}} f ON f.parent = w.id WHERE w.depth < {max_depth - 1})
-            SELECT id, parts FROM walk""",
-        tops=tops,
-        folders=folders,
-    )
-
-
-def with_folders(listing: DataFrame, max_depth: int = 100) -> DataFrame:
+    known = folders.select(F.col("id").alias("known")).distinct()
+    linked = folders.join(known, F.col("parent") == F.col("known"), "left")
+    names = F.when((F.col("parent") == "trash") & F.col("known").isNull(), F.array(F.lit("[TRASH]"), "name")).otherwise(F.array("name"))
+    walk = written(linked.select("id", F.col("known").alias("above"), names.alias("parts")))
+    open_ = walk.filter("above is not null").count()
+    while open_:
+        top = walk.groupBy(F.col("id").alias("__id")).agg(F.min(F.struct(F.col("parts").alias("p"), F.col("above").alias("a"))).alias("top"))
+        higher = walk.join(top, F.col("above") == F.col("__id"), "left")
+        done = F.col("above").isNull()
+        walk = written(higher.select("id", F.when(~done, F.col("top.a")).alias("above"), F.when(done, F.col("parts")).otherwise(F.concat("top.p", "parts")).alias("parts")))
+        left = walk.filter("above is not null").count()
+        if left == open_:
+            break
+        open_ = left
+    return walk.filter("above is null").select("id", "parts")
+
+
+def with_folders(listing: DataFrame) -> DataFrame:
     """Documents of a listing with folder_parts and in_cycle; one equi-join whatever the depth."""
-    paths = resolve_folders(listing, max_depth).select(F.col("id").alias("__folder"), "parts")
-    is_folder = listing.filter(F.col("doc_type") == FOLDER).select(F.col("id").alias("__known"))
-    docs = listing.filter(F.col("doc_type") != FOLDER).join(paths, F.col("parent") == F.col("__folder"), "left").join(is_folder, F.col("parent") == F.col("__known"), "left")
+    is_folder = listing.filter(F.col("doc_type") == FOLDER).select(F.col("id").alias("__folder")).distinct()
+    first = resolve_folders(listing).groupBy(F.col("id").alias("__resolved")).agg(F.min("parts").alias("__parts"))
+    places = is_folder.join(first, F.col("__folder") == F.col("__resolved"), "left").drop("__resolved")
+    docs = listing.filter((F.col("doc_type") != FOLDER) | F.col("doc_type").isNull()).join(places, F.col("parent") == F.col("__folder"), "left")
     empty = F.array().cast("array<string>")
-    parts = F.coalesce("parts", F.when(F.col("parent") == "trash", F.array(F.lit("[TRASH]"))), empty)
-    return docs.withColumn("folder_parts", parts).withColumn("in_cycle", F.col("__known").isNotNull() & F.col("parts").isNull()).drop("__folder", "__known", "parts")
+    parts = F.coalesce("__parts", F.when((F.col("parent") == "trash") & F.col("__folder").isNull(), F.array(F.lit("[TRASH]"))), empty)
+    return docs.withColumn("folder_parts", parts).withColumn("in_cycle", F.col("__folder").isNotNull() & F.col("__parts").isNull()).drop("__folder", "__parts")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsync_spark.sources.scratch import configuration
+
 _RANGES = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
 _NAMES = ({}, {}, {}, {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}, {d: i for i, d in enumerate("sun mon tue wed thu fri sat".split())})
 
@@ -97,7 +99,7 @@ def identify_device(machines: DataFrame, hints: DataFrame) -> DataFrame:
 
     hints: (hint, model) is configuration and broadcast; without a match the model is 'default'.
     """
-    joined = machines.join(F.broadcast(hints), F.contains(F.lower("machine"), F.lower("hint")), "left")
+    joined = machines.join(configuration(hints), F.contains(F.lower("machine"), F.lower("hint")), "left")
     best = joined.groupBy("id", "machine").agg(F.min(F.when(F.col("hint").isNotNull(), F.struct(-F.length("hint"), "model"))).alias("b"))
     return best.select("id", "machine", F.coalesce(F.col("b")["model"], F.lit("default")).alias("model"), F.col("b").isNotNull().alias("recognized"))
 

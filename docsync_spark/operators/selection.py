@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
 from docsync_spark.operators.hierarchy import with_folders
+from docsync_spark.sources.scratch import configuration, written
 
 
 def owes_publish(force: bool = False) -> Column:
@@ -28,8 +29,8 @@ def pending_matrix(docs: DataFrame, destinations: DataFrame, publications: DataF
     by equality. notes: (destination, target) of notes that exist, else every note counts as present.
     """
     dims = destinations.select("destination").join(recipes, "destination", "left").select("destination", F.col("source").alias("__source"), "recipe")
-    pairs = docs.join(F.broadcast(destinations.select("destination")), how="cross")
-    pairs = pairs.join(F.broadcast(dims.withColumnRenamed("destination", "__d")), (F.col("__d") == F.col("destination")) & (F.col("__source") == F.col("source")), "left")
+    pairs = docs.join(configuration(destinations.select("destination")), how="cross")
+    pairs = pairs.join(dims.withColumnRenamed("destination", "__d"), (F.col("__d") == F.col("destination")) & (F.col("__source") == F.col("source")), "left")
     own = publications.filter("profile = 'default'").select("doc_id", "destination", F.col("version").alias("published_version"), F.col("recipe").alias("published_recipe"), "pages_failed", "target", F.lit(True).alias("has_row"))
     out = pairs.join(own, ["doc_id", "destination"], "left").withColumn("has_row", F.coalesce("has_row", F.lit(False)))
     if notes is None:
@@ -111,7 +112,7 @@ def apply_limit(candidates: DataFrame, limit: int | None, order: str = "ord", ke
     if not limit:
         return candidates.withColumn("kept", F.lit(True))
     first = candidates.orderBy(order, key).limit(limit).select(F.col(key).alias("__key"), F.lit(True).alias("__kept"))
-    return candidates.join(F.broadcast(first), F.col(key) == F.col("__key"), "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__key", "__kept")
+    return candidates.join(first, F.col(key) == F.col("__key"), "left").withColumn("kept", F.coalesce("__kept", F.lit(False))).drop("__key", "__kept")
 
 
 def select_documents(listing: DataFrame, criteria: Criteria, destinations: DataFrame, publications: DataFrame, recipes: DataFrame, tags: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
@@ -119,7 +120,8 @@ def select_documents(listing: DataFrame, criteria: Criteria, destinations: DataF
 
     decision is the first that holds of trash, not_targeted (with a target) or else excluded,
     outside_path, wrong_type, unchanged, no_matching_tag; what is left is process or, past the limit,
-    deferred. Folders and nameless items are not judged. listing: (id, name, parent, doc_type,
+    deferred. What the listing says of a document and what is owed to whom are written once, to the shared folder, and
+    read by all that follows. Folders and nameless items are not judged. listing: (id, name, parent, doc_type,
     hash, file_type, ord). tags: (doc_id, tags). Tags are looked up for pending documents only.
     """
     c = criteria
@@ -134,11 +136,11 @@ def select_documents(listing: DataFrame, criteria: Criteria, destinations: DataF
         first = first.when(~S.matches_target(F.col("doc_id"), F.col("name"), F.col("folder_parts"), c.target), "not_targeted")
     else:
         first = first.when(S.excluded(F.col("folder"), c.excluded), "excluded").when(~S.path_filter(F.col("path"), c.source_path, c.source_regex), "outside_path").when(~S.type_filter(F.col("source"), c.types), "wrong_type")
-    docs = docs.withColumn("reason", first)
+    docs = written(docs.withColumn("reason", first))
     open_ = docs.filter("reason is null").select("doc_id", "version", "source")
     owed = pending(pending_matrix(open_, destinations, publications, recipes, notes, c.force or bool(c.target)))
     judged = docs.join(owed, "doc_id", "left")
-    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.size(F.coalesce("pending", F.array().cast("array<string>"))) == 0, "unchanged")))
+    judged = written(judged.withColumn("reason", F.coalesce("reason", F.when(F.size(F.coalesce("pending", F.array().cast("array<string>"))) == 0, "unchanged"))))
     if c.tags and tags is not None:
         asked = judged.filter("reason is null").select("doc_id").join(tags, "doc_id", "left")
         misses = asked.filter(~tag_filter(F.col("tags"), c.tags)).select("doc_id", F.lit("no_matching_tag").alias("__tag"))

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsync_spark.sources.scratch import configuration
+
 #: How a column is merged: the new value, the old one, the new one if it isn't null, the old one if it isn't null.
 POLICIES = {
     "new": lambda old, new, both: F.when(both, new).otherwise(old),
@@ -84,7 +86,7 @@ def sync_overview(documents: DataFrame, publications: DataFrame, destinations: D
     Compares versions only, nulls equal. Destinations are configuration: broadcast.
     """
     enabled = destinations.filter("enabled").select("destination")
-    rows = documents.join(F.broadcast(enabled), how="cross")
+    rows = documents.join(configuration(enabled), how="cross")
     own = publications.filter("profile = 'default'").select(F.col("doc_id").alias("id"), "destination", F.col("version").alias("published_version"), F.lit(True).alias("has_row"))
     joined = rows.join(own, ["id", "destination"], "left")
     owes = ~F.col("published_version").eqNullSafe(F.col("version"))
@@ -106,7 +108,7 @@ def comparison_rows(selection: DataFrame, publications: DataFrame, documents: Da
 def publish_context(docs: DataFrame, destinations: DataFrame, publications: DataFrame) -> DataFrame:
     """What the last publish left for each (document, destination); adopt_by_name where it left no external id."""
     own = publications.select("doc_id", "destination", "external_id", "target", "first_published_at", F.lit(True).alias("__row"))
-    out = docs.join(F.broadcast(destinations.select("destination")), how="cross").join(own, ["doc_id", "destination"], "left")
+    out = docs.join(configuration(destinations.select("destination")), how="cross").join(own, ["doc_id", "destination"], "left")
     return out.withColumn("adopt_by_name", F.col("__row").isNotNull() & F.col("external_id").isNull()).drop("__row")
 
 

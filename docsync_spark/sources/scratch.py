@@ -5,10 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a configuration table that are sent to all executors.
+SMALL = 10_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder's name under spark.checkpoint.dir; where that is unset (tests), under a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsync-")
+    """A new folder's name under spark.checkpoint.dir. Where that is unset, a temporary one on a local master; elsewhere that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="docsync-")
     return f"{root}/scratch/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: computed once, and its lineage ends."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def configuration(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has SMALL rows or fewer, which is checked; else as it is."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

@@ -24,6 +24,17 @@ def test_folders_trash_unknown_parents_and_cycles(spark):
     assert got == {"d1": (["Work", "Inner"], False), "d2": (["[TRASH]", "Bin"], False), "d3": (["[TRASH]"], False), "d4": ([], False), "d5": ([], True), "d6": ([], False)}
 
 
+def test_folders_of_any_depth_and_repeated_ids(spark):
+    rows = [(f"f{i}", f"F{i}", f"f{i - 1}" if i else "trash", "CollectionType", "", None, i) for i in range(150)]
+    rows += [(f"c{i}", "C", f"c{(i + 1) % 5}", "CollectionType", "", None, i) for i in range(5)] + [("under", "U", "c0", "CollectionType", "", None, 0), ("f3", "Z", "", "CollectionType", "", None, 0)]
+    rows += [doc(1, "f149"), doc(2, "under"), doc(3, "f2"), doc(3, "f2"), doc(4, None)]
+    got = hierarchy.with_folders(spark.createDataFrame(rows, LISTING)).collect()
+    found = {r["id"]: (r["folder_parts"], r["in_cycle"]) for r in got}
+    assert len(got) == 5 and found["d1"] == (["[TRASH]", *(f"F{i}" for i in range(150))], False)
+    assert found["d2"] == ([], True) and found["d3"] == (["[TRASH]", "F0", "F1", "F2"], False) and found["d4"] == ([], False)
+    assert hierarchy.resolve_folders(spark.createDataFrame([], LISTING)).collect() == []
+
+
 @pytest.fixture(scope="module")
 def world(spark):
     rows = [*FOLDERS, doc(1), doc(2, "f3"), doc(3, "f1"), doc(4, file_type="pdf"), doc(5), doc(6), doc(7), doc(8), doc(9, name=" "), doc(10)]
