@@ -158,19 +158,25 @@ def _(t):
     return report.block_stats(notes.extract_blocks(_markdown(t)))
 
 
-@query("b21_normalize_callouts", """
-SELECT doc_id, md5('> [!example] Boxed Passage' || chr(10) || array_to_string(['> ' || x FOR x IN string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))], chr(10))) AS digest
-FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND NOT contains(text, '>') AND NOT contains(text, '---') AND NOT contains(text, '###') AND NOT regexp_matches(text, '(?i)(boxed|highlight|margin)') AND trim(text, ' ' || chr(10)) <> '' AND NOT regexp_matches(text, '\\n[ \\t]*\\n')""".replace("\\\\", "\\"))
+@query("b21_normalize_callouts", r"""
+WITH l AS (SELECT doc_id, i, x, i // 6 AS g, trim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), chr(10)) AS lines FROM documents))),
+m AS (SELECT *, bool_or(starts_with(t, '---') OR starts_with(t, '<span') OR starts_with(t, '###')) OVER w AS ended, bool_and(t = '') OVER w AS blank FROM l WINDOW w AS (PARTITION BY doc_id, g ORDER BY i)),
+o AS (SELECT doc_id, i, CASE i % 12 WHEN 0 THEN '> [!example] Boxed Passage' || chr(10) WHEN 3 THEN '---' || chr(10) WHEN 6 THEN '> [!note] Margin Note' || chr(10) WHEN 9 THEN '### Next' || chr(10) ELSE '' END
+    || CASE WHEN i % 6 < 3 AND NOT ended AND blank THEN '' WHEN i % 6 >= 3 OR ended THEN x || chr(10) WHEN t = '' THEN '>' || chr(10) WHEN starts_with(t, '>') THEN x || chr(10) ELSE '> ' || x || chr(10) END AS y FROM m)
+SELECT doc_id, md5(regexp_replace(regexp_replace(string_agg(y, '' ORDER BY i), '>\s*\n(> \[!)', chr(10) || chr(10) || '\1', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM o GROUP BY doc_id""".replace("\\\\", "\\"))
 def _(t):
-    plain = ~c("text").rlike("\\n[ \\t]*\\n|>|---|###|(?i:boxed|highlight|margin)") & (S.strip(c("text")) != "")
-    return t.documents.filter(plain).select("doc_id", F.md5(T.normalize_callouts(F.concat(F.lit("```markdown\n[Boxed passage]:\n"), S.strip(c("text")), F.lit("\n```"))).cast("binary")).alias("digest"))
+    """Every document, with a passage's header or its end before each third line."""
+    heads = F.array(*[F.lit(x) for x in ("[Boxed passage]:\n", "---\n", "**Margin note**\n", "### Next\n")])
+    lines = F.split(F.rtrim(c("text"), F.lit("\t\n\x0b\f\r ")), "\n")
+    marked = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(F.get(heads, F.floor(i / 3) % 4), x)).otherwise(x)), "\n")
+    return t.documents.select("doc_id", F.md5(T.normalize_callouts(F.concat(F.lit("```markdown\n"), marked, F.lit("\n```"))).cast("binary")).alias("digest"))
 
 
 @query("b24_b31_segments", """
 SELECT doc_id, string_agg('<!-- docsync:begin page-' || (idx + 1) || ' h=' || substr(sha256(trim(text, ' ' || chr(10))), 1, 8) || ' -->' || chr(10) || trim(text, ' ' || chr(10)) || chr(10) || '<!-- docsync:end page-' || (idx + 1) || ' -->', chr(10) || chr(10) ORDER BY idx) AS body
-FROM b_pages WHERE error IS NULL GROUP BY doc_id""")
+FROM (SELECT doc_id, idx, CASE WHEN error IS NULL THEN text ELSE '> [!warning] Page not transcribed' || chr(10) || '> ' || error END AS text FROM b_pages) GROUP BY doc_id""")
 def _(t):
-    return notes.page_blocks(t.b_pages.filter("error is null")).select("doc_id", T.render_segments(c("segments")).alias("body"))
+    return notes.page_blocks(t.b_pages).select("doc_id", T.render_segments(c("segments")).alias("body"))
 
 
 @query("b27_b28_frontmatter", """
