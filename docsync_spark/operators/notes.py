@@ -2,58 +2,88 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
 from docsync_spark.functions import text as T
+from docsync_spark.operators.selection import merge_tags
+from docsync_spark.sources.scratch import written
 
 MARKER = "docsync"
 SEGMENT = "pos int, block_id string, content string, written_hash string"
 _INDENT = 2
-_ITEM = re.compile(r"(\s*)(?:[-*+]|(\d+)[.)])\s+(.*)")
-_TASK = re.compile(r"(\s*)[-*+]\s+\[([ xX])\]\s+(.*)")
-_CALLOUT = re.compile(r">\s*\[!([^\]]+)\]-?\+?\s*(.*)")
+#: Fixed values of the Markdown dialect: which line begins which block, the first that fits.
+LINES = {
+    "code": re.compile(r"\s{0,3}(?:`{3,}|~{3,})\s*(\S*)\s*"),
+    "math": re.compile(r"\s*\$\$\s*"),
+    "divider": re.compile(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*"),
+    "heading": re.compile(r"(#{1,6})\s+(.*)"),
+    "quote": re.compile(r"\s*>.*"),
+    "task_list": re.compile(r"(\s*)[-*+]\s+\[([ xX])\]\s+(.*)"),
+    "list": re.compile(r"(\s*)(?:[-*+]|(\d+)[.)])\s+(.*)"),
+    "table": re.compile(r"\s*\|.*\|\s*"),
+    "blank": re.compile(r"\s*"),
+}
+CALLOUT = re.compile(r">\s*\[!([^\]]+)\]-?\+?\s*(.*)")
+QUOTED = re.compile(r"\s*>\s?")
 
 
 def segments_of(body: str, marker: str = MARKER) -> list[tuple[str | None, str, str | None]]:
-    """(block_id, content, written_hash) of a note body in order; a begin without a later end is text."""
-    lines = body.split("\n")
-    begin = re.compile(rf"<!--\s*{re.escape(marker)}:begin\s+([A-Za-z0-9][\w.\-]*)(?:\s+h=([0-9a-f]+))?\s*-->", re.A)
-    ends: dict[str, list[int]] = {}
-    for i, line in enumerate(lines):
-        ends.setdefault(line.strip(), []).append(i)
+    """(block_id, content, written_hash) of a note body in order; a begin without a later end is text.
+
+    All marker lines are found first and each begin is given the next end of its id; what stands between the
+    blocks so made is free text.
+    """
+    blank = r"[^\S\n]*"
+    lines = re.compile(rf"^{blank}<!--(?:{blank}{re.escape(marker)}:begin[^\S\n]+([A-Za-z0-9][\w.\-]*)(?:[^\S\n]+h=([0-9a-f]+))?{blank}| {re.escape(marker)}:end ([A-Za-z0-9][\w.\-]*) )-->{blank}$", re.A | re.M)
+    marks = list(lines.finditer(body))
+    ends: dict[str, list[re.Match]] = {}
+    for m in marks:
+        if m[3]:
+            ends.setdefault(m[3], []).append(m)
     out: list[tuple[str | None, str, str | None]] = []
-    free: list[str] = []
-    i = 0
-    while i < len(lines):
-        m = begin.fullmatch(lines[i].strip())
-        end = next((j for j in ends.get(f"<!-- {marker}:end {m[1]} -->", ()) if j > i), None) if m else None
-        if end is None:
-            free.append(lines[i])
-            i += 1
+    at = 0  # where the next line begins that is not yet dealt with
+    for m in marks:
+        if not m[1] or m.start() < at:
             continue
-        if free:
-            out.append((None, "\n".join(free), None))
-            free = []
-        out.append((m[1], "\n".join(lines[i + 1 : end]).strip(), m[2]))
-        i = end + 1
-    return [*out, (None, "\n".join(free), None)] if free else out
+        own = ends.get(m[1], [])
+        k = bisect.bisect_right(own, m.start(), key=lambda e: e.start())
+        if k == len(own):
+            continue
+        if m.start() > at:
+            out.append((None, body[at : m.start() - 1], None))
+        out.append((m[1], body[m.end() + 1 : own[k].start()].strip(), m[2]))
+        at = own[k].end() + 1
+    return [*out, (None, body[at:], None)] if at <= len(body) else out
+
 
+def parse_segments(notes: DataFrame, key: str = "note_id", body: str = "body", marker: str = MARKER, generated: str | None = None) -> DataFrame:
+    """(note_id, pos, block_id, content, written_hash): the segments of each note body; null bodies have none.
 
-def parse_segments(notes: DataFrame, key: str = "note_id", body: str = "body", marker: str = MARKER) -> DataFrame:
-    """(note_id, pos, block_id, content, written_hash): the segments of each note body; null bodies have none."""
+    generated names a boolean column. With it, a note without a block of ours has none if that is true, since an older
+    version wrote it and it can be written anew, or if it is blank; else it is somebody's own and is one free segment.
+    """
+    asked = [key, body, *([generated] if generated else [])]
+
+    def of(text: str, ours: bool):
+        found = segments_of(text, marker)
+        if not generated or any(s[0] is not None for s in found):
+            return found
+        return [] if ours or not text.strip() else [(None, text.rstrip("\n") + "\n", None)]
 
     def run(batches):
         for batch in batches:
-            rows = [(k, i, *s) for k, b in zip(batch[key], batch[body], strict=True) if isinstance(b, str) for i, s in enumerate(segments_of(b, marker))]
+            ours = batch[generated].fillna(False).astype(bool) if generated else [False] * len(batch)
+            rows = [(k, i, *s) for k, b, o in zip(batch[key], batch[body], ours, strict=True) if isinstance(b, str) for i, s in enumerate(of(b, o))]
             yield pd.DataFrame(rows, columns=[key, "pos", "block_id", "content", "written_hash"])
 
-    return notes.select(key, body).mapInPandas(run, f"{key} {notes.schema[key].dataType.simpleString()}, {SEGMENT}")
+    return notes.select(*asked).mapInPandas(run, f"{key} {notes.schema[key].dataType.simpleString()}, {SEGMENT}")
 
 
 def digest(content: str) -> str:
@@ -71,7 +101,7 @@ def merged(segments: list[tuple], generated: list[tuple[str, str]], marker: str
     warnings = []
     for i, (b, _, _) in enumerate(segments):
         if b is not None and b in first:
-            warnings.append(f"'{b}' appears more than once in the note; only the first copy was updated.")
+            warnings.append(f"block {b} is in the note twice; the later copy stays as it is")
         elif b is not None:
             first[b] = i
     blocks = [i for i, s in enumerate(segments) if s[0] is not None]
@@ -84,16 +114,16 @@ def merged(segments: list[tuple], generated: list[tuple[str, str]], marker: str
             _, old, written = segments[at]
             notes[at] = [new]
             if written is not None and digest(old) != written:
-                gap = "\n\n" if old.lstrip().startswith(("---", "- - -", "***", "___")) else "\n"
-                notes[at].append((None, f"\n<!-- {marker}: your edit to {b}, kept below -->{gap}{old}", None))
-                warnings.append(f"You had edited inside the '{b}' block. It was rewritten and your version kept directly below it.")
+                gap = "\n\n" if re.match(T.RULE, old.lstrip()) else "\n"
+                notes[at].append((None, f"\n<!-- {marker}: what was changed in {b} by hand -->{gap}{old}", None))
+                warnings.append(f"block {b} had been changed by hand; it is new now, with the changed text behind it")
         else:
             place = next((i for i in blocks if i > at), len(segments))
             before.setdefault(place, []).append(new)
         done.add(b)
     out = [s for i in range(len(segments) + 1) for s in [*before.get(i, []), *(notes[i] if i < len(segments) else [])]]
     known = {b for b, _ in generated}
-    warnings += [f"'{b}' was not part of this sync, so the note keeps what it already had." for b, _, _ in out if b is not None and b not in known]
+    warnings += [f"block {b} is no longer made; the note keeps it" for b, _, _ in out if b is not None and b not in known]
     return out, warnings
 
 
@@ -131,89 +161,70 @@ def block_diff(segments: DataFrame, generated: DataFrame, key: str = "note_id")
     return main.union(extra)
 
 
-def blocks_of(text: str, depth: int = 0, owner: int | None = None, rows: list | None = None) -> list[tuple]:
+def _kind(line: str) -> tuple[str, re.Match | None]:
+    return next(((k, m) for k, p in LINES.items() if (m := p.fullmatch(line))), ("paragraph", None))
+
+
+def _taken(lines: list[str], i: int, kind: str) -> tuple[int, list[str]]:
+    """(where the next block begins, the lines of the block of that kind that begins at i)."""
+    j = i + 1
+    if kind in ("code", "math"):
+        closes = (lambda x: x.strip().startswith(lines[i].strip()[0] * 3)) if kind == "code" else (lambda x: x.strip() == "$$")
+        while j < len(lines) and not closes(lines[j]):
+            j += 1
+        return j + 1, lines[i + 1 : j]
+    if kind in ("paragraph", "quote", "table"):
+        while j < len(lines) and _kind(lines[j])[0] == kind:
+            j += 1
+    return j, lines[i:j]
+
+
+def blocks_of(text: str) -> list[tuple]:
     """(pos, kind, text, level, parent_pos, owner, depth, attrs): the Markdown blocks of a page in reading order.
 
-    owner is the callout that a block is in, depth how many callouts; parent_pos its list item or callout.
+    owner is the callout that a block is in, depth how many callouts; parent_pos its list item or callout. A callout's
+    lines are put aside as a text of their own, which is read before what follows, however deep it goes.
     """
-    rows = [] if rows is None else rows
-    lines = text.replace("\r\n", "\n").split("\n")
-    paragraph: list[str] = []
-    items: list[tuple[int, int]] = []
-
-    def put(kind: str, text: str = "", level: int = 0, parent: int | None = owner, **attrs: str) -> int:
-        rows.append((len(rows), kind, text, level, parent, owner, depth, attrs))
-        return len(rows) - 1
-
-    def close() -> None:
-        if joined := "\n".join(paragraph).strip():
-            put("paragraph", joined)
-        paragraph.clear()
-
-    def run_of(i: int, test) -> int:
-        while i < len(lines) and test(lines[i]):
-            i += 1
-        return i
-
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        fence = re.fullmatch(r"\s{0,3}(`{3,}|~{3,})\s*(\S*)\s*", line)
-        heading = re.fullmatch(r"(#{1,6})\s+(.*)", line)
-        rule = re.fullmatch(r"\s{0,3}([-*_])(\s*\1){2,}\s*", line)
-        item = _ITEM.fullmatch(line)
-        if rule or not item:
-            items = []
-        if not (blank := not line.strip()) and not (fence or heading or rule or item or line.strip() == "$$" or line.lstrip().startswith(">") or re.fullmatch(r"\s*\|.*\|\s*", line)):
-            paragraph.append(line)
-            i += 1
-            continue
-        close()
-        if blank:
-            i += 1
-        elif fence:
-            end = run_of(i + 1, lambda x: not x.strip().startswith(fence[1][0] * 3))  # noqa: B023
-            put("code", "\n".join(lines[i + 1 : end]), language=fence[2])
-            i = end + 1
-        elif line.strip() == "$$":
-            end = run_of(i + 1, lambda x: x.strip() != "$$")
-            put("math", "\n".join(lines[i + 1 : end]).strip(), display="true")
-            i = end + 1
-        elif rule:
-            put("divider")
-            i += 1
-        elif heading:
-            put("heading", heading[2].strip(), len(heading[1]))
-            i += 1
-        elif line.lstrip().startswith(">"):
-            end = run_of(i, lambda x: x.lstrip().startswith(">"))
-            quoted = [x.lstrip() for x in lines[i:end]]
-            inner = [re.sub(r"^>\s?", "", x) for x in quoted]
-            if m := _CALLOUT.fullmatch(quoted[0]):
-                me = put("callout", m[2].strip(), callout_type=m[1].strip().lower())
-                blocks_of("\n".join(inner[1:]), depth + 1, me, rows)
-            else:
-                put("quote", "\n".join(inner).strip())
-            i = end
-        elif item:
-            task = _TASK.fullmatch(line)
-            level = len(item[1]) // _INDENT
-            while items and items[-1][0] >= level:
-                items.pop()
-            parent = items[-1][1] if items else owner
-            if task:
-                me = put("task_list", task[3].strip(), level, parent, checked=str(task[2] in "xX").lower())
-            elif item[2]:
-                me = put("list", item[3].strip(), level, parent, ordered="true", number=str(int(item[2])))
-            else:
-                me = put("list", item[3].strip(), level, parent, ordered="false")
-            items.append((level, me))
-            i += 1
-        else:
-            end = run_of(i, lambda x: re.fullmatch(r"\s*\|.*\|\s*", x))
-            put("table", "\n".join(x.strip() for x in lines[i:end]))
-            i = end
-    close()
+    rows: list[tuple] = []
+    open_ = [(text.replace("\r\n", "\n").split("\n"), 0, 0, None)]  # texts that are not read to the end: lines, the next one, depth, owner
+    while open_:
+        lines, i, depth, owner = open_.pop()
+        items: list[tuple[int, int]] = []  # open list items: level, pos
+        while i < len(lines):
+            kind, m = _kind(lines[i])
+            after, own = _taken(lines, i, kind)
+            body, level, parent, attrs = "\n".join(own), 0, owner, {}
+            if kind not in ("list", "task_list"):
+                items = []
+            if kind in ("paragraph", "math"):
+                body = body.strip()
+                attrs = {"display": "true"} if kind == "math" else {}
+            elif kind == "code":
+                attrs = {"language": m[1]}
+            elif kind == "divider":
+                body = ""
+            elif kind == "heading":
+                body, level = m[2].strip(), len(m[1])
+            elif kind == "table":
+                body = "\n".join(x.strip() for x in own)
+            elif kind == "quote":
+                named = CALLOUT.fullmatch(own[0].lstrip())
+                body = "\n".join(QUOTED.sub("", x, count=1) for x in own).strip()
+                if named:
+                    kind, body, attrs = "callout", named[2].strip(), {"callout_type": named[1].strip().lower()}
+            elif kind in ("list", "task_list"):
+                body, level = m[3].strip(), len(m[1]) // _INDENT
+                while items and items[-1][0] >= level:
+                    items.pop()
+                parent = items[-1][1] if items else owner
+                items.append((level, len(rows)))
+                attrs = {"checked": str(m[2] in "xX").lower()} if kind == "task_list" else {"ordered": "true", "number": m[2].lstrip("0") or "0"} if m[2] else {"ordered": "false"}
+            i = after
+            if kind != "blank" and (body or kind != "paragraph"):
+                rows.append((len(rows), kind, body, level, parent, owner, depth, attrs))
+            if kind == "callout":
+                open_ += [(lines, i, depth, owner), ([QUOTED.sub("", x, count=1) for x in own[1:]], 0, depth + 1, len(rows) - 1)]
+                break
     return rows
 
 
@@ -256,11 +267,14 @@ WRITERS = {
 }
 
 
-def render_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), max_depth: int = 3, writers: dict = WRITERS) -> DataFrame:
+def render_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), writers: dict = WRITERS) -> DataFrame:
     """(*keys, text): blocks as Markdown. Items of one list are joined by a line end, all else by a blank line.
 
-    Callouts are written from the innermost outwards, max_depth levels of them.
+    Callouts are written from the innermost outwards, as many levels as the blocks have. The blocks are written to the
+    shared folder once, as each level reads them; so are levels below the fourth, which keeps the plan small.
     """
+    blocks = written(blocks)
+    max_depth = blocks.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     b = {c: F.col(c) for c in ("text", "level", "attrs")}
     shown = None
     for kind, write in writers.items():
@@ -283,37 +297,73 @@ def render_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), max_de
             body = F.array_join(F.transform(F.split("__inner", "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
             level = level.join(inner, [*keys, "pos"], "left").withColumn("__shown", F.when(F.col("kind") == "callout", F.concat("__shown", F.lit("\n"), F.coalesce(body, F.lit(">")))).otherwise(F.col("__shown"))).drop("__inner")
         inner = joined(level, [*keys, "owner"]).withColumnsRenamed({"owner": "pos", "text": "__inner"})
+        if depth > 3:
+            inner = written(inner)
     return inner.select(*keys, F.col("__inner").alias("text"))
 
 
-def claim_names(docs: DataFrame, notes: DataFrame, most: int = 99) -> DataFrame:
-    """(doc_id, dir, name): for each document in order the first name that is free or its own already.
+def claim_names(docs: DataFrame, notes: DataFrame, most: int = 99, sentinel: str | None = None) -> DataFrame:
+    """(doc_id, dir, name, warnings): for each document in order the first name that is free or its own already.
 
     docs: (doc_id, dir, base, ord); notes: (dir, name, owner, readable). 'x', 'x (2)' … 'x (99)', then
-    'x (100)' unchecked. An unreadable note is never free; one without owner is. Only names that
-    several documents or notes want go through Python, a group for each name.
+    'x (100)' unchecked, with a warning. An unreadable note is never free and gets a warning; one without owner is free.
+    A document named as the sentinel begins at 'sentinel (2)'.
+
+    A document that owns the note of its first name has it. So has one whose name nobody else wants, no note bears
+    and no other document can reach by counting up. The others are settled in order, in groups of names with one stem. Of the
+    documents that want the same name only the first most + 1 and owners of notes can get anything but the last name,
+    so only they go into a group, with the notes that they may meet; a thousand 'Untitled' more are named at once.
     """
-    safe = docs.select("doc_id", "dir", S.sanitize_filename(F.col("base")).alias("base"), "ord")
-    stem = F.regexp_replace("name", r" \(\d+\)$", "")
-    taken = notes.select("dir", stem.alias("base"), "name", "owner", F.coalesce("readable", F.lit(False)).alias("readable"))
-    wants = safe.groupBy("dir", "base").agg(F.count("*").alias("n")).unionByName(taken.groupBy("dir", "base").agg((F.count("*") + 1).alias("n")))
-    contested = wants.groupBy("dir", "base").agg((F.sum("n") > 1).alias("contested")).toDF("__dir", "__base", "contested")
-    marked = safe.join(contested, (F.col("dir") == F.col("__dir")) & (F.col("base") == F.col("__base"))).drop("__dir", "__base")
-    alone = marked.filter("not contested").select("doc_id", "dir", F.col("base").alias("name"))
+    stem = lambda x: F.regexp_replace(x, r"(?: \(\d+\))+$", "")
+    shorter = lambda x: F.regexp_extract(x, r"^(.*) \(\d+\)$", 1)
+    number = lambda x: F.regexp_extract(x, r" \((\d{1,4})\)$", 1).try_cast("int")
+    base = S.sanitize_filename(F.col("base"))
+    base = F.when(base == sentinel, F.concat(base, F.lit(" (2)"))).otherwise(base) if sentinel else base
+    wants = written(docs.select("doc_id", "dir", base.alias("base"), "ord"))
+    held = notes.select("dir", "name", "owner", F.coalesce("readable", F.lit(False)).alias("readable"))
+    wanted = wants.groupBy("dir", "base").agg(F.count("*").alias("n"))
+
+    first = held.groupBy("dir", F.col("name").alias("base")).agg(F.max(F.when(F.col("readable"), F.col("owner"))).alias("owner"), F.lit(True).alias("taken"))
+    reach = wanted.select("dir", F.col("base").alias("below"), F.lit(True).alias("reached"))
+    marked = wants.join(wanted, ["dir", "base"]).join(first, ["dir", "base"], "left").withColumn("below", shorter(F.col("base"))).join(reach, ["dir", "below"], "left")
+    own = F.coalesce(F.col("owner") == F.col("doc_id"), F.lit(False))
+    marked = written(marked.select("doc_id", "dir", "base", "ord", (own | ((F.col("n") == 1) & F.col("taken").isNull() & F.col("reached").isNull())).alias("settled")))
+    none = F.array().cast("array<string>")
+    settled = marked.filter("settled").select("doc_id", "dir", F.col("base").alias("name"), none.alias("warnings"))
+
+    rest = marked.filter("not settled").drop("settled")
+    bases = rest.select("dir", "base").distinct()
+    meets = held.withColumn("base", F.col("name")).union(held.filter(number(F.col("name")).between(2, most + 1)).withColumn("base", shorter(F.col("name"))))
+    meets = meets.join(bases, ["dir", "base"], "left_semi").drop("base").distinct()
+    owners = meets.filter("owner is not null").select(F.col("owner").alias("doc_id")).distinct()
+    turn = F.row_number().over(Window.partitionBy("dir", "base").orderBy("ord", "doc_id"))
+    rest = rest.withColumn("turn", turn).join(owners.withColumn("owns", F.lit(True)), "doc_id", "left")
+    rest = written(rest.select("doc_id", "dir", "base", "ord", ((F.col("turn") > most + 1) & F.col("owns").isNull()).alias("late")))
+    full = lambda b: F.concat(F.lit("no name like "), b, F.lit(" is free; the last one is shared"))
+    late = rest.filter("late").select("doc_id", "dir", F.concat("base", F.lit(f" ({most + 1})")).alias("name"), F.array(full(F.col("base"))).alias("warnings"))
 
     def run(want: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         held = {n: (o if isinstance(o, str) else None, bool(r)) for n, o, r in have[["name", "owner", "readable"]].itertuples(index=False, name=None)}
         rows = []
-        for doc, where, base in want.sort_values("ord")[["doc_id", "dir", "base"]].itertuples(index=False, name=None):
-            names = [base, *(f"{base} ({i})" for i in range(2, most + 1))]
-            name = next((n for n in names if n not in held or held[n][1] and held[n][0] in (None, doc)), f"{base} ({most + 1})")
+        for doc, where, base in want.sort_values(["ord", "doc_id"])[["doc_id", "dir", "base"]].itertuples(index=False, name=None):
+            warnings = []
+            for name in [base, *(f"{base} ({i})" for i in range(2, most + 1))]:
+                owner, readable = held.get(name, (None, True))
+                if readable and owner in (None, doc):
+                    break
+                if not readable:
+                    warnings.append(f"{name} can't be read and stays; the document went beside it")
+            else:
+                name = f"{base} ({most + 1})"
+                warnings.append(f"no name like {base} is free; the last one is shared")
             held[name] = (doc, True)
-            rows.append((doc, where, name))
-        return pd.DataFrame(rows, columns=["doc_id", "dir", "name"])
+            rows.append((doc, where, name, warnings))
+        return pd.DataFrame(rows, columns=["doc_id", "dir", "name", "warnings"])
 
-    held_names = taken.toDF("__dir", "__base", "name", "owner", "readable")
-    hard = marked.filter("contested").groupBy("dir", "base").cogroup(held_names.groupBy("__dir", "__base")).applyInPandas(run, "doc_id string, dir string, name string")
-    return alone.union(hard)
+    few = rest.filter("not late").withColumn("stem", stem(F.col("base")))
+    met = meets.select(F.col("dir").alias("__dir"), stem(F.col("name")).alias("__stem"), "name", "owner", "readable")
+    hard = few.groupBy("dir", "stem").cogroup(met.groupBy("__dir", "__stem")).applyInPandas(run, "doc_id string, dir string, name string, warnings array<string>")
+    return settled.union(late).union(hard)
 
 
 def prune_orphans(orphans: DataFrame, publications: DataFrame, notes: DataFrame) -> DataFrame:
@@ -338,10 +388,62 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("segments"))
 
 
-def build_notes(docs: DataFrame, pages: DataFrame, today: str) -> DataFrame:
-    """(doc_id, note): new notes from docs (doc_id, title, tags) and pages; a document without pages has a front matter alone."""
-    rows = docs.join(page_blocks(pages), "doc_id", "left")
-    front = T.render_frontmatter({"docsync_id": F.col("doc_id").cast("string"), "created": F.lit(today), "updated": F.lit(today), "source": F.concat(F.lit("docsync/"), F.col("title"))}, {"tags": F.col("tags")})
-    empty = F.array().cast("array<struct<idx:bigint,block_id:string,content:string,written_hash:string>>")
-    body = T.render_segments(F.coalesce("segments", empty))
-    return rows.select("doc_id", F.concat(F.lit("---\n"), front, F.lit("\n---\n"), body, F.lit("\n")).alias("note"))
+def generated_blocks(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, pos, block_id, content): a block for each page; the body where there are no pages; the gallery of page images.
+
+    docs may have body_text; pages: (doc_id, idx, text, error), and image, a link, if any.
+    """
+    none = F.lit(None).cast("string")
+    body = F.col("body_text") if "body_text" in docs.columns else none
+    image = F.col("image") if "image" in pages.columns else none
+    own = pages.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    paged = own.select("doc_id", F.col("idx").cast("long").alias("pos"), F.concat(F.lit("page-"), (F.col("idx") + 1).cast("string")).alias("block_id"), S.page_body(F.col("text"), F.col("error")).alias("content"))
+    alone = docs.join(own.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = alone.filter(F.coalesce(S.strip(body) != "", F.lit(False))).select("doc_id", F.lit(0).cast("long"), F.lit("body"), S.strip(body))
+    shown = F.transform(F.array_sort(F.collect_list(F.when(image.isNotNull(), F.struct("idx", image.alias("image"))))), lambda x: F.concat(F.lit("![["), x["image"], F.lit("]]")))
+    gallery = own.groupBy("doc_id").agg(shown.alias("shown")).filter(F.size("shown") > 0)
+    gallery = gallery.select("doc_id", F.lit(1 << 40), F.lit("attachments"), F.concat(F.lit("---\n\n## Original Pages\n\n"), F.array_join("shown", "\n\n")))
+    return paged.union(whole).union(gallery)
+
+
+def build_notes(docs: DataFrame, pages: DataFrame, today: str, existing: DataFrame | None = None, base_tags: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, note, warnings): whole notes of docs, merged into the existing ones.
+
+    docs: (doc_id, title, tags) and, if there, folder_parts, type, link, modified, first_published, body_text;
+    pages as for generated_blocks; existing: (doc_id, text), at most one row a document. Of an existing note
+    the first date, tags, front matter that isn't ours, text between our blocks and blocks that are no longer made stay;
+    a note without our blocks stays above ours, unless an older version wrote it. Documents without an existing note,
+    mostly nearly all, are rendered natively. A document without pages and text has a front matter alone.
+    """
+    given = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+    strings = F.array().cast("array<string>")
+    old = existing if existing is not None else docs.select("doc_id", F.lit(None).cast("string").alias("text")).limit(0)
+    old = old.filter("text is not null").select("doc_id", T.split_frontmatter(F.col("text")).alias("x")).select("doc_id", "x.front", "x.body")
+    old = written(old.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    fresh = generated_blocks(docs, pages)
+    fresh = fresh.select("doc_id", "pos", "block_id", "content", S.block_digest(F.col("content")).alias("written_hash"))
+
+    both = old.select("doc_id").distinct()
+    parsed = parse_segments(old.withColumn("ours", T.looks_generated(F.col("front"))), "doc_id", "body", generated="ours")
+    merged = merge_notes(parsed, fresh.join(both, "doc_id", "left_semi").drop("written_hash"), "doc_id")
+    plain = fresh.join(both, "doc_id", "left_anti").withColumn("warnings", strings)
+    columns = ["doc_id", F.col("pos").cast("long").alias("pos"), "block_id", "content", "written_hash", "warnings"]
+    rows = plain.select(*columns).union(merged.select(*columns))
+    one = F.struct("pos", "block_id", "content", "written_hash")
+    bodies = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("segments"), F.flatten(F.collect_list("warnings")).alias("warnings"))
+
+    all_ = docs.join(old.select("doc_id", "front"), "doc_id", "left").join(bodies, "doc_id", "left")
+    front = F.coalesce("front", strings)
+    modified, published = S.to_iso_date(given("modified", "string")), S.to_iso_date(given("first_published", "string"))
+    kind = F.when(given("type", "string").isin("pdf", "epub"), given("type", "string"))
+    path = F.array_join(F.concat(F.filter(F.transform(F.coalesce(given("folder_parts", "array<string>"), strings), S.strip), lambda x: x != ""), F.array(S.strip(F.col("title")))), "/")
+    link = F.concat(F.lit('"[['), given("link", "string"), F.lit(']]"'))
+    tags = merge_tags(F.array(*[F.lit(t) for t in base_tags]).cast("array<string>"), F.col("tags"), T.frontmatter_list(front, "tags"))
+    values = {
+        "docsync_id": F.col("doc_id").cast("string"), "created": F.coalesce(T.frontmatter_value(front, "created"), published, modified, F.lit(today)), "updated": F.coalesce(modified, F.lit(today)),
+        "synced": F.lit(today), "source": F.concat(F.lit("docsync/"), path), "type": kind, "document": link,
+    }
+    head = F.array_join(F.concat(F.array(F.lit("---"), T.render_frontmatter(values, {"tags": tags})), T.foreign_frontmatter(front), F.array(F.lit("---"), F.lit(""))), "\n")
+    empty = F.array().cast("array<struct<pos:bigint,block_id:string,content:string,written_hash:string>>")
+    note = F.concat(F.regexp_replace(F.concat(head, T.render_segments(F.coalesce("segments", empty))), "\\n+\\z", ""), F.lit("\n"))
+    return all_.select("doc_id", note.alias("note"), F.coalesce("warnings", strings).alias("warnings"))

@@ -56,17 +56,27 @@ def breadcrumbs(pages: DataFrame, toc: DataFrame) -> DataFrame:
 
     Entries count in outline order up to the first that lies beyond the page; one at a level ends
     deeper and equal ones before it; blank titles are dropped. pages: (doc_id, page); toc:
-    (doc_id, ord, level, title, page). An entry's reach is found once from its document's outline.
+    (doc_id, ord, level, title, page). One pass over a document's outline carries the open entries along; each page
+    then takes what was open at the last entry at or before it, by one sort of both, so pages and entries are never paired.
     """
     own = Window.partitionBy("doc_id").orderBy("ord")
     # an entry is seen from pages of the largest page number up to it
     seen = F.max("page").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    entries = toc.withColumn("from_page", seen).select("doc_id", "ord", "level", "title", "from_page")
-    joined = pages.select("doc_id", "page").distinct().join(entries, "doc_id").filter("from_page <= page")
-    later = Window.partitionBy("doc_id", "page").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    in_force = joined.withColumn("__low", F.min("level").over(later)).filter("__low is null or __low > level").filter(F.coalesce(F.col("title") != "", F.lit(False)))
-    trail = in_force.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "title"))), lambda x: x["title"]).alias("breadcrumbs"))
-    out = pages.join(trail, ["doc_id", "page"], "left")
+    entry = F.struct("ord", "level", "title", seen.alias("at"))
+    outlines = toc.select("doc_id", entry.alias("e")).groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    open_ = F.struct(F.lit(0).alias("level"), F.lit("").alias("title"))
+    state = F.struct(F.filter(F.array(open_), lambda x: F.lit(False)).alias("now"), F.array().cast("array<struct<at:bigint,ord:bigint,trail:array<string>>>").alias("out"))
+
+    def step(st: Column, e: Column) -> Column:
+        now = F.concat(F.filter(st["now"], lambda x: x["level"] < e["level"]), F.array(F.struct(e["level"].cast("int").alias("level"), F.coalesce(e["title"], F.lit("")).alias("title"))))
+        return F.transform(F.array(now), lambda n: F.struct(n.alias("now"), F.concat(st["out"], F.array(F.struct(e["at"].cast("long").alias("at"), e["ord"].cast("long").alias("ord"), F.filter(F.transform(n, lambda x: x["title"]), lambda x: x != "").alias("trail")))).alias("out")))[0]
+
+    trails = outlines.select("doc_id", F.inline(F.aggregate("entries", state, step, lambda st: st["out"])))
+    asked = pages.select("doc_id", "page").distinct()
+    both = trails.select("doc_id", F.col("at").alias("t"), F.lit(0).alias("kind"), "ord", "trail").unionByName(asked.select("doc_id", F.col("page").cast("long").alias("t"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    before = Window.partitionBy("doc_id").orderBy("t", "kind", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("breadcrumbs", F.last("trail", True).over(before)).filter("kind = 1").select("doc_id", F.col("t").alias("page"), "breadcrumbs")
+    out = pages.join(found, ["doc_id", "page"], "left")
     return out.withColumn("breadcrumbs", F.coalesce("breadcrumbs", F.array().cast("array<string>")))
 
 

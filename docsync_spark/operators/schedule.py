@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsync_spark.sources.scratch import configuration
+from docsync_spark.sources.scratch import SMALL, configuration
 
 _RANGES = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
 _NAMES = ({}, {}, {}, {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}, {d: i for i, d in enumerate("sun mon tue wed thu fri sat".split())})
@@ -36,28 +36,40 @@ def parse_cron(expr: str) -> list[set[int]]:
     return out
 
 
-def cron_fires(spark: SparkSession, expr: str, start: str, end: str, tz: str = "UTC") -> DataFrame:
-    """(fire timestamp) in [start, end) by the local wall clock of tz, start and end local dates or times.
+def fires_of(rows: DataFrame, expr: str = "expr", start: str = "start", end: str = "end", tz: str = "UTC") -> DataFrame:
+    """rows with fire, once for each moment in [start, end) at which the row's cron expression fires.
 
-    A local time that is skipped fires at the first instant after the gap, once; one that comes
-    twice fires the first time. Day of month and day of week are alternatives if both are given.
+    start and end are local dates or times on the wall clock of tz. A local time that is skipped fires at the first
+    instant after the gap, once; one that comes twice fires the first time. Day of month and day of week are
+    alternatives if both are given. The distinct expressions are configuration: they are read on the driver, SMALL at most.
+    Rows are expanded where they are. A row without an expression, or whose start isn't before its end, has no fires.
     """
-    minute, hour, day, month, weekday = parse_cron(expr)
-    both = expr.split()[2] != "*" and expr.split()[4] != "*"
-    t = F.col("local")
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("interval 1 day"))).alias("d"))
-    on_day, on_week = F.dayofmonth("d").isin(sorted(day)), (F.dayofweek("d") - 1).isin(sorted(weekday))
-    days = days.filter(F.month("d").isin(sorted(month)) & ((on_day | on_week) if both else (on_day & on_week)))
-    slots = F.array(*[F.lit(h * 60 + m) for h in sorted(hour) for m in sorted(minute)])
-    local = days.select(F.explode(slots).alias("m"), "d").select(F.expr("cast(d as timestamp_ntz) + make_dt_interval(0, 0, m, 0)").alias("local"))
-    local = local.filter((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
+    exprs = [r[0] for r in rows.filter(F.col(expr).isNotNull()).select(expr).distinct().limit(SMALL + 1).collect()]
+    if len(exprs) > SMALL:
+        raise ValueError(f"more than {SMALL} different cron expressions")
+    fields = [(e, *[sorted(x) for x in parse_cron(e)], e.split()[2] != "*" and e.split()[4] != "*") for e in exprs]
+    kinds = ", ".join(f"__{x} array<int>" for x in ("minute", "hour", "day", "month", "weekday"))
+    table = rows.sparkSession.createDataFrame(fields, f"__expr string, {kinds}, __either boolean")
+    t = F.col("__local")
+    asked = rows.withColumns({"__from": F.col(start).cast("timestamp_ntz"), "__to": F.col(end).cast("timestamp_ntz")}).filter("__from < __to")
+    days = asked.join(F.broadcast(table), F.col(expr) == F.col("__expr")).withColumn("__d", F.explode(F.sequence(F.to_date("__from"), F.to_date("__to"), F.expr("interval 1 day"))))
+    on_day, on_week = F.array_contains("__day", F.dayofmonth("__d")), F.array_contains("__weekday", F.dayofweek("__d") - 1)
+    days = days.filter(F.array_contains("__month", F.month("__d")) & F.when(F.col("__either"), on_day | on_week).otherwise(on_day & on_week))
+    slots = F.flatten(F.transform("__hour", lambda h: F.transform("__minute", lambda m: h * 60 + m)))
+    local = days.withColumn("__m", F.explode(slots)).withColumn("__local", F.expr("cast(__d as timestamp_ntz) + make_dt_interval(0, 0, __m, 0)"))
+    local = local.filter((t >= F.col("__from")) & (t < F.col("__to")))
     fire = F.to_utc_timestamp(t.cast("timestamp"), tz) if tz != "UTC" else t.cast("timestamp")
     back = F.from_utc_timestamp(fire, tz).cast("timestamp_ntz") if tz != "UTC" else t
     # in a gap the clock read back differs from the one asked for: go back by what it is ahead, to the gap's end
     ahead = F.unix_timestamp(back.cast("timestamp")) - F.unix_timestamp(t.cast("timestamp"))
-    out = local.withColumns({"fire": fire, "ahead": ahead})
-    past = F.timestamp_seconds(F.unix_timestamp("fire") - (F.unix_timestamp(t.cast("timestamp")) % 3600))
-    return out.select(F.when(F.col("ahead") == 0, F.col("fire")).otherwise(past).alias("fire")).distinct()
+    past = F.timestamp_seconds(F.unix_timestamp(fire) - (F.unix_timestamp(t.cast("timestamp")) % 3600))
+    return local.select(*rows.columns, F.when(ahead == 0, fire).otherwise(past).alias("fire")).distinct()
+
+
+def cron_fires(spark: SparkSession, expr: str, start: str, end: str, tz: str = "UTC") -> DataFrame:
+    """(fire timestamp) of one expression, as fires_of has them."""
+    one = spark.range(1).select(F.lit(expr).alias("expr"), F.lit(start).alias("start"), F.lit(end).alias("end"))
+    return fires_of(one, tz=tz).select("fire")
 
 
 def as_of(times: DataFrame, fires: DataFrame, by: str, time_col: str = "t", fire_col: str = "fire") -> DataFrame:

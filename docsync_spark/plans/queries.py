@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from docsync_spark.functions import scalars as S
 from docsync_spark.functions import text as T
 from docsync_spark.operators import hierarchy, memo, notes, pages, report, schedule, selection, state
-from docsync_spark.plans.bindings import Tables, with_bindings
+from docsync_spark.plans.bindings import BINDINGS, Tables, with_bindings
 from docsync_spark.sources import files, scratch, sinks
 from docsync_spark.streaming import streams
 
@@ -451,9 +452,10 @@ def _(t):
     return memo.prune_cache(t.b_cache, 90, F.lit(300)).select("doc_id", "size")
 
 
-@query("h03_apply_memoized", f"SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN '' WHEN hit THEN 'done' ELSE '<' || substr(text, 1, 5) END AS result, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'blank' WHEN hit THEN 'cache' ELSE 'computed' END AS source FROM ({_HIT}) JOIN documents USING (doc_id)")
+@query("h03_apply_memoized", f"SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN '' WHEN hit THEN 'done' ELSE sha256(text) END AS result, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'blank' WHEN hit THEN 'cache' ELSE 'computed' END AS source FROM ({_HIT}) JOIN documents USING (doc_id)")
 def _(t):
-    out = memo.apply_memoized(t.documents.select("doc_id", "text"), F.lit("fp1"), lambda text: "<" + text[:5], _cache(t), lambda new: new)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    out = memo.apply_memoized(t.documents.select("doc_id", "text"), F.lit("fp1"), digest, _cache(t), scratch.written)
     return out.select("doc_id", "result", "source")
 
 
@@ -571,9 +573,9 @@ def _(t):
     return report.headline(report.run_totals(t.b_outcomes)).select("run_id", "headline")
 
 
-@query("h11_run_report", _SELECT + "SELECT id AS doc_id, 'skipped' AS status, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT id, 'deferred', 'deferred' FROM (SELECT id FROM j WHERE reason IS NULL QUALIFY row_number() OVER (ORDER BY ord) > 50) UNION ALL SELECT doc_id, status, reason FROM b_outcomes WHERE run_id = 7")
+@query("h11_run_report", _SELECT + "SELECT id AS doc_id, 'skipped' AS status, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT id, 'deferred', 'deferred' FROM (SELECT id FROM j WHERE reason IS NULL QUALIFY row_number() OVER (ORDER BY ord) > 50) UNION ALL SELECT doc_id, status, reason FROM b_outcomes")
 def _(t):
-    return report.run_report(_selected(t), t.b_outcomes.filter("run_id = 7")).select("doc_id", "status", "reason")
+    return report.run_report(_selected(t), t.b_outcomes).select("doc_id", "status", "reason")
 
 
 @query("d13_run_outcome", """
@@ -589,11 +591,14 @@ def _(t):
     return found.select("run_id", F.array_join("messages", ",").alias("messages"))
 
 
-@query("a11_report_json", f"SELECT run_id, seen, published, seen AS documents FROM ({_TOTALS})")
+@query("a11_report_json", f"SELECT t.run_id, t.seen, t.published, t.partial, d.documents, 'run ' || t.run_id || ' said so' AS warnings FROM ({_TOTALS}) t JOIN (SELECT run_id, md5(string_agg(name || ':' || status || ':' || coalesce(reason, '-'), ',' ORDER BY ord)) AS documents FROM b_outcomes GROUP BY run_id) d USING (run_id)")
 def _(t):
-    made = sinks.report_json(report.run_totals(t.b_outcomes), t.b_outcomes)
-    read = F.from_json("report", "seen long, published long, documents array<struct<name:string>>")
-    return made.select("run_id", read.alias("r")).select("run_id", "r.seen", "r.published", F.size("r.documents").cast("long").alias("documents"))
+    totals = report.run_totals(t.b_outcomes)
+    said = totals.select("run_id", F.lit(1).alias("ord"), F.concat(F.lit("run "), c("run_id").cast("string"), F.lit(" said so")).alias("message"))
+    made = sinks.report_json(totals, t.b_outcomes, warnings=said)
+    read = F.from_json("report", "seen long, published long, partial long, documents array<struct<name:string,status:string,reason:string>>, warnings array<string>")
+    line = F.transform("r.documents", lambda x: F.concat_ws(":", x["name"], x["status"], F.coalesce(x["reason"], F.lit("-"))))
+    return made.select("run_id", read.alias("r")).select("run_id", "r.seen", "r.published", "r.partial", F.md5(F.array_join(line, ",").cast("binary")).alias("documents"), F.array_join("r.warnings", ",").alias("warnings"))
 
 
 @query("a10_render_transcripts", """
@@ -621,10 +626,15 @@ def _(t):
     return schedule.as_of(t.b_runs.select("id", "device", c("started_at").alias("t")), _fires(t), "device").select("id", "last_fire", "next_fire")
 
 
-@query("i01_cron_fires", "SELECT x AS fire FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 23:45:00', INTERVAL 15 MINUTE)) AS x) WHERE minute(x) IN (0, 30) AND hour(x) BETWEEN 8 AND 17 AND month(x) IN (1, 2, 3, 12) AND dayofweek(x) BETWEEN 1 AND 5 AND x IN (SELECT x FROM (SELECT 1)) AND EXISTS (SELECT 1 FROM events)")
+@query("i01_cron_fires", """
+WITH u AS (SELECT user_id AS device, user_id % 3 AS k, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) + 1 AS b FROM events GROUP BY user_id),
+s AS (SELECT device, k, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP) - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE)) AS x FROM u)
+SELECT device, x AS fire FROM s WHERE CASE k WHEN 0 THEN minute(x) IN (0, 30) AND hour(x) BETWEEN 8 AND 17 AND dayofweek(x) BETWEEN 1 AND 5 WHEN 1 THEN minute(x) = 0 AND hour(x) = 9 AND (day(x) IN (1, 15) OR dayofweek(x) = 0) ELSE minute(x) = 15 AND hour(x) % 6 = 0 AND month(x) IN (1, 2, 3, 12) END""")
 def _(t):
-    fires = schedule.cron_fires(t.spark, "*/30 8-17 * jan-mar,12 mon-fri", "2024-01-01", "2025-01-01").select(c("fire").cast("timestamp_ntz").alias("fire"))
-    return fires.join(F.broadcast(t.events.limit(1).select(F.lit(1))), how="left_semi", on=F.lit(True))
+    """Every device's fires from its first event's day to its last one's."""
+    exprs = F.when(c("device") % 3 == 0, "*/30 8-17 * * mon-fri").when(c("device") % 3 == 1, "0 9 1,15 * sun").otherwise("15 */6 * jan-mar,12 *")
+    spans = t.events.groupBy(c("user_id").alias("device")).agg(F.to_date(F.min("ts")).alias("start"), F.date_add(F.to_date(F.max("ts")), 1).alias("end"))
+    return schedule.fires_of(spans.withColumn("expr", exprs)).select("device", c("fire").cast("timestamp_ntz").alias("fire"))
 
 
 @query("i02_missed_fires", f"WITH {_FIRES} SELECT device, fire FROM fires f WHERE NOT EXISTS (SELECT 1 FROM b_runs r WHERE r.device = f.device AND r.started_at >= f.fire AND r.started_at < f.fire + INTERVAL 1 DAY) AND fire < TIMESTAMP '2024-01-28' OR fire >= TIMESTAMP '2024-01-28' AND NOT EXISTS (SELECT 1 FROM b_runs r WHERE r.device = f.device AND r.started_at >= f.fire)")
@@ -632,9 +642,10 @@ def _(t):
     return schedule.missed_fires(_fires(t), t.b_runs, "device", latest_only=False)
 
 
-@query("i02_catch_up", f"WITH {_FIRES} SELECT device, max(fire) AS fire FROM fires f WHERE NOT EXISTS (SELECT 1 FROM b_runs r WHERE r.device = f.device AND r.started_at >= f.fire) GROUP BY device")
+@query("i02_catch_up", f"WITH {_FIRES}, r AS (SELECT * FROM b_runs WHERE device % 3 > 0 OR started_at < TIMESTAMP '2024-01-10') SELECT device, max(fire) AS fire FROM fires f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.device = f.device AND r.started_at >= f.fire) GROUP BY device")
 def _(t):
-    return schedule.missed_fires(_fires(t), t.b_runs, "device")
+    """A third of the devices has been off since the 10th."""
+    return schedule.missed_fires(_fires(t), t.b_runs.filter("device % 3 > 0 or started_at < timestamp_ntz'2024-01-10'"), "device")
 
 
 @query("i03_classify_tick", "SELECT id, coalesce(max(finished) OVER (PARTITION BY device ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > started_at, false) AS overlapping FROM (SELECT *, started_at + to_minutes(CAST(id % 600 AS INTEGER)) AS finished FROM b_runs)")
@@ -680,37 +691,71 @@ def _generated(t: Tables) -> DataFrame:
     return t.b_pages.filter("idx % 4 <> 3").select(c("doc_id").alias("note_id"), c("idx").alias("pos"), F.concat(F.lit("page-"), (c("idx") + 1).cast("string")).alias("block_id"), new.alias("content"))
 
 
+_BODIES = """bodies AS (SELECT doc_id, idx, b, doc_id % 5 = 0 AND idx = 0 AS edited, trim('edited ' || b, ' ' || chr(10)) AS e FROM (SELECT *, CASE WHEN error IS NULL THEN trim(text, ' ' || chr(10)) ELSE '> [!warning] Page not transcribed' || chr(10) || '> ' || error END AS b FROM b_pages))"""
+_MERGED = """blocks AS (SELECT *, '<!-- docsync:begin page-' || (idx + 1) || ' h=' || substr(sha256(v), 1, 8) || ' -->' || chr(10) || v || chr(10) || '<!-- docsync:end page-' || (idx + 1) || ' -->' AS block FROM (SELECT *, CASE WHEN idx % 4 <> 3 AND idx % 3 = 0 THEN trim(b || ' more', ' ' || chr(10)) ELSE b END AS v FROM bodies)),
+merged AS (SELECT doc_id, 'my own words' || chr(10) || chr(10) || string_agg(block || CASE WHEN edited THEN chr(10) || chr(10) || '<!-- docsync: what was changed in page-1 by hand -->' || chr(10) || e ELSE '' END, chr(10) || chr(10) ORDER BY idx) || chr(10) || 'the end' AS body, count(*) FILTER (WHERE edited) + count(*) FILTER (WHERE idx % 4 = 3) AS warnings FROM blocks GROUP BY doc_id)"""
+
+
 @query("h04_block_diff", "SELECT doc_id AS note_id, 'page-' || (idx + 1) AS block_id, CASE WHEN idx % 4 = 3 THEN 'kept' WHEN idx = 0 AND doc_id % 5 = 0 THEN 'edited' WHEN idx % 3 = 0 THEN 'replaced' ELSE 'same' END AS state FROM b_pages")
 def _(t):
     return notes.block_diff(notes.parse_segments(_notes(t)), _generated(t))
 
 
-@query("h05_parse_segments", "SELECT doc_id AS note_id, count(*) AS blocks FROM b_pages GROUP BY doc_id")
+@query("h05_parse_segments", f"""
+WITH {_BODIES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS size FROM bodies)
+SELECT doc_id AS note_id, CAST(1 + 2 * k AS INTEGER) AS pos, 'page-' || (idx + 1) AS block_id, md5(CASE WHEN edited THEN e ELSE b END) AS content, substr(sha256(b), 1, 8) AS written_hash FROM n
+UNION ALL SELECT doc_id, CAST(2 * k AS INTEGER), NULL, md5(CASE WHEN k = 0 THEN 'my own words' ELSE '' END), NULL FROM n
+UNION ALL SELECT doc_id, CAST(2 * size AS INTEGER), NULL, md5('the end'), NULL FROM n WHERE k = 0""")
 def _(t):
-    return notes.parse_segments(_notes(t)).filter("block_id is not null").groupBy("note_id").agg(F.count("*").alias("blocks"))
+    return notes.parse_segments(_notes(t)).withColumn("content", F.md5(c("content").cast("binary")))
 
 
-@query("h04_merge_notes")
+@query("h04_merge_notes", f"WITH {_BODIES}, {_MERGED} SELECT doc_id AS note_id, md5(body) AS digest, warnings FROM merged")
 def _(t):
     out = notes.merge_notes(notes.parse_segments(_notes(t)), _generated(t))
-    return out.groupBy("note_id").agg(F.count("*").alias("segments"), F.sum(F.size("warnings")).alias("warnings"))
-
-
-@query("h08_build_notes", """
-SELECT doc_id, md5('---' || chr(10) || 'docsync_id: ' || doc_id || chr(10) || 'created: 2024-01-01' || chr(10) || 'updated: 2024-01-01' || chr(10) || 'source: docsync/T' || doc_id || chr(10) || 'tags:' || chr(10) || '  - a' || chr(10) || '---' || chr(10)
-  || string_agg('<!-- docsync:begin page-' || (idx + 1) || ' h=' || substr(sha256(b), 1, 8) || ' -->' || chr(10) || b || chr(10) || '<!-- docsync:end page-' || (idx + 1) || ' -->', chr(10) || chr(10) ORDER BY idx) || chr(10)) AS digest
-FROM (SELECT *, CASE WHEN error IS NULL THEN trim(text, ' ' || chr(10)) ELSE '> [!warning] Page not transcribed' || chr(10) || '> ' || error END AS b FROM b_pages) GROUP BY doc_id""")
-def _(t):
-    docs = t.b_pages.select("doc_id").distinct().select("doc_id", F.concat(F.lit("T"), c("doc_id").cast("string")).alias("title"), F.array(F.lit("a")).alias("tags"))
-    return notes.build_notes(docs, t.b_pages, "2024-01-01").select("doc_id", F.md5(c("note").cast("binary")).alias("digest"))
+    whole = out.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_id", "content", "written_hash"))).alias("s"), F.sum(F.size("warnings")).alias("warnings"))
+    return whole.select("note_id", F.md5(T.render_segments(c("s")).cast("binary")).alias("digest"), "warnings")
+
+
+@query("h08_build_notes", f"""
+WITH {_BODIES}, {_MERGED},
+fresh AS (SELECT doc_id, string_agg(CASE WHEN idx % 4 <> 3 THEN block END, chr(10) || chr(10) ORDER BY idx) AS body FROM blocks GROUP BY doc_id),
+built AS (
+  SELECT f.doc_id, 'T' || f.doc_id AS title, f.doc_id % 4 AS k, CASE f.doc_id % 4 WHEN 1 THEN m.body WHEN 2 THEN 'by hand' || chr(10) || coalesce(chr(10) || f.body, '') ELSE coalesce(f.body, '') END AS body, CASE WHEN f.doc_id % 4 = 1 THEN m.warnings ELSE 0 END AS warnings FROM fresh f JOIN merged m USING (doc_id)
+  UNION ALL SELECT doc_id + 1000000, 'B' || doc_id, 0, '<!-- docsync:begin body h=' || substr(sha256('text of ' || doc_id), 1, 8) || ' -->' || chr(10) || 'text of ' || doc_id || chr(10) || '<!-- docsync:end body -->', 0 FROM fresh)
+SELECT doc_id, md5(rtrim('---' || chr(10) || 'docsync_id: ' || doc_id || chr(10) || 'created: ' || CASE WHEN k IN (1, 3) THEN '2020-02-03' ELSE '2023-05-06' END || chr(10) || 'updated: 2024-01-01' || chr(10) || 'synced: 2024-01-01' || chr(10) || 'source: docsync/Top/' || title || chr(10)
+  || 'tags:' || chr(10) || '  - docs' || chr(10) || '  - a' || CASE WHEN k = 1 THEN chr(10) || '  - todo' ELSE '' END || CASE WHEN k IN (1, 2) THEN chr(10) || 'author: me' ELSE '' END || chr(10) || '---' || chr(10) || body, chr(10)) || chr(10)) AS digest, CAST(warnings AS INTEGER) AS warnings FROM built""")
+def _(t):
+    """New notes, notes with edits, notes of somebody's own, notes of an older version, and documents without pages."""
+    ids = t.b_pages.select("doc_id").distinct()
+    key = c("doc_id").cast("string")
+    docs = ids.select("doc_id", F.concat(F.lit("T"), key).alias("title"), F.lit(None).cast("string").alias("body_text"))
+    docs = docs.union(ids.select(c("doc_id") + 1000000, F.concat(F.lit("B"), key), F.concat(F.lit("text of "), key)))
+    docs = docs.withColumns({"tags": F.array(F.lit("a")), "folder_parts": F.array(F.lit("Top")), "first_published": F.lit("2023-05-06 07:08:09")})
+    mine = _notes(t).select(c("note_id").alias("doc_id"), F.concat(F.lit("---\ncreated: 2020-02-03\ntags: [A, todo]\nauthor: me\n---\n"), "body").alias("text"), F.lit(1).alias("k"))
+    other = ids.select("doc_id", F.lit("---\nauthor: me\n---\nby hand\n\n").alias("text"), F.lit(2).alias("k"))
+    older = ids.select("doc_id", F.lit("---\ncreated: 2020-02-03\nsource: docsync/x\n---\nstale").alias("text"), F.lit(3).alias("k"))
+    existing = mine.union(other).union(older).filter("doc_id % 4 = k").drop("k")
+    changed = t.b_pages.filter("idx % 4 <> 3").withColumn("text", F.when((c("idx") % 3 == 0) & c("error").isNull(), F.concat("text", F.lit(" more"))).otherwise(c("text")))
+    changed = changed.withColumn("error", F.when((c("idx") % 3 == 0) & c("error").isNotNull(), F.concat("error", F.lit(" more"))).otherwise(c("error")))
+    return notes.build_notes(docs, changed, "2024-01-01", existing, ("docs",)).select("doc_id", F.md5(c("note").cast("binary")).alias("digest"), F.size("warnings").alias("warnings"))
 
 
 @query("e02_claim_names", """
 WITH s AS (SELECT *, trim(regexp_replace(base, '#', '-'), ' -') AS safe FROM b_names), r AS (SELECT *, row_number() OVER (PARTITION BY dir, safe ORDER BY ord) AS k FROM s)
-SELECT doc_id, dir, safe || CASE WHEN k = 1 THEN '' WHEN k <= 99 THEN ' (' || k || ')' ELSE ' (100)' END AS name FROM r""")
+SELECT doc_id, dir, safe || CASE WHEN k = 1 THEN '' WHEN k <= 97 THEN ' (' || (k + 2) || ')' ELSE ' (100)' END AS name, CASE WHEN k = 1 THEN 0 WHEN k <= 97 THEN 1 ELSE 2 END AS warnings FROM r
+UNION ALL SELECT 'D' || doc_id, dir, CASE WHEN ord % 2 = 0 THEN 'Own' ELSE 'Alone' END || ' ' || ord || CASE WHEN ord % 2 = 0 THEN ' (2)' ELSE '' END, 0 FROM b_names""")
 def _(t):
-    none = t.b_names.limit(0).select("dir", c("base").alias("name"), c("doc_id").alias("owner"), F.lit(True).alias("readable"))
-    return notes.claim_names(t.b_names, none)
+    """In each folder the second name is somebody's and the third can't be read; other documents own a counted name or have one to themselves."""
+    safe = S.sanitize_filename(c("base"))
+    more = t.b_names.select("dir", F.concat(F.when(c("ord") % 2 == 0, "Own ").otherwise("Alone "), c("ord").cast("string"), F.when(c("ord") % 2 == 0, " (2)").otherwise("")).alias("base"), F.concat(F.lit("D"), "doc_id").alias("doc_id"), "ord")
+    bases = t.b_names.select("dir", safe.alias("base")).distinct()
+    held = bases.select("dir", F.concat("base", F.lit(" (2)")).alias("name"), F.lit("somebody").alias("owner"), F.lit(True).alias("readable"))
+    held = held.union(bases.select("dir", F.concat("base", F.lit(" (3)")), F.lit(None).cast("string"), F.lit(False)))
+    held = held.union(more.filter("ord % 2 = 0").select("dir", "base", "doc_id", F.lit(True)))
+    late = F.when((c("name").endswith("(100)")), 2)  # two warnings: the one that can't be read, and the last name
+    found = notes.claim_names(t.b_names.unionByName(more), held)
+    return found.select("doc_id", "dir", "name", F.coalesce(late, F.size("warnings")).alias("warnings"))
 
 
 _NOTE_INDEX = "n AS (SELECT DISTINCT destination, target, CASE WHEN run_id % 2 = 0 THEN doc_id ELSE 'somebody' END AS owner FROM b_publications WHERE run_id % 3 > 0)"
@@ -746,11 +791,6 @@ def _(t):
     return lines.select(F.get_json_object("line", "$.id").alias("id"), F.get_json_object("line", "$.name").alias("name"))
 
 
-@query("i06_run_stats", f"SELECT CAST(date_trunc('day', started_at) AS TIMESTAMP) AS start, {_phrase} AS phrase, count(*) AS n FROM b_runs GROUP BY ALL")
-def _(t):
-    return streams.stream_run_stats(t.b_runs).withColumn("start", c("start").cast("timestamp_ntz"))
-
-
 # --- streams: every file of a table in one available-now run ----------------------------------------
 
 
@@ -766,6 +806,13 @@ def _drained(t: Tables, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+@query("i06_run_stats", f"SELECT CAST(date_trunc('day', started_at) AS TIMESTAMP) AS start, {_phrase} AS phrase, count(*) AS n FROM b_runs WHERE date_trunc('day', started_at) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
+def _(t):
+    """As a stream: the days that the watermark has closed."""
+    runs = t.spark.sql(BINDINGS["b_runs"], events=_stream(t, "events"))
+    return _drained(t, streams.stream_run_stats(runs)).withColumn("start", c("start").cast("timestamp_ntz"))
+
+
 def _snapshots(orders: DataFrame) -> DataFrame:
     at = c("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=c("o_orderkey") / 1e6)
     return orders.select(F.concat(F.lit("C"), c("o_custkey").cast("string")).alias("doc_id"), c("o_orderstatus").alias("version"), c("o_orderpriority").alias("recipe"), at.alias("ts"))
@@ -826,14 +873,14 @@ def _(t):
     size = F.when(c("o_custkey") % 3 == 0, "bad").otherwise(c("o_orderkey").cast("string"))
     line = F.concat_ws(":", F.lit("h"), F.lit("0"), c("o_orderkey").cast("string"), F.lit("0"), size)
     index = t.orders.groupBy("o_custkey").agg(F.concat(F.lit("3\nshort:line\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
-    sinks.write_notes(index.select(F.concat(c("o_custkey").cast("string"), F.lit(".idx")).alias("path"), "text"), folder.removeprefix("file://").removeprefix("file:"))
+    sinks.write_notes(index.select(F.concat(c("o_custkey").cast("string"), F.lit(".idx")).alias("path"), "text"), folder)
     found = files.read_blob_index(t.spark, folder)
     return found.groupBy(c("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"))
 
 
 @query("a06_a09_notes", "SELECT conv_id AS doc_id, 'text' AS state, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def _(t):
-    folder = scratch.scratch_folder(t.spark).removeprefix("file://").removeprefix("file:")
+    folder = scratch.scratch_folder(t.spark)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
     rows = t.conversations.groupBy("conv_id").agg(whole.alias("text"))
     sinks.write_notes(rows.select(F.concat(F.lit("notes/"), c("conv_id").cast("string"), F.lit(".md")).alias("path"), "text"), folder)
@@ -846,5 +893,5 @@ def _(t):
     folder = scratch.scratch_folder(t.spark)
     body = F.to_json(F.struct(c("c_name").alias("visibleName"), (c("c_custkey") * 7).cast("string").alias("hash"), (c("c_custkey") % 4 == 0).alias("deleted")))
     path = F.concat(F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata"))
-    sinks.write_notes(t.customer.select(path.alias("path"), body.alias("text")), folder.removeprefix("file://").removeprefix("file:"))
+    sinks.write_notes(t.customer.select(path.alias("path"), body.alias("text")), folder)
     return files.read_listing(t.spark, folder).select("id", "name", "hash", "doc_type")

@@ -5,36 +5,45 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
 
 
+def file_system(root: str):
+    """(file system, path) of a folder given by a path or a URI that Arrow can open: file, hdfs, s3, gs, abfs."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.realpath(root.removeprefix("file:"))
+
+
 def write_notes(df: DataFrame, root: str) -> None:
-    """Writes (path, text) rows to files under root, a folder that all executors share.
+    """Writes (path, text) rows to files under root, a folder that all executors share, by path or URI.
 
     Each file is written beside its place and then moved there, so that a repeated task leaves the
-    same. Paths that leave the root, by name or by link, are refused.
+    same. Paths that leave the root, by name or, on a local file system, by link, are refused.
     """
     bad = df.filter(~S.path_is_contained(F.split("path", "/"))).limit(1).count()
     if bad:
         raise ValueError("a path leaves the root")
 
     def run(rows):
-        base = os.path.realpath(root)
+        store, base = file_system(root)
+        made = set()
         for row in rows:
-            target = os.path.join(base, row["path"])
-            folder = os.path.dirname(target)
-            os.makedirs(folder, exist_ok=True)
-            if os.path.commonpath([base, os.path.realpath(folder)]) != base:
-                raise ValueError(f"leaves the root: {row['path']}")
+            target = f"{base}/{row['path']}"
+            folder = target.rpartition("/")[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                if isinstance(store, fs.LocalFileSystem) and os.path.commonpath([os.path.realpath(base), os.path.realpath(folder)]) != os.path.realpath(base):
+                    raise ValueError(f"leaves the root: {row['path']}")
+                made.add(folder)
             part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(row["text"])
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(part, target)
+            with store.open_output_stream(part) as f:
+                f.write((row["text"] or "").encode("utf-8", "surrogatepass"))
+            store.move(part, target)
 
     df.select("path", "text").foreachPartition(run)
 
@@ -55,12 +64,15 @@ def render_transcripts(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.concat(F.to_json("meta"), F.lit("\n\n"), F.coalesce("parts", F.lit("")), extra).alias("transcript"))
 
 
-def report_json(totals: DataFrame, outcomes: DataFrame, by: str = "run_id") -> DataFrame:
-    """(by, report): each run's totals and documents as one JSON object."""
+def report_json(totals: DataFrame, outcomes: DataFrame, by: str = "run_id", warnings: DataFrame | None = None) -> DataFrame:
+    """(by, report): each run's totals, documents and warnings, (by, ord, message), as one JSON object."""
     fields = [c for c in outcomes.columns if c not in (by, "ord")]
     docs = outcomes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("doc")))), lambda x: x["doc"]).alias("documents"))
     joined = totals.join(docs, by, "left")
-    return joined.select(by, F.to_json(F.struct(*totals.columns, "documents")).alias("report"))
+    if warnings is not None:
+        said = warnings.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda x: x["message"]).alias("warnings"))
+        joined = joined.join(said, by, "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    return joined.select(by, F.to_json(F.struct(*totals.columns, "documents", *(["warnings"] if warnings is not None else []))).alias("report"))
 
 
 def inventory_json(rows: DataFrame) -> DataFrame:
@@ -69,40 +81,28 @@ def inventory_json(rows: DataFrame) -> DataFrame:
 
 
 class StateTables:
-    """Versioned Parquet snapshots of named tables: a new version is written whole, then the pointer moves.
+    """Snapshots of named tables as numbered Parquet folders: the newest one that was written to its end counts.
 
-    One writer at a time; readers keep the version that they opened.
+    A snapshot appears with Spark's own mark of a finished write and is never changed, so that readers always
+    find a whole one and keep the one that they opened.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _version(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString()).first()[0]
+    def _newest(self, name: str) -> tuple[int, str | None]:
+        """(number, path) of the newest finished snapshot."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v-*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        folders = [x.getPath().getParent() for x in found or ()]
+        return max(((int(p.getName().split("-")[1]), p.toString()) for p in folders), default=(0, None))
 
     def save(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/v-{version}")
-        fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        _, part = self._fs(f"{self.root}/{name}/CURRENT.{version}")
-        out = fs.create(part, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(part, p)
+        df.write.parquet(f"{self.root}/{name}/v-{self._newest(name)[0] + 1}-{uuid.uuid4().hex}")
 
     def load(self, name: str) -> DataFrame | None:
-        version = self._version(name)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/v-{version}")
+        path = self._newest(name)[1]
+        return None if path is None else self.spark.read.parquet(path)
 
     def counts(self, names: list[str]) -> dict[str, int]:
         return {n: df.count() for n in names if (df := self.load(n)) is not None}

@@ -19,13 +19,13 @@ class _Changes(StatefulProcessor):
         self._seen = handle.getValueState("seen", "version string, recipe string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # a key's rows may come in several frames, each in any order
+        seen = sorted((row.ts, i, row.doc_id, row.version, row.recipe) for i, row in enumerate(r for batch in rows for r in batch.itertuples(index=False)))
         out = []
-        for batch in rows:
-            for row in batch.sort_values("ts", kind="stable").itertuples(index=False):
-                now = (row.version, row.recipe)
-                if not self._seen.exists() or tuple(self._seen.get()) != now:
-                    self._seen.update(now)
-                    out.append((row.doc_id, row.version, row.recipe))
+        for _, _, doc_id, *now in seen:
+            if not self._seen.exists() or tuple(self._seen.get()) != tuple(now):
+                self._seen.update(tuple(now))
+                out.append((doc_id, *now))
         if out:
             yield pd.DataFrame(out, columns=["doc_id", "version", "recipe"])
 
