@@ -1,10 +1,13 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Fingerprints are computed where the text is read. Distinct fingerprints are then dealt to the
-leaves of a vantage-point tree: each has one home leaf, and where the triangle bound lets a
-partner lie beyond a boundary, it also visits the leaf beyond. Each leaf is searched with a
-vantage-point tree of its own and returns a spanning forest of its links, never all pairs; the
-forests are joined into components by alternating star contraction.
+Fingerprints are computed where the text is read. Distinct fingerprints are then dealt to shards: the bits
+are cut into radius + 1 runs, and two fingerprints that differ in radius bits at most agree on one run, so
+each goes to radius + 1 shards, one for each run's value, and every link lies inside a shard. That many copies of
+each, whatever the data. A shard of more than SHARD_ROWS is dealt again, by its other bits, in the same way.
+Inside a shard the fingerprints are parted by their Hamming distance from vantage points into a tree; where the
+triangle bound lets a partner lie beyond a ball's boundary, a fingerprint also visits the other side. A shard
+returns a spanning forest of its links, never all pairs; the forests are joined into components by alternating
+star contraction.
 """
 
 from __future__ import annotations
@@ -15,13 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import materialize, steps, table, thinned, utf8
+from docsync_spark.llm.common import materialize, steps, table, utf8
 
 SEED = 42
-#: Bound of the fingerprints from which the driver builds the dealing tree.
-TREE_SAMPLE = 1 << 15
-#: Distinct fingerprints at home in a leaf, about.
-LEAF_ROWS = 1 << 13
+#: Distinct fingerprints in a shard at most.
+SHARD_ROWS = 1 << 13
 #: Points below which a leaf's own tree compares all.
 SMALL = 128
 #: Fingerprints compared with others in one step.
@@ -83,22 +84,6 @@ def _split(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[n
     return None if best is None else best[1:]
 
 
-def grow(sample: np.ndarray, leaves: int, radius: int) -> list:
-    """A tree of at most so many leaves over a sample: nodes (vantage, mu, inner, outer) or leaf numbers."""
-    rng = np.random.default_rng(0)
-    numbers = iter(range(1 << 30))
-
-    def node(points: np.ndarray, wanted: float):
-        cut = _split(points, radius, rng) if wanted > 1 and len(points) >= 8 else None
-        if cut is None:
-            return next(numbers)
-        inside = _distance(points, cut[0]) <= cut[1]
-        share = inside.mean()
-        return (*cut, node(points[inside], wanted * share), node(points[~inside], wanted * (1 - share)))
-
-    return node(sample, leaves)
-
-
 def _route(node, points: np.ndarray, at: np.ndarray, home: np.ndarray, radius: int, out: list) -> None:
     """Appends (leaf, positions, home or visitor) for each leaf that the points reach.
 
@@ -164,30 +149,63 @@ def link(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def links(fps: DataFrame, radius: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, a > b, that connect all within the radius."""
-    n = fps.count()
-    leaves = -(-n // leaf_rows)
-    sample = sorted(r[0] for r in thinned(fps, ["fp"], TREE_SAMPLE, n).limit(2 * TREE_SAMPLE).collect()) if leaves > 1 else []
-    tree = grow(np.array(sample, np.int64).view(np.uint64), leaves, radius)
+def runs(mask: int, parts: int) -> list[int]:
+    """The mask with one of so many runs of the other bits added: each of the runs in turn."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    ends = [len(free) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(ends, ends[1:]) if a < b]
 
-    def deal(batches):
-        for batch in batches:
-            points = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            out: list = []
-            _route(tree, points, np.arange(len(points)), np.ones(len(points), bool), radius, out)
-            for leaf, at, home in out:
-                yield pd.DataFrame({"leaf": np.full(len(at), leaf, np.int32), "fp": points[at].view(np.int64), "home": home})
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fp", kind="stable")
-        fp, home = group["fp"].to_numpy(np.int64), group["home"].to_numpy(bool)
-        label = link(fp.view(np.uint64), home, radius)
-        joined = label != np.arange(len(fp))
-        return pd.DataFrame({"a": fp[joined], "b": fp[label[joined]]})
-
-    dealt = fps.mapInPandas(deal, "leaf int, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInPandas(search, "a long, b long")
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _searched(batches, radius: int):
+    """(a, b), a > b: a spanning forest of the links of each shard; rows (mask, value, fp) come sorted by shard."""
+
+    def forest(fp: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+        starts = np.cumsum(sizes) - sizes
+        two = starts[sizes == 2]
+        near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
+        found = [(np.maximum(fp[two], fp[two + 1])[near], np.minimum(fp[two], fp[two + 1])[near])]
+        for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+            own = np.sort(fp[at : at + n])
+            label = link(own.view(np.uint64), np.ones(n, bool), radius)
+            joined = label != np.arange(n)
+            found.append((own[joined], own[label[joined]]))
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
+
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        new = np.flatnonzero((np.diff(rows["mask"]) != 0) | (np.diff(rows["value"]) != 0)) + 1
+        if len(new):
+            yield forest(rows["fp"].to_numpy(np.int64)[: new[-1]], np.diff(np.concatenate([[0], new])))
+        held = rows.iloc[new[-1] if len(new) else 0 :].reset_index(drop=True)
+    if held is not None:
+        yield forest(held["fp"].to_numpy(np.int64), np.array([len(held)]))
+
+
+def links(fps: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, a > b, that connect all within the radius."""
+    open_, masks, out = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
+    while masks:
+        further = {m: runs(m, radius + 1) for m in masks}
+        choice = F.create_map(*[x for m, to in further.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(t)).cast("long") for t in to]))])
+        dealt = open_.select("fp", F.explode(choice[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        shared = materialize(dealt.groupBy("mask", "value").count().filter("count > 1"))
+        dealt = dealt.join(shared, ["mask", "value"])
+        large = shared.filter(F.col("count") > shard_rows).limit(1).count() > 0
+        dealt = materialize(dealt) if large else dealt
+        small = dealt.filter(F.col("count") <= shard_rows).select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value")
+        found = small.mapInPandas(lambda b: _searched(b, radius), "a long, b long")
+        out = found if out is None else out.union(found)
+        open_ = dealt.filter(F.col("count") > shard_rows).select("fp", "mask")
+        # the bits that are left shrink each time by a third at least, and a few bits have few values
+        masks = [t for to in further.values() for t in to if t != (1 << 64) - 1] if large else []
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def test_matches_brute_force_with_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted(((d, f, c) for d, f, c in want), key=repr)
 
 
-def test_tree_of_many_leaves_loses_no_link(spark):
+def test_shards_dealt_again_lose_no_link(spark):
     rng = random.Random(5)
     fps = set()
     for _ in range(300):
@@ -74,15 +75,41 @@ def test_tree_of_many_leaves_loses_no_link(spark):
             fps.add(y)
     rows = [(i, signed(f)) for i, f in enumerate(sorted(fps))]
     df = spark.createDataFrame(rows, "doc_id long, fp long")
-    edges = simhash.links(df.select("fp"), 2, leaf_rows=64)
-    got = {r[0]: r[1] for r in simhash.components(edges).collect()}
-    groups = {}
-    for d, f in rows:
-        groups.setdefault(got.get(f, f), []).append(d)
     want = {}
     for d, f, c in brute_components([(d, f) for d, f in rows]):
         want.setdefault(c, []).append(d)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    for shard_rows in (simhash.SHARD_ROWS, 4):
+        got = {r[0]: r[1] for r in simhash.components(simhash.links(df.select("fp"), 2, shard_rows)).collect()}
+        groups = {}
+        for d, f in rows:
+            groups.setdefault(got.get(f, f), []).append(d)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_tree_of_a_shard_loses_no_link():
+    rng = np.random.default_rng(1)
+    for bits, n in ((64, 1500), (14, 3000)):
+        points = rng.integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(4) if bits == 64 else rng.integers(0, 1 << bits, n, dtype=np.uint64)
+        points = np.unique(np.concatenate([points, points[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))]))
+        label = simhash.link(points, np.ones(len(points), bool), 2)
+        near = np.bitwise_count(points[:, None] ^ points[None]) <= 2
+        want = np.arange(len(points))
+        while True:
+            now = np.array([want[row].min() for row in near])
+            if (now == want).all():
+                break
+            want = now
+        assert (label == want).all()
+
+
+def test_each_fingerprint_has_three_copies_and_shards_stay_small():
+    assert [m.bit_count() for m in simhash.runs(0, 3)] == [21, 21, 22]
+    assert all(m & 0b111 == 0b111 and m.bit_count() in (23, 24) for m in simhash.runs(0b111, 3))
+    rng = np.random.default_rng(2)
+    for n in (50_000, 800_000, 3_200_000):
+        fps = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        largest = max(np.unique(fps & np.uint64(m), return_counts=True)[1].max() for m in simhash.runs(0, 3))
+        assert largest < 30, (n, largest)
 
 
 def test_empty_table(spark):
