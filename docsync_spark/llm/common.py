@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a local master, elsewhere an error."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -37,6 +40,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with place, its row's number in that order from 1, and for each of sums (name: column) what stands before the row.
+
+    Rows are sorted over all tasks; each task's own running sums begin where the tasks before it end. Only one row
+    for each task goes through a single one.
+    """
+    at, part = unused(df, "at"), unused(df, "part")
+    sorted_ = materialize(df.orderBy(*order, F.monotonically_increasing_id()).withColumn(at, F.monotonically_increasing_id()))
+    rows = sorted_.withColumn(part, F.shiftright(at, 33))
+    inside = Window.partitionBy(part).orderBy(at)
+    totals = rows.groupBy(part).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(sums.values())])
+    before = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col(part).alias(f"{part}_"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{part}_{c}") for c in totals.columns[1:]])
+    rows = rows.withColumn("place", F.row_number().over(inside)).withColumns({name: F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for name, c in sums.items()})
+    rows = rows.join(F.broadcast(starts), F.col(part) == F.col(f"{part}_"))
+    rows = rows.withColumn("place", (F.col("place") + F.col(f"{part}_n")).cast("long")).withColumns({name: F.col(name) + F.col(f"{part}_s{i}") for i, name in enumerate(sums)})
+    return rows.select(*df.columns, "place", *sums)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -6,9 +6,8 @@ ratio point frac(i * phi); the sources' targets, laid end to end, say whose slot
 any run of slots holds the sources in near their shares. The r-th slot of a source takes its r-th
 block, and begins anew after the last one. Only DataFrame functions are used.
 
-Positions in a stream and ranks of slots are prefix sums over many small groups (a source's
-documents by ranges of their hash, slots by ranges of their number), so that one large source is
-never gathered in a task.
+Positions in a stream, ranks of slots and sources' places are prefix sums over rows that are sorted across all
+tasks (``common.in_order``), so that neither one large source nor all sources are ever gathered in a task.
 """
 
 from __future__ import annotations
@@ -16,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import materialize, table
+from docsync_spark.llm.common import in_order, materialize, table, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 128
-#: Documents of a hash range and slots of a range, about.
-GROUP_ROWS = 512
 #: The golden ratio's fraction, times 2^32; points are exact in integers.
 GOLDEN, ONE = 2654435769, 1 << 32
 #: The points' cells have 2^CELL_BITS points each, 4096 cells in all.
@@ -40,32 +37,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources in the order of their code points, null last, take the weights in turn and share
     ``share`` times all words; a target stops at ``most`` times its source's size, and what is over
     goes to the others by weight. That is min(cap, level * weight) for one level, found by
-    sorting the sources by the level at which they are full. One row a source goes through one task.
+    sorting the sources by the level at which they are full.
     """
-    everything = Window.partitionBy(F.lit(0))
-    place = F.row_number().over(everything.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(place - 1, F.lit(len(weights))) + 1)
-    rows = sizes.withColumn("sid", place).withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double"))
-    total = F.sum("source_size").over(everything) * share
-    before = everything.orderBy(F.col("cap") / F.col("weight"), "source").rowsBetween(Window.unboundedPreceding, -1)
-    rest = everything.orderBy(F.col("cap") / F.col("weight"), "source").rowsBetween(0, Window.unboundedFollowing)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    rows = rows.withColumn("level", level)
+    rows = in_order(sizes, [F.col("source").isNull(), F.col("source").cast("binary")], {}).withColumnRenamed("place", "sid")
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("sid") - 1, F.lit(len(weights))).cast("int") + 1)
+    rows = rows.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double")).withColumn("full", F.col("cap") / F.col("weight"))
+    rows = in_order(rows, [F.col("full"), F.col("sid")], {"caps": "cap", "weights": "weight"}).drop("place")
+    whole = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))  # one row
+    level = (F.col("words") * share - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
+    levels = rows.join(F.broadcast(whole), how="cross").withColumn("level", level)
     # the first level that does not fill its own source holds for it and all after it
-    found = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)
-    target = F.coalesce(F.least("cap", found["level"] * F.col("weight")), F.col("cap"))
-    return rows.withColumn("target", target).select("sid", "source", "source_size", "weight", "target")
+    found = levels.agg(F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("full", "sid", "level"))).alias("found"))
+    target = F.coalesce(F.least("cap", F.col("found.level") * F.col("weight")), F.col("cap"))
+    return rows.join(F.broadcast(found), how="cross").withColumn("target", target).select("sid", "source", "source_size", "weight", "target")
 
 
-def streams(rows: DataFrame, groups: int) -> DataFrame:
-    """rows (sid, size, h, ...) with start, the words before a row in its source's shuffled stream."""
-    rows = rows.withColumn("g", F.pmod(F.shiftrightunsigned("h", 20), F.lit(groups)))
-    sums = rows.groupBy("sid", "g").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("sid").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("sid", "g", F.coalesce(before, F.lit(0)).alias("before"))
-    own = Window.partitionBy("sid", "g").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    return inside.join(sums, ["sid", "g"]).withColumn("start", F.col("before") + F.col("inside")).drop("g", "before", "inside", "h")
+def streams(rows: DataFrame) -> DataFrame:
+    """rows (sid, size, h, doc_id, ...) with start, the words before a row in its source's shuffled stream."""
+    sums = in_order(rows.groupBy("sid").agg(F.sum("size").alias("words")), [F.col("sid")], {"ahead": "words"}).select("sid", "ahead")
+    placed = in_order(rows, [F.col("sid"), F.col("h"), F.col("doc_id"), F.col("size")], {"start": "size"}).drop("place", "h")
+    return placed.join(sums, "sid").withColumn("start", F.col("start") - F.col("ahead")).drop("ahead")
 
 
 def golden_point(slot: Column) -> Column:
@@ -76,20 +67,19 @@ def golden_point(slot: Column) -> Column:
 
 def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     """(slot, sid, rank) of every slot: whose it is and how many slots that source had before."""
-    everything = Window.partitionBy(F.lit(0))
-    upper = F.sum("target").over(everything.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("target").over(everything)
-    ends = goals.withColumns({"upper": F.round(upper / total * ONE).cast("long"), "lower": F.round((upper - F.col("target")) / total * ONE).cast("long")})
+    total = goals.agg(F.sum("target").alias("total"))  # one row
+    ends = in_order(goals.select("sid", "target"), [F.col("sid")], {"below": "target"}).join(F.broadcast(total), how="cross")
+    share = lambda x: F.round(x / F.col("total") * ONE).cast("long")
+    ends = ends.withColumns({"lower": share(F.col("below")), "upper": share(F.col("below") + F.col("target"))})
     words = goals.agg(F.sum("target")).first()[0] or 0
     slots = goals.sparkSession.range(int(-(-words // block_words))).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
     # A source's interval is cut at fixed cells of the points, so that a slot looks in one cell only.
     cells = ends.filter("upper > lower").select("sid", "lower", "upper", F.explode(F.sequence(F.shiftright("lower", CELL_BITS), F.shiftright(F.col("upper") - 1, CELL_BITS))).alias("cell"))
     slots = slots.withColumn("cell", F.shiftright("point", CELL_BITS)).join(cells, "cell").filter("lower <= point and point < upper")
-    slots = slots.select("slot", "sid", (F.col("slot") / GROUP_ROWS).cast("long").alias("g"))
-    before = F.sum("n").over(Window.partitionBy("sid").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
-    counts = slots.groupBy("sid", "g").agg(F.count("*").alias("n")).select("sid", "g", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = slots.withColumn("inside", F.row_number().over(Window.partitionBy("sid", "g").orderBy("slot")) - 1)
-    return ranked.join(counts, ["sid", "g"]).select("slot", "sid", (F.col("before") + F.col("inside")).alias("rank"))
+    slots = materialize(slots.select("slot", "sid"))
+    earlier = in_order(slots.groupBy("sid").agg(F.count("*").alias("n")), [F.col("sid")], {"before": "n"}).select("sid", "before")
+    ranked = in_order(slots, [F.col("sid"), F.col("slot")], {})
+    return ranked.join(earlier, "sid").select("slot", "sid", (F.col("place") - 1 - F.col("before")).alias("rank"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,13 +89,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken is within a few blocks of its target. A source's blocks are used ``MOST`` times at most,
     slots beyond stay empty. Empty and null texts have size and taken 0; null sources are a source.
     Which words of a document at a block's border are taken depends on the shuffled order alone, so
-    reruns agree. Repeated rows are documents of their own.
+    reruns agree. Repeated rows are documents of their own. An empty table gives an empty result. Columns of keep may
+    have any names; where one clashes with a column of the result, the result's wins.
     """
     h = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), h.alias("h"), *keep))
+    kept = F.struct(*[F.col(k) for k in keep] or [F.lit(1).alias("one")]).alias("kept")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), h.alias("h"), kept))
     goals = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     named = rows.join(goals.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = materialize(streams(named, max(1, rows.count() // GROUP_ROWS)))
+    placed = materialize(streams(named))
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
 
     # The n-th use of a block is a slot; a block's uses are counted, then joined to the pieces of documents in it.
@@ -115,10 +107,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
     pieces = pieces.withColumn("words", words).join(uses, ["sid", "block"], "left")
-    key = ["sid", "start", "doc_id", "size", *keep]
+    key = ["sid", "start", "doc_id", "size", "kept"]
     whole = pieces.groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     whole = whole.unionByName(placed.filter("size = 0").select(*key, F.lit(0).cast("long").alias("taken")))
-    return whole.join(goals, "sid").select("doc_id", *keep, "size", "source", "source_size", "target", "taken")
+    own = ("doc_id", "size", "source", "source_size", "target", "taken")
+    return whole.join(goals, "sid").select("doc_id", *[F.col("kept")[k].alias(k) for k in keep if k not in own], *own[1:])
 
 
 def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -126,14 +119,19 @@ def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Empty texts hold no words and are not taken. Repeated rows are taken each on its own.
     """
-    keys = ["__row1", "__row2"]
+    keys = [unused(docs, "row1"), unused(docs, "row2")]
     keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *docs.columns) for k in keys})
-    found = mix(keyed, id_col, text_col, source_col, keep=tuple(keys)).filter("size > 0")
-    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    turn = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    found = found.select(*keys, copies.alias("__copies")).withColumn("__turn", turn(F.desc("__copies")))
-    joined = keyed.withColumn("__turn", turn(F.lit(0))).join(found.filter("__copies > 0"), [*keys, "__turn"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    own = keyed.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])
+    found = mix(own, keep=("key0", "key1")).filter("size > 0")
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    found = found.select("key0", "key1", times.alias("times"))
+    found = found.withColumn("turn0", F.row_number().over(Window.partitionBy("key0", "key1").orderBy(F.desc("times")))).filter("times > 0")
+    turn, times = unused(keyed, "turn"), unused(keyed, "times_")
+    found = found.toDF(*(f"{c}_of_mix" for c in found.columns))
+    rows = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    same = (F.col(keys[0]) == F.col("key0_of_mix")) & (F.col(keys[1]) == F.col("key1_of_mix")) & (F.col(turn) == F.col("turn0_of_mix"))
+    joined = rows.join(found, same)
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col("times_of_mix")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from docsync_spark.llm.common import table, thinned
 
@@ -145,12 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: i
     return sample.repartition(1).mapInPandas(learn, "bias double, at array<int>, weights array<double>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """docs with score double, predicted int and offending array of (start, length, score).
+NEW = ("score", "predicted", "offending")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", new: tuple[str, str, str] = NEW, **limits) -> DataFrame:
+    """docs with score double, predicted int and offending array of (start, length, score), named as new says.
 
     Every whole text is scored; null and empty texts score 0. offending holds the sentences of
-    probability 0.5 or more, positions in code points. Columns of docs with these names are
-    replaced. The model has a fixed size, 2^18 weights at most, and goes to all tasks.
+    probability 0.5 or more, positions in code points. Columns of docs with the new names are
+    replaced. Repeated rows come back as often as they came; an empty table gives an empty result. The model has a fixed size, 2^18 weights at most, and goes to all tasks.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = train(named, labels, **limits).first()
@@ -159,10 +163,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         weights[np.array(model["at"], np.int64)] = model["weights"]
     bias = model["bias"] if model is not None else BIAS
     sent = docs.sparkSession.sparkContext.broadcast((bias, weights))
-    new = ("score", "predicted", "offending")
     kept = [c for c in docs.columns if c not in new]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    schema += ", score double, predicted int, offending array<struct<start:int,length:int,score:double>>"
+    places = ArrayType(StructType().add("start", "integer").add("length", "integer").add("score", "double"))
+    schema = docs.select(*kept).schema.add(new[0], "double").add(new[1], "integer").add(new[2], places)
 
     def run(batches):
         scorer = Scorer(*sent.value)
@@ -170,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             done = [scorer.score(t) if isinstance(t, str) else (0.0, []) for t in batch[text_col]]
             score = np.array([s for s, _ in done], np.float64)
             offending = [[{"start": a, "length": n, "score": p} for a, n, p in w] for _, w in done]
-            yield batch[kept].assign(score=score, predicted=(score >= 0.5).astype(np.int32), offending=offending)
+            yield batch[kept].assign(**dict(zip(new, (score, (score >= 0.5).astype(np.int32), offending), strict=True)))
 
     return docs.select(*kept).mapInPandas(run, schema)
 

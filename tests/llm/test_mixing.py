@@ -44,7 +44,6 @@ def brute(rows, block=mixing.BLOCK_WORDS):
     for _, _, s, n, _ in docs:
         sizes[s] = sizes.get(s, 0) + n
     order, target = brute_targets(sizes)
-    groups = max(1, len(docs) // mixing.GROUP_ROWS)
     total = sum(target.values())
     ends, at = [], 0.0
     for s in order:
@@ -62,7 +61,7 @@ def brute(rows, block=mixing.BLOCK_WORDS):
     taken = [0] * len(docs)
     for s in order:
         start = 0
-        own = sorted((d for d in docs if d[2] == s), key=lambda d: (((d[4] % 2**64) >> 20) % groups, d[4], d[1] is not None, d[1] or 0, d[3]))
+        own = sorted((d for d in docs if d[2] == s), key=lambda d: (d[4], d[1] is not None, d[1] or 0, d[3]))
         for i, _, _, n, _ in own:
             for w in range(start // block, (start + n - 1) // block + 1) if n else ():
                 taken[i] += uses.get((s, w), 0) * (min(start + n, (w + 1) * block) - max(start, w * block))
