@@ -42,6 +42,11 @@ def fingerprint(text: bytes) -> int:
         starts = [0, *(ends[:-3].tolist())]
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[2:] - 1).tolist(), strict=True)), np.uint64, len(starts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set where they are in over half of the unsigned hashes."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
