@@ -32,14 +32,16 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(sid, source, source_size, weight, target) from (source, source_size), one row a source; sid numbers them.
+    """(sid, source, source_size, weight, target, ahead, below) from (source, source_size), one row a source; sid numbers them.
+
+    ahead and below are the sums of source_size and of target over the sources before.
 
     Sources in the order of their code points, null last, take the weights in turn and share
     ``share`` times all words; a target stops at ``most`` times its source's size, and what is over
     goes to the others by weight. That is min(cap, level * weight) for one level, found by
     sorting the sources by the level at which they are full.
     """
-    rows = in_order(sizes, [F.col("source").isNull(), F.col("source").cast("binary")], {}).withColumnRenamed("place", "sid")
+    rows = in_order(sizes, [F.col("source").isNull(), F.col("source").cast("binary")], {"ahead": "source_size"}).withColumnRenamed("place", "sid")
     weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("sid") - 1, F.lit(len(weights))).cast("int") + 1)
     rows = rows.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double")).withColumn("full", F.col("cap") / F.col("weight"))
     rows = in_order(rows, [F.col("full"), F.col("sid")], {"caps": "cap", "weights": "weight"}).drop("place")
@@ -49,14 +51,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     # the first level that does not fill its own source holds for it and all after it
     found = levels.agg(F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("full", "sid", "level"))).alias("found"))
     target = F.coalesce(F.least("cap", F.col("found.level") * F.col("weight")), F.col("cap"))
-    return rows.join(F.broadcast(found), how="cross").withColumn("target", target).select("sid", "source", "source_size", "weight", "target")
+    rows = rows.join(F.broadcast(found), how="cross").withColumn("target", target)
+    return in_order(rows, [F.col("sid")], {"below": "target"}).select("sid", "source", "source_size", "weight", "target", "ahead", "below")
 
 
 def streams(rows: DataFrame) -> DataFrame:
-    """rows (sid, size, h, doc_id, ...) with start, the words before a row in its source's shuffled stream."""
-    sums = in_order(rows.groupBy("sid").agg(F.sum("size").alias("words")), [F.col("sid")], {"ahead": "words"}).select("sid", "ahead")
-    placed = in_order(rows, [F.col("sid"), F.col("h"), F.col("doc_id"), F.col("size")], {"start": "size"}).drop("place", "h")
-    return placed.join(sums, "sid").withColumn("start", F.col("start") - F.col("ahead")).drop("ahead")
+    """rows (sid, ahead, size, h, doc_id, ...) with start, the words before a row in its source's shuffled stream."""
+    placed = in_order(rows, [F.col("sid"), F.col("h"), F.col("doc_id"), F.col("size")], {"start": "size"})
+    return placed.withColumn("start", F.col("start") - F.col("ahead")).drop("place", "h", "ahead")
 
 
 def golden_point(slot: Column) -> Column:
@@ -68,7 +70,7 @@ def golden_point(slot: Column) -> Column:
 def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     """(slot, sid, rank) of every slot: whose it is and how many slots that source had before."""
     total = goals.agg(F.sum("target").alias("total"))  # one row
-    ends = in_order(goals.select("sid", "target"), [F.col("sid")], {"below": "target"}).join(F.broadcast(total), how="cross")
+    ends = goals.join(F.broadcast(total), how="cross")
     share = lambda x: F.round(x / F.col("total") * ONE).cast("long")
     ends = ends.withColumns({"lower": share(F.col("below")), "upper": share(F.col("below") + F.col("target"))})
     words = goals.agg(F.sum("target")).first()[0] or 0
@@ -76,10 +78,10 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     # A source's interval is cut at fixed cells of the points, so that a slot looks in one cell only.
     cells = ends.filter("upper > lower").select("sid", "lower", "upper", F.explode(F.sequence(F.shiftright("lower", CELL_BITS), F.shiftright(F.col("upper") - 1, CELL_BITS))).alias("cell"))
     slots = slots.withColumn("cell", F.shiftright("point", CELL_BITS)).join(cells, "cell").filter("lower <= point and point < upper")
-    slots = materialize(slots.select("slot", "sid"))
-    earlier = in_order(slots.groupBy("sid").agg(F.count("*").alias("n")), [F.col("sid")], {"before": "n"}).select("sid", "before")
-    ranked = in_order(slots, [F.col("sid"), F.col("slot")], {})
-    return ranked.join(earlier, "sid").select("slot", "sid", (F.col("place") - 1 - F.col("before")).alias("rank"))
+    slots = slots.select("slot", "sid")
+    ranked = materialize(in_order(slots, [F.col("sid"), F.col("slot")], {}))
+    first = ranked.groupBy("sid").agg(F.min("place").alias("first"))
+    return ranked.join(first, "sid").select("slot", "sid", (F.col("place") - F.col("first")).alias("rank"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     kept = F.struct(*[F.col(k) for k in keep] or [F.lit(1).alias("one")]).alias("kept")
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), h.alias("h"), kept))
     goals = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    named = rows.join(goals.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    named = rows.join(goals.select(F.col("source").alias("s"), "sid", "ahead"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     placed = materialize(streams(named))
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
 
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = pieces.groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     whole = whole.unionByName(placed.filter("size = 0").select(*key, F.lit(0).cast("long").alias("taken")))
     own = ("doc_id", "size", "source", "source_size", "target", "taken")
-    return whole.join(goals, "sid").select("doc_id", *[F.col("kept")[k].alias(k) for k in keep if k not in own], *own[1:])
+    return whole.join(goals.drop("ahead", "below"), "sid").select("doc_id", *[F.col("kept")[k].alias(k) for k in keep if k not in own], *own[1:])
 
 
 def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
