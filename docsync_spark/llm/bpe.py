@@ -92,15 +92,10 @@ class Coder:
 
     def fragments(self, word: str) -> list[list[str]]:
         """The symbols of a word, split at every certain cut."""
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        letters = [*map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))]
         letters[-1] += self.end
-        out = [[letters[0]]]
-        for pair in zip(letters, letters[1:]):
-            if pair in self.joined:
-                out[-1].append(pair[1])
-            else:
-                out.append([pair[1]])
-        return out
+        cuts = [i for i, pair in enumerate(zip(letters, letters[1:]), 1) if pair not in self.joined]
+        return [letters[a:b] for a, b in zip([0, *cuts], [*cuts, len(letters)])] if cuts else [letters]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Applies the merges to one fragment, lowest rank first, leftmost among equals."""
@@ -128,24 +123,18 @@ class Coder:
         return [s for s in symbols if s]
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
-        """The same with a plain scan for the lowest rank; a token's own merges come after those that make it."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            found = [ranks.get(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
-            best = min(found)
-            if best == NO_RANK:
-                break
-            out, i, n = [], 0, len(found)
-            while i < n:
-                if found[i] == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            if i == n:
-                out.append(symbols[n])
-            symbols = out
+        """The same with a plain search for the lowest rank; after a merge only the pairs beside it are looked up."""
+        rank = self.ranks.get
+        symbols = list(symbols)
+        found = [rank(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
+        while found and (best := min(found)) != NO_RANK:
+            i = found.index(best)
+            made = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del found[i]
+            if i:
+                found[i - 1] = rank((symbols[i - 1], made), NO_RANK)
+            if i < len(found):
+                found[i] = rank((made, symbols[i + 1]), NO_RANK)
         return symbols
 
     def word_ids(self, word: str) -> bytes:
