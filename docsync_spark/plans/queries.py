@@ -78,6 +78,10 @@ scalar("b10_b11_documents", "b_listing", ["id"], {
     "is_document": (lambda: S.is_document(c("doc_type"), c("name")), "doc_type = 'DocumentType' AND trim(name) <> ''"),
     "of_type": (lambda: F.coalesce(S.type_filter(c("file_type"), ["pdf"]), F.lit(False)), "coalesce(file_type = 'pdf', false)"), "any_type": (lambda: S.type_filter(c("file_type"), []), "true"),
 })
+scalar("b12_is_trashed", "b_listing", ["id"], {
+    "trashed": (lambda: S.is_trashed(c("ord") % 4 == 0, F.array(F.when(c("ord") % 6 == 0, "[TRASH]").otherwise("Top"), F.lit("Inner"))), "ord % 4 = 0 OR ord % 6 = 0"),
+    "by_hand": (lambda: S.is_trashed(F.lit(False), no_files()), "false"),
+})
 scalar("b14_sanitize_filename", "part", ["p_partkey"], {"name": (lambda: S.sanitize_filename(F.concat(F.lit("- "), "p_name", F.lit('/:*?"<>|#'), "p_brand", F.lit(" -"))), "p_name || '-' || replace(p_brand, '#', '-')"), "empty": (lambda: S.sanitize_filename(F.lit("//")), "'Untitled'")})
 scalar("b15_path_is_contained", "part", ["p_partkey"], {"fine": (lambda: S.path_is_contained(F.array(c("p_brand"), F.when(c("p_partkey") % 3 == 0, " .. ").otherwise(c("p_name")))), "p_partkey % 3 <> 0")})
 scalar("b16_format_size", "lineitem", ["l_orderkey", "l_linenumber"], {
@@ -327,6 +331,19 @@ def _(t):
     return state.upsert_publications(t.b_publications.filter("run_id % 4 > 0"), new).select("doc_id", "destination", "version", "external_id", "first_published_at")
 
 
+@query("c07_upsert_pages", """
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.page_index, o.page_index) AS page_index, coalesce(n.source_hash, o.source_hash) AS source_hash, coalesce(n.render_hash, o.render_hash) AS render_hash
+FROM (SELECT * FROM b_page_hashes_prev WHERE doc_id % 4 > 0) o FULL JOIN (SELECT * FROM b_page_hashes WHERE page_index % 2 = 1) n ON n.doc_id = o.doc_id AND n.page_index = o.page_index""")
+def _(t):
+    return state.upsert_pages(t.b_page_hashes_prev.filter("doc_id % 4 > 0"), t.b_page_hashes.filter("page_index % 2 = 1"))
+
+
+@query("c07_upsert_device", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new ' || machine ELSE machine END AS machine FROM b_machines WHERE id % 5 > 0 OR id % 3 = 0")
+def _(t):
+    new = t.b_machines.filter("id % 3 = 0").withColumn("machine", F.concat(F.lit("new "), "machine"))
+    return state.upsert_device(t.b_machines.filter("id % 5 > 0"), new)
+
+
 @query("c07_upsert_documents", "SELECT coalesce(n.id, o.id) AS id, coalesce(n.version, o.version) AS version, o.last_error FROM (SELECT * FROM b_documents WHERE seen_run_id % 3 > 0) o FULL JOIN (SELECT id, 'new' AS version FROM b_documents WHERE seen_run_id % 5 > 0) n ON n.id = o.id".replace("o.last_error", "CASE WHEN o.id IS NOT NULL THEN o.last_error END AS last_error"))
 def _(t):
     new = t.b_documents.filter("seen_run_id % 5 > 0").select("id", "name", "folder", "doc_type", F.lit("new").alias("version"), "seen_run_id", F.lit(None).cast("string").alias("last_error"))
@@ -550,6 +567,13 @@ def _(t):
     return pages.number_pages(t.b_pages).select("doc_id", "idx", "ordinal", "number")
 
 
+@query("h10_source_page_keys_pdf", "SELECT conv_id AS doc_id, turn, CASE WHEN conv_id % 5 = 0 THEN '' ELSE sha256(CAST(encode(CAST(turn AS VARCHAR)) || '\\x00'::BLOB || encode(text) AS BLOB)) END AS source_key FROM conversations")
+def _(t):
+    content = F.when(c("conv_id") % 5 > 0, c("text").cast("binary"))
+    rows = t.conversations.select(c("conv_id").alias("doc_id"), "turn", c("turn").alias("pdf_index"), content.alias("content"))
+    return pages.source_page_keys(rows, "pdf").select("doc_id", "turn", "source_key")
+
+
 @query("h10_source_page_keys", "SELECT conv_id AS doc_id, turn, sha256(text) AS source_key FROM conversations")
 def _(t):
     rows = t.conversations.select(c("conv_id").alias("doc_id"), "turn", c("turn").alias("pdf_index"), c("text").cast("binary").alias("content"))
@@ -888,6 +912,16 @@ def _(t):
     return found.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("doc_id"), "state", "text")
 
 
+@query("a02_listing_ssh", "SELECT 'C' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'C' || c_custkey ELSE CAST(1700000000000 + c_custkey AS VARCHAR) END AS hash, c_custkey % 2 = 0 AS pinned, CASE WHEN c_custkey % 3 > 0 THEN make_timestamp((1700000000000 + c_custkey) * 1000) END AS last_modified FROM customer")
+def _(t):
+    """Files without a hash of their own: the time of change stands in, else the id."""
+    folder = scratch.scratch_folder(t.spark)
+    changed = F.when(c("c_custkey") % 3 > 0, (c("c_custkey") + 1700000000000).cast("string"))
+    body = F.to_json(F.struct(c("c_name").alias("visibleName"), changed.alias("lastModified"), (c("c_custkey") % 2 == 0).alias("pinned")))
+    sinks.write_notes(t.customer.select(F.concat(F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata")).alias("path"), body.alias("text")), folder)
+    return files.read_listing(t.spark, folder, flavor="ssh").select("id", "hash", "pinned", c("last_modified").cast("timestamp_ntz").alias("last_modified"))
+
+
 @query("a02_listing", "SELECT 'C' || c_custkey AS id, c_name AS name, CAST(c_custkey * 7 AS VARCHAR) AS hash, 'DocumentType' AS doc_type FROM customer WHERE c_custkey % 4 > 0")
 def _(t):
     folder = scratch.scratch_folder(t.spark)

@@ -32,10 +32,10 @@ def read_blob_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_listing(spark: SparkSession, path: str, flavor: str = "cloud", limit: int | None = None) -> DataFrame:
-    """(id, hash, name, doc_type, parent, deleted, pinned, synced, last_modified, version, ord) of JSON metadata files, one each.
+    """(id, hash, name, doc_type, parent, deleted, pinned, synced, last_modified, version) of JSON metadata files, one each.
 
     A file that is no JSON object costs its row alone; deleted items are dropped. 'ssh' takes lastModified,
-    else the id, as hash; 'cloud' the JSON's own. ord is the order of ids; limit counts accepted items.
+    else the id, as hash; 'cloud' the JSON's own. limit takes the first accepted items by id.
     """
     raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("file_id"), F.try_parse_json("value").alias("j"))
     get = lambda key, kind="string": F.try_variant_get("j", f"$.{key}", kind)
