@@ -7,7 +7,8 @@ the offending sentences are. A word's weight is the sum of the hashed weights of
 and of its first letters, so inflected forms share evidence.
 
 The fit takes a bounded sample of labelled rows (``fit_rows`` of each label, those of smallest hash,
-of at most ``fit_chars`` characters) in one task; scoring covers every whole text.
+of at most ``fit_chars`` characters) in one task. Rows of a label that the bound thins out count for as many
+as they stand for, so that the fit sees the labels' own rates at every size; scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def features(word: str) -> list[int]:
     return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in (f"={word}", *(f"^{word[:k]}" for k in range(3, 7) if len(word) >= k))})
 
 
-def fit(texts: list[str], labels: np.ndarray) -> tuple[float, np.ndarray]:
-    """(bias, weights) that maximise the likelihood of document labels under noisy-or."""
+def fit(texts: list[str], labels: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """(bias, weights) that maximise the likelihood of document labels under noisy-or; counts: for how many documents each stands."""
     number: dict[str, int] = {}
     words, sentence, owner = [], [], []
     for d, text in enumerate(texts):
@@ -62,6 +63,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[float, np.ndarray]:
     pairs = [(i, f) for w, i in number.items() for f in features(w)]
     at, feature = np.array(pairs).T
     y = labels.astype(float)
+    share = (np.ones(len(texts)) if counts is None else counts / counts.mean()) / len(texts)
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     used = np.unique(feature)
     for epoch in range(1, EPOCHS + 1):
@@ -70,7 +72,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[float, np.ndarray]:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.bincount(owner, np.logaddexp(0, z), len(texts))  # -log of the probability of no toxic sentence
         odds = np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-12)
-        slope = p * np.where(y[owner] > 0, -odds[owner], 1.0) / len(texts)
+        slope = p * np.where(y[owner] > 0, -odds[owner], 1.0) * share[owner]
         by_word = np.bincount(words, slope[sentence], len(number))
         g = np.bincount(feature, by_word[at], FEATURES)
         gb = slope.sum()
@@ -134,12 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: i
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= fit_chars))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [thinned(known.filter(F.col("y") == y), ["doc_id"], fit_rows, counts.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "y")
+    # each sampled row stands for as many labelled ones as its label's bound left out
+    stands = F.when(F.col("y") == 1, counts.get(1, 0) / max(1, min(fit_rows, counts.get(1, 0)))).otherwise(counts.get(0, 0) / max(1, min(fit_rows, counts.get(0, 0))))
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "y", stands.cast("double").alias("stands"))
 
     def learn(batches):
         frames = [b for b in batches if len(b)]
-        rows = pd.concat(frames).sort_values(["doc_id", "text"], kind="stable") if frames else pd.DataFrame({"text": [], "y": []})
-        bias, weights = fit(rows["text"].tolist(), rows["y"].to_numpy())
+        rows = pd.concat(frames).sort_values(["doc_id", "text"], kind="stable") if frames else pd.DataFrame({"text": [], "y": [], "stands": []})
+        bias, weights = fit(rows["text"].tolist(), rows["y"].to_numpy(), rows["stands"].to_numpy())
         at = np.flatnonzero(weights)
         yield pd.DataFrame({"bias": [bias], "at": [at.astype(np.int32)], "weights": [weights[at]]})
 

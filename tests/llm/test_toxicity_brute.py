@@ -102,3 +102,14 @@ def test_held_out_accuracy(spark):
     r = found.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.count_if(F.expr("toxic = 1 and predicted = 1")).alias("caught"), F.count_if(F.expr("toxic = 0 and predicted = 1")).alias("false")).first()
     print("held out", r)
     assert r["n"] > 500 and r["caught"] >= 0.8 * r["toxic"] and r["false"] <= 0.02 * (r["n"] - r["toxic"])
+
+
+def test_thinned_labels_keep_their_rate():
+    """Half of the clean rows, each counting twice, fit as well as all of them: the cut stays where it is."""
+    clean = [f"calm words number{i} of a quiet day" for i in range(40)]
+    toxic = ["a vile day", "vile words of number3", "quiet but vile"]
+    whole = toxicity.fit(clean + toxic, np.array([0] * 40 + [1] * 3))
+    half = toxicity.fit(clean[::2] + toxic, np.array([0] * 20 + [1] * 3), np.array([2.0] * 20 + [1.0] * 3))
+    text = "a vile word"
+    one, two = (toxicity.Scorer(*m).score(text)[0] for m in (whole, half))
+    assert abs(one - two) < 0.05 and abs(whole[0] - half[0]) < 0.2
