@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,3 +103,71 @@ def test_claims(spark):
     got = {r["doc_id"]: r["name"] for r in notes.claim_names(docs, held).collect()}
     assert got == {"d1": "A (3)", "d2": "A (4)", "d3": "A", "d4": "A"}
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def in_turn(docs, held, most=99, sentinel=None):
+    """Names one after another; docs: (doc_id, dir, base, ord), held: (dir, name, owner, readable)."""
+    taken = {(d, n): (o, r) for d, n, o, r in held}
+    out = {}
+    for doc, where, base, _ in sorted(docs, key=lambda d: (d[3], d[0])):
+        base = f"{base} (2)" if base == sentinel else base
+        for name in [base, *(f"{base} ({i})" for i in range(2, most + 1))]:
+            owner, readable = taken.get((where, name), (None, True))
+            if readable and owner in (None, doc):
+                break
+        else:
+            name = f"{base} ({most + 1})"
+        taken[where, name] = (doc, True)
+        out[doc] = name
+    return out
+
+
+def named(spark, docs, held, **more):
+    docs = spark.createDataFrame(docs, "doc_id string, dir string, base string, ord long")
+    held = spark.createDataFrame(held, "dir string, name string, owner string, readable boolean")
+    got = notes.claim_names(docs, held, **more).collect()
+    assert len(got) == docs.count()
+    return {r["doc_id"]: r["name"] for r in got}, {r["doc_id"]: r["warnings"] for r in got}
+
+
+def test_counted_names_do_not_clash(spark):
+    docs = [("a", "d", "x", 1), ("b", "d", "x", 2), ("c", "d", "x (2)", 3), ("e", "d", "y (2)", 4), ("f", "d", "Sync failed", 5), ("g", "e", "z", 6)]
+    held = [("d", "y (2)", "other", True), ("e", "z", None, False)]
+    got, warnings = named(spark, docs, held, sentinel="Sync failed")
+    assert got == {"a": "x", "b": "x (2)", "c": "x (2) (2)", "e": "y (2) (2)", "f": "Sync failed (2)", "g": "z (2)"} == in_turn(docs, held, sentinel="Sync failed")
+    assert len(warnings["g"]) == 1 and not warnings["a"]
+
+
+def test_names_as_if_given_one_after_another(spark):
+    rng = random.Random(7)
+    for most in (3, 99):
+        bases = ["x", "x (2)", "x (3)", "x (2) (2)", "y", "y (9)"]
+        docs = [(f"d{i}", rng.choice("pq"), rng.choice(bases) if rng.random() < 0.8 else f"own {i} ({i})", i) for i in range(120)]
+        held = {(rng.choice("pq"), rng.choice([*bases, "x (4)", "y (2)"])): (rng.choice([None, "other", f"d{rng.randrange(120)}"]), rng.random() < 0.8) for _ in range(14)}
+        held = [(d, n, o if r else None, r) for (d, n), (o, r) in held.items()]
+        got, warnings = named(spark, docs, held, most=most)
+        assert got == in_turn(docs, held, most)
+        assert all(len(warnings[d]) > 0 for d, n in got.items() if n.endswith(f"({most + 1})") and not n.startswith("own"))
+
+
+def test_callouts_of_any_depth_are_written(spark):
+    text = "\n".join("> " * i + f"[!note] level {i}" for i in range(1, 8)) + "\n" + "> " * 7 + "at the bottom"
+    blocks = notes.extract_blocks(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in notes.render_blocks(blocks).collect()}
+    assert got == {1: written(notes.blocks_of(text)), 2: "plain"} and "at the bottom" in got[1]
+
+
+def test_notes_are_merged_into_what_is_there(spark):
+    docs = spark.createDataFrame([("1", "T", ["a"], None), ("2", "U", [], "body text"), ("3", "V", None, " ")], "doc_id string, title string, tags array<string>, body_text string")
+    pages = spark.createDataFrame([("1", 0, "one", None, "p1.png"), ("1", 1, "", "HTTP 429", None), ("9", 0, "no such document", None, None)], "doc_id string, idx int, text string, error string, image string")
+    first = {r["doc_id"]: r["note"] for r in notes.build_notes(docs, pages, "2024-01-01").collect()}
+    assert set(first) == {"1", "2", "3"} and "![[p1.png]]" in first["1"] and "begin body" in first["2"] and first["3"].endswith("---\n")
+    edited = first["1"].replace("\none\n", "\none, by hand\n").replace("---\n<!--", "mood: good\n---\nmy words\n<!--", 1)
+    old = spark.createDataFrame([("1", edited), ("2", "somebody's own\n"), ("3", None)], "doc_id string, text string")
+    made = {r["doc_id"]: (r["note"], r["warnings"]) for r in notes.build_notes(docs, pages, "2024-02-02", old).collect()}
+    note, warnings = made["1"]
+    assert "mood: good" in note and "my words" in note and "one, by hand" in note and "created: 2024-01-01" in note and "synced: 2024-02-02" in note and len(warnings) == 1
+    assert made["2"][0].index("somebody's own") < made["2"][0].index("body text") and made["3"][0].endswith("---\n")
+    again = spark.createDataFrame([(d, n) for d, (n, _) in made.items()], "doc_id string, text string")
+    third = {r["doc_id"]: (r["note"], r["warnings"]) for r in notes.build_notes(docs, pages, "2024-02-02", again).collect()}
+    assert {d: n for d, (n, _) in third.items()} == {d: n for d, (n, _) in made.items()} and not any(w for _, w in third.values())
