@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 from collections.abc import Callable
 
@@ -861,17 +862,30 @@ def _(t):
     return _drained(t, streams.distinct_snapshots(_snapshots(_stream(t, "orders")).select("doc_id", "version", "ts"), "3650 days").select("doc_id", "version"))
 
 
-@query("i04_stream_sync", "SELECT 'C' || c_custkey AS doc_id, CASE WHEN c_custkey % 37 = 0 THEN 'failed' ELSE 'published' END AS status FROM customer WHERE c_custkey % 3 > 0")
+@query("i04_stream_sync", _SELECT + """SELECT id AS doc_id, CASE WHEN (ord - 1000) % 37 = 0 THEN 'failed' ELSE 'published' END AS status,
+  md5('---' || chr(10) || 'docsync_id: ' || id || chr(10) || 'created: 2024-01-01' || chr(10) || 'updated: 2024-01-01' || chr(10) || 'synced: 2024-01-01' || chr(10) || 'source: docsync/' || CASE WHEN folder = '' THEN '' ELSE folder || '/' END || name || chr(10) || 'tags:' || chr(10) || '  - ' || source || chr(10) || '---' || chr(10)) AS note
+FROM j WHERE reason IS NULL""")
 def _(t):
+    """Each snapshot of the listing goes through selection, note building and the record of outcomes."""
     folder = scratch.scratch_folder(t.spark)
-    outcome = F.when(c("c_custkey") % 37 == 0, "failed").otherwise("published")
-    query = streams.stream_sync(
-        _stream(t, "customer"), f"{folder}/log", lambda batch: batch.filter("c_custkey % 3 > 0"),
-        lambda rows, n: rows.select(F.concat(F.lit("C"), c("c_custkey").cast("string")).alias("doc_id"), outcome.alias("status")),
-        lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"),
-    )
-    query.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").select("doc_id", "status")
+    criteria = dataclasses.replace(_CRITERIA, limit=None)
+
+    def select(batch: DataFrame) -> DataFrame:
+        own = Tables(batch.sparkSession, t._dir)
+        own._made["customer"] = batch
+        return _selected(own, criteria).filter("decision = 'process'")
+
+    def publish(rows: DataFrame, n: int) -> DataFrame:
+        rows = scratch.written(rows)
+        docs = rows.select("doc_id", c("name").alias("title"), F.array("source").alias("tags"), F.array("folder").alias("folder_parts"))
+        none = rows.limit(0).select("doc_id", F.lit(0).alias("idx"), F.lit("").alias("text"), F.lit("").alias("error"))
+        made = notes.build_notes(docs, none, "2024-01-01").select("doc_id", F.md5(c("note").cast("binary")).alias("note"))
+        failed = (c("ord") - 1000) % 37 == 0
+        return made.join(rows.select("doc_id", F.when(failed, "failed").otherwise("published").alias("status")), "doc_id")
+
+    record = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    streams.stream_sync(_stream(t, "customer"), f"{folder}/log", select, publish, record).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("doc_id", "status", "note")
 
 
 @query("a12_state_tables", "SELECT doc_id, destination, CASE WHEN run_id % 2 = 0 THEN 'v2' ELSE version END AS version FROM b_publications")
