@@ -13,6 +13,28 @@ SOURCES = (("notebook", ""), ("pdf", "pdf"), ("epub", "epub"))
 UNSAFE = r'[/\\:*?"<>|#^\[\]]'
 MASK = "***redacted***"
 UNITS = ("KB", "MB", "GB")
+#: How reports and notes put a run, an outcome, a page header and a page that is missing.
+PHRASES = {
+    "unfinished": "did not finish",
+    "overlapping": "skipped · a sync was already running",
+    "nothing": "nothing to do",
+    "interrupted": "interrupted",
+    "interrupted_after": "interrupted after ",
+    "synced": "synced ",
+    "failed": "failed",
+    "unknown_time": "unknown time",
+    "just_now": "just now",
+    "unchanged": "unchanged",
+    "deferred": "pending, past the limit",
+    "nowhere": "nowhere",
+    "missing_page": "> [!warning] Page not transcribed",
+}
+#: Marks of the summary table.
+MARKERS = {"published": "✓", "would_publish": "✓", "failed": "✗", "skipped": "·", "deferred": "·"}
+PARTIAL, DONE, PLANNED = "⚠", "→", "⇢"
+#: The markup of a page header.
+HEADER_OPEN = '<span style="font-size: 0.9em; color: #777777"><b>'
+HEADER_TRAIL = '</b><br><span style="font-size: 0.8em; color: #aaaaaa">'
 
 
 def strip(x: Column) -> Column:
@@ -150,7 +172,7 @@ def humanize_duration(seconds: Column) -> Column:
 
 def humanize_ago(seconds: Column) -> Column:
     total = F.greatest(seconds.cast("double"), F.lit(0.0))
-    out = F.when(seconds.isNull(), None).when(total < 90, "just now")
+    out = F.when(seconds.isNull(), None).when(total < 90, PHRASES["just_now"])
     for size, unit in ((86400, "day"), (3600, "hour"), (60, "minute")):
         n = F.floor(total / size)
         out = out.when(total >= size, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago")))
@@ -169,22 +191,22 @@ def describe_run(outcome: Column, published: Column, failed: Column, error: Colu
     """One phrase for a run."""
     done, missed, why = F.coalesce(published, F.lit(0)), F.coalesce(failed, F.lit(0)), strip(F.coalesce(error, F.lit("")))
     tail = F.when(why != "", F.concat(F.lit(" · "), why)).otherwise("")
-    synced = F.concat(F.lit("synced "), counted(done))
+    synced = F.concat(F.lit(PHRASES["synced"]), counted(done))
     return (
-        F.when(outcome.isNull(), "did not finish")
-        .when(outcome == "skipped_overlapping", "skipped · a sync was already running")
-        .when(outcome == "nothing_to_do", "nothing to do")
-        .when(outcome == "interrupted", F.when(done > 0, F.concat(F.lit("interrupted after "), counted(done))).otherwise("interrupted"))
-        .when(outcome == "success", F.when(done > 0, synced).otherwise("nothing to do"))
+        F.when(outcome.isNull(), PHRASES["unfinished"])
+        .when(outcome == "skipped_overlapping", PHRASES["overlapping"])
+        .when(outcome == "nothing_to_do", PHRASES["nothing"])
+        .when(outcome == "interrupted", F.when(done > 0, F.concat(F.lit(PHRASES["interrupted_after"]), counted(done))).otherwise(PHRASES["interrupted"]))
+        .when(outcome == "success", F.when(done > 0, synced).otherwise(PHRASES["nothing"]))
         .when(outcome == "partial", F.concat(synced, F.lit(", "), missed.cast("string"), F.lit(" failed"), tail))
-        .otherwise(F.concat(F.lit("failed"), tail))
+        .otherwise(F.concat(F.lit(PHRASES["failed"]), tail))
     )
 
 
 def run_line(fire: Column, started: Column, finished: Column, phrase: Column) -> Column:
     """When, what, and how long if it finished."""
     took = F.coalesce(F.concat(F.lit("   "), humanize_duration(F.unix_micros(finished) / 1e6 - F.unix_micros(started) / 1e6)), F.lit(""))
-    return F.concat(F.coalesce(format_moment(F.coalesce(fire, started)), F.lit("unknown time")), F.lit("   "), phrase, took)
+    return F.concat(F.coalesce(format_moment(F.coalesce(fire, started)), F.lit(PHRASES["unknown_time"])), F.lit("   "), phrase, took)
 
 
 def padded(x: Column, width: int) -> Column:
@@ -195,24 +217,21 @@ def clipped(x: Column, width: int) -> Column:
     return F.when(F.length(x) > width, F.concat(F.substring(x, 1, width - 1), F.lit("…"))).otherwise(x)
 
 
-MARKERS = {"published": "✓", "would_publish": "✓", "failed": "✗", "skipped": "·", "deferred": "·"}
-
-
 def is_partial(pages_failed: Column, status: Column) -> Column:
     return (pages_failed > 0) & status.isin("published", "would_publish")
 
 
 def describe_outcome(name: Column, status: Column, pages: Column, transcribed: Column, cached: Column, pages_failed: Column, destinations: Column, reason: Column) -> Column:
     """One padded line of the summary table."""
-    mark = F.when(is_partial(pages_failed, status), "⚠").otherwise(F.coalesce(F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])[status], F.lit("·")))
+    mark = F.when(is_partial(pages_failed, status), PARTIAL).otherwise(F.coalesce(F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])[status], F.lit("·")))
     line = F.concat(F.lit("  "), mark, F.lit(" "), padded(clipped(name, 24), 24))
     why = F.nullif(reason, F.lit(""))
     work = F.concat(transcribed.cast("string"), F.lit(" transcribed, "), cached.cast("string"), F.lit(" cached"))
-    where = F.when(F.size(destinations) > 0, F.array_join(destinations, ", ")).otherwise("nowhere")
-    arrow = F.when(status == "would_publish", "⇢").otherwise("→")
+    where = F.when(F.size(destinations) > 0, F.array_join(destinations, ", ")).otherwise(PHRASES["nowhere"])
+    arrow = F.when(status == "would_publish", PLANNED).otherwise(DONE)
     full = F.concat(line, F.lit(" "), padded(counted(pages, "page"), 9), F.lit(" "), padded(work, 28), F.lit(" "), arrow, F.lit(" "), where)
     missing = F.when(is_partial(pages_failed, status), F.concat(F.lit("   ("), counted(pages_failed, "page"), F.lit(" missing)"))).otherwise("")
-    short = {"skipped": "unchanged", "deferred": "pending, past the limit", "failed": "failed"}
+    short = {"skipped": PHRASES["unchanged"], "deferred": PHRASES["deferred"], "failed": PHRASES["failed"]}
     out = F
     for s, text in short.items():
         out = out.when(status == s, F.concat(line, F.lit(" "), F.coalesce(why, F.lit(text))))
@@ -265,10 +284,10 @@ def page_label(number: Column, label: Column) -> Column:
 
 def section_header(label: Column, breadcrumbs: Column, divider: bool = True) -> Column:
     """The divider and the styled page header: the innermost title, its parents and the label."""
-    outer = F.lit('<span style="font-size: 0.9em; color: #777777"><b>')
+    outer = F.lit(HEADER_OPEN)
     n = F.size(breadcrumbs)
     sub = F.array_join(F.concat(F.slice(breadcrumbs, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(label)), " | ")
-    trail = F.concat(outer, F.element_at(breadcrumbs, F.lit(-1)), F.lit('</b><br><span style="font-size: 0.8em; color: #aaaaaa">'), sub, F.lit("</span></span>"))
+    trail = F.concat(outer, F.element_at(breadcrumbs, F.lit(-1)), F.lit(HEADER_TRAIL), sub, F.lit("</span></span>"))
     header = F.when(n > 0, trail).otherwise(F.concat(outer, label, F.lit("</b></span>")))
     return F.concat(F.lit("---\n\n"), header) if divider else header
 
@@ -278,7 +297,7 @@ def created_date(own: Column, first_published: Column, modified: Column, today:
 
 
 def gap_marker(error: Column) -> Column:
-    head = F.lit("> [!warning] Page not transcribed")
+    head = F.lit(PHRASES["missing_page"])
     lines = F.transform(F.split(strip(error), "\n"), lambda x: F.regexp_replace(F.concat(F.lit("> "), x), "(?U)\\s+$", ""))
     return F.when(strip(error) == "", head).otherwise(F.concat(head, F.lit("\n"), F.array_join(lines, "\n")))
 

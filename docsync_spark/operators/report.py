@@ -78,5 +78,5 @@ def run_report(selection: DataFrame, outcomes: DataFrame) -> DataFrame:
 def headline(totals: DataFrame) -> DataFrame:
     """totals with headline: what was synced, or would be."""
     rehearsal = (F.col("would_publish") > 0) & (F.col("published") == 0)
-    text = F.when(F.col("seen") == 0, "Nothing to sync: every document is already up to date.").when(rehearsal, F.concat(F.lit("Would sync "), F.col("would_publish").cast("string"), F.lit(" of "), F.col("seen").cast("string"), F.lit(" documents")))
+    text = F.when(F.col("seen") == 0, "All documents are up to date.").when(rehearsal, F.concat(F.lit("Would sync "), F.col("would_publish").cast("string"), F.lit(" of "), F.col("seen").cast("string"), F.lit(" documents")))
     return totals.withColumn("headline", text.otherwise(F.concat(F.lit("Synced "), F.col("published").cast("string"), F.lit(" of "), F.col("seen").cast("string"), F.lit(" documents"))))
