@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsync_spark.llm.common import materialize, steps, table, utf8
+from docsync_spark.llm.common import materialize, steps, table, unused, utf8
 
 SEED = 42
 #: Distinct fingerprints in a shard at most.
 SHARD_ROWS = 1 << 13
 #: Points below which a leaf's own tree compares all.
 SMALL = 128
+#: Rows up to which the keys of chosen documents go to all tasks, so that no text is shuffled.
+FEW = 1 << 20
 #: Fingerprints compared with others in one step.
 CHUNK = 1 << 21
 
@@ -272,16 +274,24 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of several rows with that id, which one stays is settled by their other columns' hash.
     Components of null ids alone keep one row.
     """
-    keys = ["__row1", "__row2"]
+    keys = [unused(docs, "row1"), unused(docs, "row2")]
     keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *docs.columns) for k in keys})
-    found = find(keyed.select(id_col, text_col, *keys), id_col, text_col, keep=tuple(keys))
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    row = F.struct(*keys)
-    group = F.when(F.col(id_col).isNull(), F.col("fp"))
-    chosen = materialize(first.groupBy(id_col, group.alias("fp")).agg(F.min(row).alias("row")).select("row.*").distinct())
-    kept = keyed.join(chosen, keys, "left_semi")
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return kept.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    own = keyed.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(keys[0]).alias("key0"), F.col(keys[1]).alias("key1"))
+    found = find(own, "id", "text", keep=("key0", "key1"))
+    first = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    group = F.when(F.col("id").isNull(), F.col("fp"))
+    chosen = first.groupBy("id", group.alias("fp")).agg(F.min(F.struct("key0", "key1")).alias("row")).select("row.*").distinct()
+    chosen = materialize(chosen.toDF(*keys))
+    kept = keyed.join(F.broadcast(chosen) if chosen.count() <= FEW else chosen, keys, "left_semi")
+    # only rows that come more than once are brought together; all others stay where they are
+    several = materialize(kept.groupBy(*keys).count().filter("count > 1").select(*keys))
+    n = several.count()
+    if not n:
+        return kept.select(*docs.columns)
+    several = F.broadcast(several) if n <= FEW else several
+    turn = unused(keyed, "turn")
+    once = kept.join(several, keys, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).filter(F.col(turn) == 1)
+    return kept.join(several, keys, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 QUERIES = {"op9_simhash_near_duplicates": op9_simhash_near_duplicates}
