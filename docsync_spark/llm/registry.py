@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docsync_spark.llm import bpe, langid, mixing, pii, quality, simhash, substring, topk, toxicity, urlfilter
+from docsync_spark.llm import bpe, langid, mixing, pii, quality, sharding, simhash, substring, topk, toxicity, urlfilter
 
-MODULES = (topk, bpe, pii, langid, substring, quality, urlfilter, mixing, simhash, toxicity)
+MODULES = (topk, bpe, pii, langid, substring, quality, urlfilter, mixing, simhash, toxicity, sharding)
 
 
 def queries() -> dict:
