@@ -77,7 +77,7 @@ def test_matches_brute_force(spark, seed, letters, most):
 
 
 def test_other_bounds_and_no_edits(spark):
-    rows = corpus(5, "abc", 40)
+    rows = [*corpus(5, "abc", 40), (99, "pqrstuv " + "pqrstu " * 3 + "pqrst " * 9, "w", 1, "k")]
     found = got(variants.variants(spark.createDataFrame(rows, SCHEMA), least_length=1, least_count=1, ratio=2))
     assert found == brute(rows, False, 1, 1, 2)
     assert any(r[5] not in (r[0], r[3]) for r in found)  # roots beyond the first form
