@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docsync_spark.llm import bpe, langid, mixing, pii, quality, sharding, simhash, substring, topk, toxicity, urlfilter, variants
+from docsync_spark.llm import bpe, langid, mixing, pii, quality, runs, sharding, simhash, substring, topk, toxicity, urlfilter, variants
 
-MODULES = (topk, bpe, pii, langid, substring, quality, urlfilter, mixing, simhash, toxicity, variants, sharding)
+MODULES = (topk, bpe, pii, langid, substring, quality, urlfilter, mixing, simhash, toxicity, runs, variants, sharding)
 
 
 def queries() -> dict:
