@@ -12,7 +12,6 @@ so that a task holds one part's trees and one block of queries.
 from __future__ import annotations
 
 import heapq
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,11 +20,10 @@ from pyspark.sql import functions as F
 
 from docsync_spark.llm.common import materialize, table, thinned
 
-#: Components and scores have to lie below this; others raise an error.
-LIMIT = 1 << 62
+#: Components and scores are longs; others raise an error.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 LEAF = 256
 BLOCK = 1024
-LOWEST = -LIMIT
 #: Bounds of the sample from which shards are made (rows; components in all), and of the shards' number; shards that share a task, about.
 SAMPLE_ROWS, SAMPLE_COMPONENTS, MOST_SHARDS, SHARDS_A_TASK = 1 << 14, 1 << 22, 1 << 12, 4
 
@@ -34,12 +32,13 @@ def quantized(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> Dat
     """(vec_id, v): floor(scale * x) of each component; unusable vectors are left out.
 
     Unusable are null vectors, null ids, and null or non-finite components. A component whose
-    product leaves +-2^62 is an error.
+    product is no long is an error.
     """
     vec = F.col(vec_col)
     usable = vec.isNotNull() & F.col(id_col).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     product = lambda x: x.cast("double") * scale
-    x = F.transform(vec, lambda x: F.when(F.abs(product(x)) < float(LIMIT), F.floor(product(x))).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long")))
+    fits = lambda x: (product(x) >= float(LOWEST)) & (product(x) < -float(LOWEST))
+    x = F.transform(vec, lambda x: F.when(fits(x), F.floor(product(x))).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long")))
     return df.filter(usable).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
 
 
@@ -113,12 +112,30 @@ class Shards:
         return of, q @ centers.T + norm * radius[of][None] + slack
 
 
+def _largest(x: np.ndarray) -> int:
+    """The largest absolute value, as a number without bounds."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def _scores(q: np.ndarray, qf: np.ndarray, leaf: np.ndarray, own: np.ndarray, largest: int) -> np.ndarray:
+    """Inner products as longs, in the fastest numbers that hold what ``largest`` bounds; own pairs do not count."""
+    if largest < 1 << 53:
+        return (qf @ leaf.T.astype(np.float64)).astype(np.int64)
+    if largest < 1 << 63:
+        return q.astype(np.int64) @ leaf.T.astype(np.int64)
+    score = q.astype(object) @ leaf.T.astype(object)
+    score[own] = 0
+    if not ((score >= LOWEST) & (score <= HIGHEST)).all():
+        raise OverflowError("a score does not fit a long")
+    return score.astype(np.int64)
+
+
 class BallTree:
     """Balls over the rows of a matrix; a leaf's rows are in order of their ids."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         self.rows, self.ids = rows, ids
-        self.most = int(np.abs(rows).max(initial=0))
+        self.most = _largest(rows)
         self.nodes: list[tuple] = []
         self._grow(np.arange(len(ids)))
 
@@ -142,13 +159,12 @@ class BallTree:
         center, radius, _, _ = self.nodes[node]
         return q @ center + norm * radius + norm * (np.sqrt(center @ center) + radius) * 1e-9 + 1e-6
 
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (score, id) of each query among the rows that reach its kth; kth is raised in place."""
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best (score, id, whether there is one) of each query among the rows that reach its kth; kth is raised in place."""
         n, qf = len(q), q.astype(np.float64)
         norm = np.sqrt((qf * qf).sum(axis=1))
-        top = np.full((n, k), LOWEST, np.int64)
-        who = np.full((n, k), np.iinfo(np.int64).max, np.int64)
-        largest = q.shape[1] * self.most * int(np.abs(q).max(initial=0))
+        top, who, none = np.full((n, k), LOWEST, np.int64), np.zeros((n, k), np.int64), np.ones((n, k), bool)
+        largest = q.shape[1] * self.most * _largest(q)
         everyone = np.arange(n)
         first = self.bound(0, qf, norm)
         heap = [(-float((first - kth).max()), 0, everyone, first)]
@@ -167,30 +183,22 @@ class BallTree:
                         heapq.heappush(heap, (-float((upper - kth[active])[keep].max()), kid, active[keep], upper[keep]))
                 continue
             leaf, ids = self.rows[at], self.ids[at]
-            if largest < 1 << 53:
-                score = (qf[active] @ leaf.T.astype(np.float64)).astype(np.int64)
-            elif largest < LIMIT:
-                score = q[active].astype(np.int64) @ leaf.T.astype(np.int64)
-            else:
-                score = q[active].astype(object) @ leaf.T.astype(object)
-                score[own[active][:, None] == ids[None, :]] = 0
-                if not (abs(score) < LIMIT).all():
-                    raise OverflowError("a score does not fit a long")
-                score = score.astype(np.int64)
-            score[own[active][:, None] == ids[None, :]] = LOWEST
-            some = score.max(axis=1) >= np.maximum(kth[active], LOWEST + 1)
+            same = own[active][:, None] == ids[None, :]
+            score = _scores(q[active], qf[active], leaf, same, largest)
+            score[same] = LOWEST
+            some = ((score >= kth[active][:, None]) & ~same).any(axis=1)
             if not some.any():
                 continue
-            active, score = active[some], score[some]
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            active, score, same = active[some], score[some], same[some]
+            # ~x falls as x rises, and unlike -x it holds the lowest long
+            best = np.lexsort((~score, same), axis=1)[:, :k]
             scores = np.concatenate([top[active], np.take_along_axis(score, best, 1)], axis=1)
             names = np.concatenate([who[active], ids[best]], axis=1)
-            names[scores == LOWEST] = np.iinfo(np.int64).max
-            order = np.lexsort((names, -scores), axis=1)[:, :k]
-            top[active] = np.take_along_axis(scores, order, 1)
-            who[active] = np.take_along_axis(names, order, 1)
-            kth[active] = np.maximum(kth[active], top[active, k - 1])
-        return top, who
+            absent = np.concatenate([none[active], np.take_along_axis(same, best, 1)], axis=1)
+            order = np.lexsort((names, ~scores, absent), axis=1)[:, :k]
+            top[active], who[active], none[active] = (np.take_along_axis(x, order, 1) for x in (scores, names, absent))
+            kth[active] = np.maximum(kth[active], np.where(none[active, k - 1], LOWEST, top[active, k - 1]))
+        return top, who, ~none
 
 
 def _searcher(k: int):
@@ -227,13 +235,12 @@ def _searcher(k: int):
                             kth[j] = max(kth[j], raised.get(key, LOWEST))
                         q = np.array(rows["v"].tolist(), np.int64).reshape(len(rows), d)
                         if d in trees:
-                            top, who = trees[d].search(q, own, k, kth)
+                            top, who, real = trees[d].search(q, own, k, kth)
                         else:
-                            top, who = np.full((len(rows), k), LOWEST, np.int64), np.zeros((len(rows), k), np.int64)
+                            top, who, real = (np.zeros((len(rows), k), kind) for kind in (np.int64, np.int64, bool))
                         if len(raised) > 1_000_000:
                             raised.clear()
                         raised.update(zip(zip(own, copy, strict=True), kth.tolist(), strict=True))
-                        real = top > LOWEST
                         yield pd.DataFrame({
                             "vec_id": own, "copy": copy,
                             "hit_ids": [w[r].tolist() for w, r in zip(who, real, strict=True)],
@@ -254,7 +261,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_compon
     Only vectors as long as the query are compared. Rows with equal vec_id are separate candidates;
     equal query rows are answered once, different vectors under one query id each on their own.
     An empty table of vectors or queries gives no rows; further columns are not looked at.
-    Scores that leave +-2^62 are an error. Returns (query_id, copy, rank, vec_id, score); copy tells vectors
+    Scores are longs; one that is no long is an error. Returns (query_id, copy, rank, vec_id, score); copy tells vectors
     of one query id apart. report gets the number of (query, shard) pairs in all and of those searched.
     """
     spark = vectors.sparkSession
@@ -277,9 +284,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_compon
     known = {r["shard"]: r for r in balls.collect()}  # MOST_SHARDS + 1 rows at most
     parts = {s: max(1, -(-r["size"] // shard_components)) for s, r in known.items()}
     radius = np.array([known[i]["radius"] if i in known else -np.inf for i in range(len(shards.centers))])
-    number = reduce(lambda c, s: c.when(F.col("shard") == s, F.lit(parts[s])), [s for s in parts if parts[s] > 1], F.when(F.lit(False), F.lit(1))).otherwise(1)
-    cell = F.col("shard").cast("long") * (1 << 32) + F.pmod(F.xxhash64("row"), number)
-    data = dealt.select(cell.alias("cell"), F.lit(0).alias("kind"), "vec_id", F.lit(0).cast("long").alias("copy"), "v", F.lit(LOWEST).alias("kth"))
+    several = spark.createDataFrame([(s, n) for s, n in parts.items() if n > 1], "shard int, number int")  # a row a shard at most
+    cell = F.col("shard").cast("long") * (1 << 32) + F.pmod(F.xxhash64("row"), F.coalesce("number", F.lit(1)))
+    data = dealt.join(F.broadcast(several), "shard", "left").select(cell.alias("cell"), F.lit(0).alias("kind"), "vec_id", F.lit(0).cast("long").alias("copy"), "v", F.lit(LOWEST).alias("kth"))
     tasks = max(wanted, -(-sum(parts.values()) // SHARDS_A_TASK))
     extents = spark.sparkContext.broadcast((radius, parts))
 

@@ -71,3 +71,22 @@ def test_most_shards_of_clustered_vectors_are_dropped_before_the_shuffle(spark):
     got = topk.exact_top_k(vectors, vectors.filter("vec_id % 500 = 0"), shard_components=16 * 200, least_shards=32, report=report).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, lambda i: i % 500 == 0, 5)
     assert report["searched"] < report["pairs"] / 4, report
+
+
+def test_scores_near_the_ends_of_a_long(spark):
+    big = (1 << 54) * 0.75  # times 256: between 2^61 and 2^62
+    rows = [(0, [1.875e9 / 256 * 1.0, 0.0]), (1, [1.0, 0.0]), (50, [9.4e6, 1.0]), (51, [9.6e6, 0.0]), (52, [-9.6e6, 0.5]), (53, [9.0e6, -2.0]), (100, [2.0, big]), (101, [0.0, -1.5 / 256]), (102, [3.0, 1 / 256])]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    want = [r for r in brute([r for r in rows if r[0] != 100], lambda i: i == 50, 5)]
+    assert max(r[3] for r in want) > 5.9e18
+    few = vectors.filter("vec_id <> 100")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_top_k(few, few.filter("vec_id = 50")).collect()) == want
+    own = vectors.filter("vec_id >= 100")  # a component beyond 2^61
+    got = topk.exact_top_k(own, own.filter("vec_id = 100")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute([r for r in rows if r[0] >= 100], lambda i: i == 100, 5)
+
+
+def test_lowest_long_counts(spark):
+    vectors = spark.createDataFrame([(0, [-(1 << 62), 1]), (1, [2, 0]), (2, [1, 1])], "vec_id long, v array<long>")
+    got = topk.exact_top_k(vectors, vectors.filter("vec_id = 0")).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 2, 1 - (1 << 62)), (2, 1, -(1 << 63))]
