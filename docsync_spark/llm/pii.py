@@ -287,15 +287,18 @@ def _swept(segments: Column, pattern: str, new) -> Column:
     What new() leaves open is joined with the text beside it, so that a later sweep sees it in its place.
     """
 
-    def put(out: Column, x: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        join = (F.size(out) > 0) & (last["n"] == 0) & (x["n"] == 0)
-        return F.when(join, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(_segment(F.concat(last["s"], x["s"]), 0)))).otherwise(F.concat(out, F.array(x)))
+    def joined(pieces: Column, strings: Column, closed: Column) -> Column:
+        """The pieces with each stretch of open ones as one; closed has the places of the others. Each piece is copied once."""
+        between = lambda a, b: _segment(F.array_join(F.slice(strings, a + 1, b - a), ""), 0)
+        after = lambda j: F.coalesce(F.get(closed, j) + 1, F.lit(0))
+        pairs = F.transform(closed, lambda x, j: F.array(between(after(j - 1), x), F.get(pieces, x)))
+        return F.concat(F.flatten(pairs), F.array(between(after(F.size(closed) - 1), F.size(pieces))))
 
     def swept(s: Column) -> Column:
         def mixed(found: Column, parts: Column) -> Column:
             pieces = F.flatten(F.zip_with(parts, found, lambda p, f: F.concat(F.array(_segment(p, 0)), F.when(f.isNotNull(), new(f)).otherwise(_none()))))
-            return F.aggregate(pieces, _none(), put)
+            places = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["n"] != 0)
+            return let(pieces, lambda x: let(x["s"], lambda strings: let(places(x), lambda closed: joined(x, strings, closed))))
 
         return let(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), lambda found: let(F.split(s, pattern, -1), lambda parts: mixed(found, parts)))
 
