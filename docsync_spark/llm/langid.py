@@ -11,7 +11,7 @@ that a host with few documents says little. A row's own soft count is taken out
 domain's first. Counts are whole millionths, so results don't depend on the order of rows.
 
 The trigrams are fitted in one task to a bounded sample of labelled rows: an equal share of ``fit_rows`` for
-each language that any labelled row has, ``LEAST_ROWS`` at least, those of smallest hash; all else covers all
+each language that any labelled row has, ``LEAST_ROWS`` at least, those of smallest hash, equal rows once; all else covers all
 rows. No language is left out; the model takes 128 KB for each.
 """
 
@@ -124,10 +124,12 @@ def train(labelled: DataFrame, fit_rows: int = 8000, fit_chars: int = 20_000) ->
     share = max(LEAST_ROWS, fit_rows // max(1, len(counts)))
     # a hash leaves about the share of each language, then a sort of these few settles it
     odds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1.0 if n <= share else min(1.0, 1.25 * share / n + 64 / n))] or [F.lit(""), F.lit(1.0)])
-    few = usable.select("doc_id", "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < (1 << 31) * F.element_at(odds, F.col("lang")))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = few.distinct().withColumn("turn", turn).filter(F.col("turn") <= share).drop("turn")
-    sample = usable.join(picked, ["doc_id", "lang"]).select("text", "lang")
+    row = [F.xxhash64("doc_id", "text"), F.xxhash64("text", "lang", "doc_id")]
+    keyed = usable.withColumns({"row1": row[0], "row2": row[1]}).filter(F.pmod("row1", F.lit(1 << 31)) < (1 << 31) * F.element_at(odds, F.col("lang")))
+    # equal rows are one, before any are gathered: rows are bounded, not ids
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("row1", "row2"))
+    picked = keyed.select("lang", "row1", "row2").distinct().withColumn("turn", turn).filter(F.col("turn") <= share).drop("turn")
+    sample = keyed.join(picked, ["lang", "row1", "row2"]).groupBy("lang", "row1", "row2").agg(F.min("text").alias("text")).select("text", "lang")
 
     def learn(batches):
         frames = [b for b in batches if len(b)]
@@ -171,7 +173,8 @@ def identify(rows: DataFrame, labelled: DataFrame, keep: tuple[str, ...], **limi
     n = len(languages)
     address = parts(F.col("url"))
     host = F.coalesce(address["host"], F.col("host").cast("string"))
-    declared = F.lower(F.regexp_extract(F.col("html"), "(?i)<html[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
+    # the tag first, up to the next bracket, so that a page of unclosed tags is read once
+    declared = F.lower(F.regexp_extract(F.regexp_extract(F.col("html"), "(?i)<html(?![a-z0-9])[^<>]*+", 0), "(?i)\\blang\\s*+=\\s*+[\"']?([a-z]{2,3})", 1))
     named = rows.select(
         F.struct(*keep).alias("keep"), "text", "html", host.alias("host"),
         F.coalesce(F.regexp_extract(address["host"], "[^.]+\\.[^.]+$", 0), host).alias("domain"),

@@ -91,3 +91,30 @@ def test_malformed_pages_take_linear_time():
     assert langid.page_text("&#00000065;&#99999999999; &#x41;") == "A� A"
     assert langid.page_text("a<!-- b --><style>c</STYLE >d<nav>e<script>f</nav>g</script>h").split() == ["a", "d", "g", "h"]
     assert langid.page_text("<nav>open <script>x</script>y").split() == ["open", "y"]
+
+
+def test_unclosed_tags_of_markup_take_linear_time(spark):
+    labelled = spark.createDataFrame([(i, "zug zar zoo", "h") for i in range(9)], "doc_id long, text string, lang string")
+    pages = ["<html " * 100_000, "<html lang " * 50_000, "<html lang=" + " " * 200_000, "<html>" + "<html lang=qq>" * 9]
+    rows = spark.createDataFrame([(i, None, p, None, None) for i, p in enumerate(pages)], "page_id long, text string, html string, url string, host string")
+    began = time.time()
+    assert sorted(r["page_id"] for r in langid.identify(rows, labelled, ("page_id",)).collect()) == [0, 1, 2, 3]
+    assert time.time() - began < 60
+
+
+def test_one_id_in_many_rows_does_not_fill_the_fit(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    labelled = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("wort "), (F.col("id") % 5000).cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    path = f"{langid.materialize(spark.createDataFrame([(0,)], 'n int'))._jdf.inputFiles()[0]}".rpartition("/")[0].removeprefix("file:") + "-fit"
+    fit = langid.fit
+
+    def counting(texts, langs, languages):
+        with open(path, "w") as f:
+            f.write(f"{len(texts)} {len(set(texts))}")
+        return fit(texts, langs, languages)
+
+    monkeypatch.setattr(langid, "fit", counting)
+    langid.train(labelled, fit_rows=200)
+    n, different = map(int, open(path).read().split())
+    assert n == different <= 200
