@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: i
     """One row (bias, at array<int>, weights array<double>): the model, of the weights that are not zero.
 
     Learns from rows of labels with toxic 0 or 1 whose crc32(doc_id) mod 5 is not 0. Of several
-    labels of one document, toxic counts. With no such rows the model calls nothing toxic.
+    labels of one document, toxic counts; of several texts of one id, the smallest one is learnt from. With no such rows the model calls nothing toxic.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, fit_chars: i
     picked = [thinned(known.filter(F.col("y") == y), ["doc_id"], fit_rows, counts.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     # each sampled row stands for as many labelled ones as its label's bound left out
     stands = F.when(F.col("y") == 1, counts.get(1, 0) / max(1, min(fit_rows, counts.get(1, 0)))).otherwise(counts.get(0, 0) / max(1, min(fit_rows, counts.get(0, 0))))
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "y", stands.cast("double").alias("stands"))
+    # of an id's texts the smallest, so that rows are bounded and not ids alone
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y", stands.cast("double").alias("stands"))
 
     def learn(batches):
         frames = [b for b in batches if len(b)]

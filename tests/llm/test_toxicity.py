@@ -67,3 +67,13 @@ def test_held_out_labels_are_not_learnt(spark):
     flipped = [(d, 1 - y if zlib.crc32(str(d).encode()) % 5 == 0 else y) for d, y in labels]
     one, two = (toxicity.train(df, spark.createDataFrame(x, "doc_id long, toxic int")).first() for x in (labels, flipped))
     assert one == two
+
+
+def test_one_id_in_many_rows_is_learnt_from_once(spark):
+    docs, labels = corpus(60)
+    usual = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5][0]
+    many = spark.createDataFrame(docs, "doc_id long, text string").union(spark.range(20_000).select(F.lit(usual).cast("long"), F.concat(F.lit("zzz "), F.col("id").cast("string"))))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    once = spark.createDataFrame(docs, "doc_id long, text string")
+    a, b = (toxicity.train(x, marks, fit_rows=20).first() for x in (many, once))
+    assert (a["bias"], a["at"], a["weights"]) == (b["bias"], b["at"], b["weights"])  # the smallest text is the first one
