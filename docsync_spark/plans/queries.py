@@ -662,6 +662,23 @@ def _(t):
     return schedule.fires_of(spans.withColumn("expr", exprs)).select("device", c("fire").cast("timestamp_ntz").alias("fire"))
 
 
+@query("i01_cron_fires_zones", """
+WITH u AS (SELECT user_id AS device, user_id % 2 AS k, ['Europe/Madrid', 'America/St_Johns', 'Australia/Lord_Howe'][1 + user_id % 3] AS zone, CAST(min(ts) AS DATE) AS a FROM events GROUP BY user_id),
+x AS (SELECT device, zone, k, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(a AS TIMESTAMP) + INTERVAL 330 DAY - INTERVAL 10 MINUTE, INTERVAL 10 MINUTE)) AS x FROM u),
+w AS (SELECT * FROM x WHERE CASE k WHEN 0 THEN minute(x) % 20 = 0 AND hour(x) BETWEEN 1 AND 3 ELSE minute(x) = 30 AND hour(x) = 2 END),
+spans(zone, since, until, off) AS (VALUES
+  ('Europe/Madrid', TIMESTAMP '2000-01-01', TIMESTAMP '2024-03-31 01:00', 60), ('Europe/Madrid', TIMESTAMP '2024-03-31 01:00', TIMESTAMP '2024-10-27 01:00', 120), ('Europe/Madrid', TIMESTAMP '2024-10-27 01:00', TIMESTAMP '2025-03-01', 60),
+  ('America/St_Johns', TIMESTAMP '2000-01-01', TIMESTAMP '2024-03-10 05:30', -210), ('America/St_Johns', TIMESTAMP '2024-03-10 05:30', TIMESTAMP '2024-11-03 04:30', -150), ('America/St_Johns', TIMESTAMP '2024-11-03 04:30', TIMESTAMP '2025-03-01', -210),
+  ('Australia/Lord_Howe', TIMESTAMP '2000-01-01', TIMESTAMP '2024-04-06 15:00', 660), ('Australia/Lord_Howe', TIMESTAMP '2024-04-06 15:00', TIMESTAMP '2024-10-05 15:30', 630), ('Australia/Lord_Howe', TIMESTAMP '2024-10-05 15:30', TIMESTAMP '2025-03-01', 660))
+SELECT DISTINCT device, coalesce(min(x - to_minutes(off)) FILTER (WHERE x >= since + to_minutes(off) AND x < until + to_minutes(off)), max(until) FILTER (WHERE until + to_minutes(off) <= x)) AS fire FROM w JOIN spans USING (zone) GROUP BY device, x""")
+def _(t):
+    """Every device's nightly fires on its own wall clock, through both changes of the year."""
+    spans = t.events.groupBy(c("user_id").alias("device")).agg(F.to_date(F.min("ts")).alias("start"))
+    zone = F.get(F.array(*map(F.lit, ("Europe/Madrid", "America/St_Johns", "Australia/Lord_Howe"))), c("device") % 3)
+    spans = spans.withColumns({"end": F.date_add("start", 330), "expr": F.when(c("device") % 2 == 0, "*/20 1-3 * * *").otherwise("30 2 * * *"), "zone": zone})
+    return schedule.fires_of(spans, tz=c("zone")).select("device", c("fire").cast("timestamp_ntz").alias("fire"))
+
+
 @query("i02_missed_fires", f"WITH {_FIRES} SELECT device, fire FROM fires f WHERE NOT EXISTS (SELECT 1 FROM b_runs r WHERE r.device = f.device AND r.started_at >= f.fire AND r.started_at < f.fire + INTERVAL 1 DAY) AND fire < TIMESTAMP '2024-01-28' OR fire >= TIMESTAMP '2024-01-28' AND NOT EXISTS (SELECT 1 FROM b_runs r WHERE r.device = f.device AND r.started_at >= f.fire)")
 def _(t):
     return schedule.missed_fires(_fires(t), t.b_runs, "device", latest_only=False)
