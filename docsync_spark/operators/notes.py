@@ -18,22 +18,6 @@ from docsync_spark.sources.scratch import written
 MARKER = "docsync"
 SEGMENT = "pos int, block_id string, content string, written_hash string"
 _INDENT = 2
-#: Fixed values of the Markdown dialect: which line begins which block, the first that fits.
-LINES = {
-    "code": re.compile(r"\s{0,3}(?:`{3,}|~{3,})\s*(\S*)\s*"),
-    "math": re.compile(r"\s*\$\$\s*"),
-    "divider": re.compile(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*"),
-    "heading": re.compile(r"(#{1,6})\s+(.*)"),
-    "quote": re.compile(r"\s*>.*"),
-    "task_list": re.compile(r"(\s*)[-*+]\s+\[([ xX])\]\s+(.*)"),
-    "list": re.compile(r"(\s*)(?:[-*+]|(\d+)[.)])\s+(.*)"),
-    "table": re.compile(r"\s*\|.*\|\s*"),
-    "blank": re.compile(r"\s*"),
-}
-CALLOUT = re.compile(r">\s*\[!([^\]]+)\]-?\+?\s*(.*)")
-QUOTED = re.compile(r"\s*>\s?")
-
-
 def segments_of(body: str, marker: str = MARKER) -> list[tuple[str | None, str, str | None]]:
     """(block_id, content, written_hash) of a note body in order; a begin without a later end is text.
 
@@ -161,8 +145,49 @@ def block_diff(segments: DataFrame, generated: DataFrame, key: str = "note_id")
     return main.union(extra)
 
 
-def _kind(line: str) -> tuple[str, re.Match | None]:
-    return next(((k, m) for k, p in LINES.items() if (m := p.fullmatch(line))), ("paragraph", None))
+def _kind(line: str) -> tuple[str, tuple]:
+    """Which block a line begins, by what it starts with, and what the line itself says of it: a fence's language; a
+    heading's level and text; an item's indent, its mark or number, and its text."""
+    body, shown = line.lstrip(), line.strip()
+    if not shown:
+        return "blank", ()
+    indent, sign = len(line) - len(body), shown[0]
+    same = len(shown) - len(shown.lstrip(sign))
+    if sign in "`~" and same > 2 and indent < 4 and len(shown[same:].split()) < 2:
+        return "code", (shown[same:].strip(),)
+    if shown == "$$":
+        return "math", ()
+    if sign in "-*_" and indent < 4 and "".join(shown.split()) == sign * shown.count(sign) and shown.count(sign) > 2:
+        return "divider", ()
+    if sign == "#" and not indent and same < 7 and line[same:][:1].isspace():
+        return "heading", (same, line[same:].strip())
+    if sign == ">":
+        return "quote", ()
+    digits = len(body) - len(body.lstrip("".join({x for x in body if x.isdecimal()}))) if sign.isdecimal() else 0
+    mark = 1 if sign in "-*+" else digits + 1 if digits and body[digits : digits + 1] in (".", ")") else 0
+    if mark and body[mark : mark + 1].isspace():
+        item = body[mark:].lstrip()
+        if not digits and item[:1] == "[" and item[2:3] == "]" and item[1] in " xX" and item[3:4].isspace():
+            return "task_list", (indent, item[1], item[4:].strip())
+        return "list", (indent, body[:digits], item.strip())
+    if sign == "|" and len(shown) > 1 and shown[-1] == "|":
+        return "table", ()
+    return "paragraph", ()
+
+
+def _unquoted(line: str) -> str:
+    """A quoted line without its sign and one blank after it."""
+    rest = line.lstrip()[1:]
+    return rest[1:] if rest[:1].isspace() else rest
+
+
+def _callout(line: str) -> tuple[str, str] | None:
+    """(type, title) where a quoted line opens a callout: the type in brackets after an exclamation mark, a fold sign or two, a title."""
+    rest = line.lstrip()[1:].lstrip()
+    end = rest.find("]")
+    if not rest.startswith("[!") or end < 3:
+        return None
+    return rest[2:end].strip().lower(), rest[end + 1 :].removeprefix("-").removeprefix("+").strip()
 
 
 def _taken(lines: list[str], i: int, kind: str) -> tuple[int, list[str]]:
@@ -191,7 +216,7 @@ def blocks_of(text: str) -> list[tuple]:
         lines, i, depth, owner = open_.pop()
         items: list[tuple[int, int]] = []  # open list items: level, pos
         while i < len(lines):
-            kind, m = _kind(lines[i])
+            kind, said = _kind(lines[i])
             after, own = _taken(lines, i, kind)
             body, level, parent, attrs = "\n".join(own), 0, owner, {}
             if kind not in ("list", "task_list"):
@@ -200,30 +225,31 @@ def blocks_of(text: str) -> list[tuple]:
                 body = body.strip()
                 attrs = {"display": "true"} if kind == "math" else {}
             elif kind == "code":
-                attrs = {"language": m[1]}
+                attrs = {"language": said[0]}
             elif kind == "divider":
                 body = ""
             elif kind == "heading":
-                body, level = m[2].strip(), len(m[1])
+                level, body = said
             elif kind == "table":
                 body = "\n".join(x.strip() for x in own)
             elif kind == "quote":
-                named = CALLOUT.fullmatch(own[0].lstrip())
-                body = "\n".join(QUOTED.sub("", x, count=1) for x in own).strip()
+                named = _callout(own[0])
+                body = "\n".join(map(_unquoted, own)).strip()
                 if named:
-                    kind, body, attrs = "callout", named[2].strip(), {"callout_type": named[1].strip().lower()}
+                    kind, body, attrs = "callout", named[1], {"callout_type": named[0]}
             elif kind in ("list", "task_list"):
-                body, level = m[3].strip(), len(m[1]) // _INDENT
+                indent, mark, body = said
+                level = indent // _INDENT
                 while items and items[-1][0] >= level:
                     items.pop()
                 parent = items[-1][1] if items else owner
                 items.append((level, len(rows)))
-                attrs = {"checked": str(m[2] in "xX").lower()} if kind == "task_list" else {"ordered": "true", "number": m[2].lstrip("0") or "0"} if m[2] else {"ordered": "false"}
+                attrs = {"checked": str(mark in "xX").lower()} if kind == "task_list" else {"ordered": "true", "number": mark.lstrip("0") or "0"} if mark else {"ordered": "false"}
             i = after
             if kind != "blank" and (body or kind != "paragraph"):
                 rows.append((len(rows), kind, body, level, parent, owner, depth, attrs))
             if kind == "callout":
-                open_ += [(lines, i, depth, owner), ([QUOTED.sub("", x, count=1) for x in own[1:]], 0, depth + 1, len(rows) - 1)]
+                open_ += [(lines, i, depth, owner), ([_unquoted(x) for x in own[1:]], 0, depth + 1, len(rows) - 1)]
                 break
     return rows
 
@@ -243,10 +269,15 @@ def extract_blocks(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_c
 
 def line_kinds(text: Column) -> Column:
     """Counts of heading, list and task lines of a text: a native map for when no blocks are needed."""
-    kinds = {"heading": "^#{1,6}\\s+.*$", "task_list": "^\\s*[-*+]\\s+\\[[ xX]\\]\\s+.*$", "list": "^\\s*(?:[-*+]|\\d+[.)])\\s+(?!\\[[ xX]\\]\\s).*$"}
-    lines = F.split(text, "\n")
-    count = lambda p: F.size(F.filter(lines, lambda line: F.rlike(line, F.lit(p)))).cast("long")
-    return F.create_map(*[x for k, p in kinds.items() for x in (F.lit(k), count(p))])
+    item, blanks = "^\\s*([-+*]|[0-9]+[.)])\\s+", F.array(*map(F.lit, " \t\r\x0b\x0c"))
+
+    def of(line: Column) -> Column:
+        rest = F.regexp_replace(line, item, "")
+        box = F.lower(F.substring(rest, 1, 3)).isin("[ ]", "[x]") & F.array_contains(blanks, F.substring(rest, 4, 1)) & ~F.ltrim(line).rlike("^[0-9]")
+        return F.when(F.rlike(line, F.lit("^#{1,6}\\s")), "heading").when(rest != line, F.when(box, "task_list").otherwise("list"))
+
+    kinds = F.transform(F.split(text, "\n"), of)
+    return F.create_map(*[x for k in ("heading", "task_list", "list") for x in (F.lit(k), F.size(F.filter(kinds, lambda found: found == k)).cast("long"))])
 
 
 def _indent(level: Column) -> Column:
