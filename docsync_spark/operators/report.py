@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,10 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def degradations(blocks: DataFrame, handled: dict[str, str]) -> DataFrame:
-    """(kind, rendered_as): kinds without a writer of their own, once each."""
-    return blocks.filter(~F.col("kind").isin(list(handled))).select("kind", F.lit("paragraph").alias("rendered_as")).dropDuplicates(["kind"])
+def degradations(blocks: DataFrame, handled: Iterable[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, kind, rendered_as): kinds of blocks without a writer of their own, once for each key. They are written as their text, and callouts need none."""
+    lost = blocks.filter(~F.col("kind").isin(*handled, "callout"))
+    return lost.select(*keys, "kind", F.lit("paragraph").alias("rendered_as")).distinct()
 
 
 def run_report(selection: DataFrame, outcomes: DataFrame) -> DataFrame:
