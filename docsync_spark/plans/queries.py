@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 import hashlib
 from collections.abc import Callable
 
@@ -894,20 +895,65 @@ def _snapshots(orders: DataFrame) -> DataFrame:
     return orders.select(F.concat(F.lit("C"), c("o_custkey").cast("string")).alias("doc_id"), c("o_orderstatus").alias("version"), c("o_orderpriority").alias("recipe"), at.alias("ts"))
 
 
-@query("i05_stream_changes", """
-SELECT doc_id, version, recipe FROM (
-  SELECT 'C' || o_custkey AS doc_id, o_orderstatus AS version, o_orderpriority AS recipe, row_number() OVER w AS n, lag(o_orderstatus) OVER w AS v, lag(o_orderpriority) OVER w AS r
-  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE n = 1 OR v <> version OR r <> recipe""")
+@query("i06_sessions", """
+WITH r AS (SELECT device, started_at, outcome, sum(CASE WHEN before + INTERVAL 6 HOUR > started_at THEN 0 ELSE 1 END) OVER (PARTITION BY device ORDER BY started_at, id) AS s
+  FROM (SELECT *, lag(started_at) OVER (PARTITION BY device ORDER BY started_at, id) AS before FROM b_runs))
+SELECT device, min(started_at) AS start, max(started_at) + INTERVAL 6 HOUR AS end, count(*) AS runs, count(*) FILTER (WHERE outcome = 'error') AS failed FROM r GROUP BY device, s
+HAVING max(started_at) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
+    """As a stream: the bursts of runs of each device that the watermark has closed."""
+    runs = t.spark.sql(BINDINGS["b_runs"], events=_stream(t, "events"))
+    return _drained(t, streams.stream_sessions(runs)).withColumns({x: c(x).cast("timestamp_ntz") for x in ("start", "end")})
+
+
+def _on_rocksdb(t: Tables, run):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _drained(t, streams.stream_changes(_snapshots(_stream(t, "orders"))))
+        return run()
     finally:
         t.spark.conf.set(key, before)
 
 
+@query("i05_stream_transitions", """
+WITH p AS (SELECT id, CASE WHEN c_custkey % 10 = 0 THEN 'old' ELSE CAST(c_custkey * 7 % 1000 AS VARCHAR) END AS version, c_custkey FROM (SELECT 'C' || c_custkey AS id, * FROM customer) WHERE c_custkey % 4 > 0),
+s AS (SELECT 'C' || c_custkey AS id, c_custkey, CAST(c_custkey * 7 % 1000 AS VARCHAR) AS version FROM customer),
+one AS (SELECT * FROM s WHERE c_custkey % 3 > 0), two AS (SELECT id, c_custkey, CASE WHEN c_custkey % 11 = 0 THEN version || 'x' ELSE version END AS version FROM s WHERE c_custkey % 5 > 0)
+SELECT id AS doc_id, version, 'r1' AS recipe, CASE WHEN c_custkey % 4 > 0 THEN 'changed' ELSE 'new' END AS change FROM one WHERE c_custkey % 4 = 0 OR c_custkey % 10 = 0
+UNION ALL SELECT two.id, two.version, 'r1', CASE WHEN two.c_custkey % 3 > 0 OR two.c_custkey % 4 > 0 THEN 'changed' ELSE 'new' END FROM two
+  WHERE two.c_custkey % 3 = 0 AND two.c_custkey % 4 = 0 OR two.c_custkey % 11 = 0 OR two.c_custkey % 3 = 0 AND two.c_custkey % 10 = 0
+UNION ALL SELECT id, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey * 7 % 1000 AS VARCHAR) ELSE version END, 'r1', 'orphaned' FROM (SELECT s.id, s.c_custkey, p.version FROM s LEFT JOIN p USING (id)) WHERE c_custkey % 5 = 0 AND (c_custkey % 3 > 0 OR c_custkey % 4 > 0)""")
+def _(t):
+    """Two snapshots of the listing after what is published, the second one after a restart, and a third run with nothing new but the time."""
+    folder = scratch.scratch_folder(t.spark)
+    at = lambda day: F.lit(f"2024-01-{day:02} 00:00:00").cast("timestamp").alias("ts")
+    version, key = (c("c_custkey") * 7 % 1000).cast("string"), F.concat(F.lit("C"), c("c_custkey").cast("string")).alias("doc_id")
+    old = t.customer.filter("c_custkey % 4 > 0").select(key, F.when(c("c_custkey") % 10 == 0, "old").otherwise(version).alias("version"), F.lit("r1").alias("recipe"), at(1))
+    one = t.customer.filter("c_custkey % 3 > 0").select(key, version.alias("version"), F.lit("r1").alias("recipe"), at(2))
+    two = t.customer.filter("c_custkey % 5 > 0").select(key, F.when(c("c_custkey") % 11 == 0, F.concat(version, F.lit("x"))).otherwise(version).alias("version"), F.lit("r1").alias("recipe"), at(3))
+    clock = two.limit(1).withColumn("ts", at(5))  # a row that was there moves the time on
+    out = f"{folder}/out"
+
+    def run() -> DataFrame:
+        for n, snapshot in enumerate((one, two, clock)):
+            snapshot.write.mode("append").parquet(f"{folder}/in")
+            stream = t.spark.readStream.schema(one.schema).parquet(f"{folder}/in")
+            found = streams.stream_transitions(stream, old, dt.timedelta(days=2, hours=12))
+            found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return t.spark.read.schema(found.schema).parquet(out)
+
+    return _on_rocksdb(t, run)
+
+
+@query("i05_stream_changes", """
+SELECT doc_id, version, recipe FROM (
+  SELECT 'C' || o_custkey AS doc_id, o_orderstatus AS version, o_orderpriority AS recipe, row_number() OVER w AS n, lag(o_orderstatus) OVER w AS v, lag(o_orderpriority) OVER w AS r
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE n = 1 OR v <> version OR r <> recipe""")
+def _(t):
+    return _on_rocksdb(t, lambda: _drained(t, streams.stream_changes(_snapshots(_stream(t, "orders")))))
+
+
 @query("i07_distinct_snapshots", "SELECT DISTINCT 'C' || o_custkey AS doc_id, o_orderstatus AS version FROM orders")
 def _(t):
     return _drained(t, streams.distinct_snapshots(_snapshots(_stream(t, "orders")).select("doc_id", "version", "ts"), "3650 days").select("doc_id", "version"))

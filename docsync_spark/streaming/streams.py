@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from docsync_spark.functions.scalars import describe_run
 
@@ -41,6 +42,66 @@ def stream_changes(listing_stream: DataFrame) -> DataFrame:
     return listing_stream.groupBy("doc_id").transformWithStateInPandas(_Changes(), "doc_id string, version string, recipe string", "Append", "None")
 
 
+class _Transitions(StatefulProcessor):
+    """Remembers a document's last version and recipe, and until when it counts as present."""
+
+    def __init__(self, gone_after_ms: int):
+        self._gone_after = gone_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._seen = handle.getValueState("seen", "version string, recipe string, until long")
+
+    def _keep(self, version, recipe, ts) -> None:
+        """A document has one timer at a time; one that rings too early is set again."""
+        until = int(pd.Timestamp(ts).timestamp() * 1000) + self._gone_after
+        known = self._seen.get() if self._seen.exists() else None
+        self._seen.update((version, recipe, until if known is None else max(until, known[2])))
+        if known is None:
+            self._handle.registerTimer(until)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.itertuples(index=False):
+            self._keep(row.version, row.recipe, row.ts)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = sorted(((row.ts, i, row.version, row.recipe) for i, row in enumerate(r for batch in rows for r in batch.itertuples(index=False))), key=lambda r: r[:2])
+        out = []
+        for ts, _, *now in seen:
+            known = self._seen.get() if self._seen.exists() else None
+            if known is None or tuple(known[:2]) != tuple(now):
+                out.append((key[0], *now, "new" if known is None else "changed"))
+            self._keep(*now, ts)
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "version", "recipe", "change"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self._seen.exists():
+            return
+        version, recipe, until = self._seen.get()
+        if until > timerValues.getCurrentWatermarkInMs():
+            self._handle.registerTimer(until)
+            return
+        self._seen.clear()
+        yield pd.DataFrame([(key[0], version, recipe, "orphaned")], columns=["doc_id", "version", "recipe", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(listing_stream: DataFrame, published: DataFrame | None = None, gone_after: dt.timedelta = dt.timedelta(days=1), watermark: str = "0 seconds") -> DataFrame:
+    """(doc_id, version, recipe, change): a document is new, has changed, or is orphaned, as no snapshot has shown it for gone_after.
+
+    Input: (doc_id, version, recipe, ts), ts the time of the snapshot; published has the same columns, as of the last publication, one row a
+    document, and is what the state starts from. Needs the RocksDB state store. State is one row and one timer a document, spread by doc_id; an
+    orphan's goes, so that the state holds what is there and no more. Time is that of the snapshots: while none comes, nothing is orphaned.
+    """
+    stream = listing_stream.select("doc_id", "version", "recipe", "ts").withWatermark("ts", watermark)
+    first = published.select("doc_id", "version", "recipe", "ts").groupBy("doc_id") if published is not None else None
+    kind = f"doc_id {listing_stream.schema['doc_id'].dataType.simpleString()}, version string, recipe string, change string"
+    return stream.groupBy("doc_id").transformWithStateInPandas(_Transitions(int(gone_after.total_seconds() * 1000)), kind, "Append", "EventTime", initialState=first)
+
+
 def distinct_snapshots(listing_stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Without replays of the same document version within the watermark."""
     return listing_stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["doc_id", "version"])
@@ -53,6 +114,37 @@ def stream_run_stats(runs_stream: DataFrame, period: str = "1 day", watermark: s
     return rows.groupBy(F.window("at", period).alias("w"), phrase.alias("phrase")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "phrase", "n")
 
 
+def stream_sessions(runs_stream: DataFrame, by: str = "device", gap: str = "6 hours", watermark: str = "1 hour") -> DataFrame:
+    """(by, start, end, runs, failed): runs of one ``by`` that follow each other within the gap, once the watermark has closed them.
+
+    end is the gap after the last run. Rows that come after the watermark has passed the session that they would belong to are dropped; late_rows counts them.
+    """
+    rows = runs_stream.withColumn("at", F.col("started_at").cast("timestamp")).withWatermark("at", watermark)
+    sessions = rows.groupBy(F.session_window("at", gap).alias("w"), by).agg(F.count("*").alias("runs"), F.count_if(F.col("outcome") == "error").alias("failed"))
+    return sessions.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "runs", "failed")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, for each query, the rows that its stateful operators dropped as too late. Add it to spark.streams before the query starts."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+
 def stream_sync(listing_stream: DataFrame, checkpoint: str, select: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], DataFrame], record: Callable[[DataFrame, int], None]):
     """A query that selects, publishes and records each snapshot.
 

@@ -50,3 +50,52 @@ def test_run_stats_as_a_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     assert out[-1] == [("did not finish", 1), ("synced 1 document", 3)]
     assert streams.distinct_snapshots(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))).isStreaming
+
+
+def test_transitions_start_from_what_is_published_and_survive_a_restart(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = "doc_id string, version string, recipe string, ts timestamp"
+    old = spark.createDataFrame([("same", "1", "r", dt.datetime(2024, 1, 1)), ("moved", "1", "r", dt.datetime(2024, 1, 1)), ("gone", "1", None, dt.datetime(2024, 1, 1))], kind)
+    out = []
+
+    def run():
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        query = streams.stream_transitions(stream, old, dt.timedelta(hours=3)).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).start()
+        assert query.awaitTermination(120)
+
+    put(spark, tmp_path / "in", 1, [("same", "1", "r"), ("moved", "2", "r"), ("fresh", "1", None)])
+    run()
+    assert sorted(out) == [("fresh", "1", None, "new"), ("moved", "2", "r", "changed")]
+    put(spark, tmp_path / "in", 5, [("same", "1", "r"), ("fresh", "1", None)])
+    run()
+    run()  # nothing new: no row again
+    assert sorted(out[2:]) == [("gone", "1", None, "orphaned"), ("moved", "2", "r", "orphaned")]
+    put(spark, tmp_path / "in", 6, [("moved", "2", "r"), ("same", "1", "r2")])
+    run()
+    assert sorted(out[4:]) == [("moved", "2", "r", "new"), ("same", "1", "r2", "changed")]
+
+
+def test_sessions_are_closed_once_and_late_rows_are_counted(spark, tmp_path):
+    kind = "device int, started_at timestamp_ntz, outcome string"
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    out, ids = [], set()
+
+    def run(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sessions = streams.stream_sessions(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), gap="1 hour", watermark="2 hours")
+        query = sessions.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).start()
+        assert query.awaitTermination(120)
+        ids.add(str(query.id))
+
+    try:
+        run([(1, at(1), "success"), (1, at(1, 30), "error"), (1, at(4), "error"), (2, at(8), None)])
+        run([(1, at(2), "success"), (1, at(3), "success"), (2, at(8, 30), None), (2, at(20), None)])  # the first two belong to closed hours
+        deadline = dt.datetime.now() + dt.timedelta(seconds=60)
+        while len(late.ended) < 2 and dt.datetime.now() < deadline:
+            pass
+    finally:
+        spark.streams.removeListener(late)
+    assert sorted(out) == [(1, at(1), at(2, 30), 2, 1), (1, at(4), at(5), 1, 1), (2, at(8), at(9, 30), 2, 0)]
+    assert sum(late.dropped[i] for i in ids) == 2
