@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +103,24 @@ def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in slices of about limit bytes of text, and the texts of each as UTF-8, null as empty; only one slice's texts are Python objects."""
+    text = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(text):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, to - at), [x or b"" for x in text.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """One list of an Arrow column for each array; of no arrays, no list."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def thinned(rows: DataFrame, keys: list[str], wanted: int, n: int) -> DataFrame:
     """About a quarter more rows than wanted of n, chosen by the keys' hash: a bounded sample without a sort of all."""
     if n <= wanted:

@@ -18,11 +18,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from docsync_spark.llm.common import table, thinned
+from docsync_spark.llm.common import table, text_steps, thinned, unused
 
 FEATURES = 1 << 18
 KNOWN_WORDS = 1 << 18
@@ -169,18 +170,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     bias = model["bias"] if model is not None else BIAS
     sent = docs.sparkSession.sparkContext.broadcast((bias, weights))
     kept = [c for c in docs.columns if c not in new]
+    read = text_col if text_col in kept else unused(docs, "text_")
     places = ArrayType(StructType().add("start", "integer").add("length", "integer").add("score", "double"))
     schema = docs.select(*kept).schema.add(new[0], "double").add(new[1], "integer").add(new[2], places)
 
     def run(batches):
         scorer = Scorer(*sent.value)
+        found = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            done = [scorer.score(t) if isinstance(t, str) else (0.0, []) for t in batch[text_col]]
-            score = np.array([s for s, _ in done], np.float64)
-            offending = [[{"start": a, "length": n, "score": p} for a, n, p in w] for _, w in done]
-            yield batch[kept].assign(**dict(zip(new, (score, (score >= 0.5).astype(np.int32), offending), strict=True)))
-
-    return docs.select(*kept).mapInPandas(run, schema)
+            for part, texts in text_steps(batch, read):
+                done = [scorer.score(t.decode("utf-8", "surrogatepass")) if t else (0.0, []) for t in texts]
+                score = np.array([s for s, _ in done], np.float64)
+                offending = [[{"start": a, "length": n, "score": p} for a, n, p in w] for _, w in done]
+                own = [part.column(part.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(offending, found)], names=schema.names)
+
+    rows = docs.select(*kept) if text_col in kept else docs.select(*kept, F.col(text_col).alias(read))
+    return rows.mapInArrow(run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
