@@ -7,7 +7,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
@@ -70,6 +70,17 @@ def parse_segments(notes: DataFrame, key: str = "note_id", body: str = "body", m
     return notes.select(*asked).mapInPandas(run, f"{key} {notes.schema[key].dataType.simpleString()}, {SEGMENT}")
 
 
+def register_segments(spark: SparkSession, name: str = "note_segments", marker: str = MARKER) -> None:
+    """A table function for SQL: name(body) has (pos, block_id, content, written_hash) of one note body, as parse_segments has them; to be joined laterally."""
+
+    class Segments:
+        def eval(self, body: str):
+            for i, s in enumerate(segments_of(body, marker) if body is not None else []):
+                yield (i, *s)
+
+    spark.udtf.register(name, F.udtf(Segments, returnType=SEGMENT, useArrow=True))
+
+
 def digest(content: str) -> str:
     return hashlib.sha256(content.strip().encode()).hexdigest()[:8]
 

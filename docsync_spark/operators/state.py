@@ -19,11 +19,12 @@ DOCUMENTS = {"last_error": "keep"}
 PUBLICATIONS = {"first_published_at": "keep", "external_id": "fill", "target": "fill"}
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: Mapping[str, str] | None = None) -> DataFrame:
-    """old with new's rows put in by key; columns that new lacks stay. new has one row a key."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: Mapping[str, str] | None = None, null_keys: bool = True) -> DataFrame:
+    """old with new's rows put in by key; columns that new lacks stay. new has one row a key. Without null_keys a null equals no other, and buckets by these keys serve the join."""
     policies = policies or {}
     a, b = old.select("*", F.lit(True).alias("__old")).alias("a"), new.select("*", F.lit(True).alias("__new")).alias("b")
-    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")
+    same = (lambda x, y: x.eqNullSafe(y)) if null_keys else (lambda x, y: x == y)
+    joined = a.join(b, [same(F.col(f"a.{k}"), F.col(f"b.{k}")) for k in keys], "full_outer")
     has = F.col("b.__new").isNotNull()
     out: list[Column] = []
     for c in old.columns:

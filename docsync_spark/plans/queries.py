@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from docsync_spark.functions import scalars as S
 from docsync_spark.functions import text as T
 from docsync_spark.operators import hierarchy, memo, notes, pages, report, schedule, selection, state
 from docsync_spark.plans.bindings import BINDINGS, Tables, with_bindings
-from docsync_spark.sources import files, scratch, sinks
+from docsync_spark.sources import files, scratch, sinks, tables
 from docsync_spark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +179,17 @@ def _(t):
     return report.degradations(notes.extract_blocks(_markdown(t)), known, ("doc_id",))
 
 
+@query("b22_redact_all", """
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{12,}')) AS word FROM documents),
+l AS (SELECT list(word ORDER BY -length(word), word) AS ws FROM (SELECT word FROM w UNION SELECT 'redacted' UNION SELECT '***redac'))
+SELECT doc_id, md5(list_reduce(list_prepend(text, ws), lambda a, x: replace(a, x, '***redacted***'))) AS redacted FROM documents, l""")
+def _(t):
+    """Every long word is a secret, and two are parts of the mask."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{12,}"), F.lit(0))).alias("w")).distinct()
+    secrets = [r["w"] for r in words.collect()] + ["redacted", "***redac"]  # the configured secrets
+    return S.redact_all(t.documents.select("doc_id", "text"), "text", secrets).select("doc_id", F.md5(c("text").cast("binary")).alias("redacted"))
+
+
 @query("b21_normalize_callouts", r"""
 WITH l AS (SELECT doc_id, i, x, i // 6 AS g, trim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), chr(10)) AS lines FROM documents))),
 m AS (SELECT *, bool_or(starts_with(t, '---') OR starts_with(t, '<span') OR starts_with(t, '###')) OVER w AS ended, bool_and(t = '') OVER w AS blank FROM l WINDOW w AS (PARTITION BY doc_id, g ORDER BY i)),
@@ -353,6 +365,24 @@ def _(t):
     return state.upsert_pages(t.b_page_hashes_prev.filter("doc_id % 4 > 0"), t.b_page_hashes.filter("page_index % 2 = 1"))
 
 
+def _table(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+@query("c07_upsert_bucketed", """
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.page_index, o.page_index) AS page_index, coalesce(n.source_hash, o.source_hash) AS source_hash, coalesce(n.render_hash, o.render_hash) AS render_hash
+FROM (SELECT * FROM b_page_hashes_prev WHERE doc_id % 4 > 0) o FULL JOIN (SELECT * FROM b_page_hashes WHERE page_index % 2 = 1) n ON n.doc_id = o.doc_id AND n.page_index = o.page_index""")
+def _(t):
+    """The same in bucketed tables, in two batches; the second one ends with a new snapshot of that name."""
+    stored, name, keys = tables.BucketedState(t.spark, 8), _table("page_hashes"), ["doc_id", "page_index"]
+    stored.save(name, t.b_page_hashes_prev.filter("doc_id % 4 > 0"), keys)
+    for batch in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+        stored.upsert(name, t.b_page_hashes.filter(f"page_index % 2 = 1 and {batch}"), keys)
+    found = scratch.written(stored.load(name))
+    t.spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 @query("c07_upsert_device", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new ' || machine ELSE machine END AS machine FROM b_machines WHERE id % 5 > 0 OR id % 3 = 0")
 def _(t):
     new = t.b_machines.filter("id % 3 = 0").withColumn("machine", F.concat(F.lit("new "), "machine"))
@@ -484,6 +514,21 @@ def _(t):
     return memo.prune_cache(t.b_cache, 90, F.lit(300)).select("doc_id", "size")
 
 
+@query("c05_cache_by_shard", f"""
+WITH e AS (SELECT x.text, max(last_used_day) AS day FROM documents x JOIN b_cache USING (doc_id) GROUP BY x.text),
+n AS (SELECT text, CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'en') THEN 400 ELSE day END AS day FROM e)
+SELECT d.doc_id, k.text IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT text FROM n WHERE day >= 400 - 90) k ON k.text = d.text""")
+def _(t):
+    """Entries that English documents hit are renewed, old ones go, and all documents are looked up in what is left."""
+    table = tables.CacheTable.create(_table("cache"), _cache(t))
+    keyed = t.documents.select("doc_id", "lang", S.content_key(c("text"), F.lit("fp1")).alias("key"))
+    table.touch(keyed.filter("lang = 'en'"), F.lit(400))
+    table.prune(90, 400)
+    found = scratch.written(table.lookup(keyed).select("doc_id", "hit"))
+    t.spark.sql(f"DROP TABLE {table.name}")
+    return found
+
+
 @query("g05_touch_on_hit", f"SELECT md5(text) AS content, CAST(CASE WHEN bool_or(lang = 'en') THEN 400 ELSE day END AS INTEGER) AS last_used_day FROM documents JOIN (SELECT x.text, max(last_used_day) AS day FROM documents x JOIN b_cache USING (doc_id) GROUP BY x.text) USING (text) GROUP BY text, day")
 def _(t):
     """Entries that English documents hit are renewed."""
@@ -787,6 +832,17 @@ def _(t):
     return notes.parse_segments(_notes(t)).withColumn("content", F.md5(c("content").cast("binary")))
 
 
+@query("h05_segments_in_sql", f"""
+WITH {_BODIES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS size FROM bodies)
+SELECT doc_id AS note_id, CAST(1 + 2 * k AS INTEGER) AS pos, 'page-' || (idx + 1) AS block_id, md5(CASE WHEN edited THEN e ELSE b END) AS content, substr(sha256(b), 1, 8) AS written_hash FROM n
+UNION ALL SELECT doc_id, CAST(2 * k AS INTEGER), NULL, md5(CASE WHEN k = 0 THEN 'my own words' ELSE '' END), NULL FROM n
+UNION ALL SELECT doc_id, CAST(2 * size AS INTEGER), NULL, md5('the end'), NULL FROM n WHERE k = 0""")
+def _(t):
+    """The same, as SQL over a view."""
+    notes.register_segments(t.spark)
+    return t.spark.sql("SELECT n.note_id, s.pos, s.block_id, md5(CAST(s.content AS BINARY)) AS content, s.written_hash FROM {bodies} n, LATERAL note_segments(n.body) s", bodies=_notes(t))
+
+
 @query("h04_merge_notes", f"WITH {_BODIES}, {_MERGED} SELECT doc_id AS note_id, md5(body) AS digest, warnings FROM merged")
 def _(t):
     out = notes.merge_notes(notes.parse_segments(_notes(t)), _generated(t))

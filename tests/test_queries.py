@@ -11,7 +11,7 @@ import pytest
 from docsync_spark.plans import queries
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"h06_h07_blocks_round_trip", "d14_block_stats", "h03_apply_memoized", "h03_memo_stats", "d14_degradations", "h04_block_diff", "h05_parse_segments", "h04_merge_notes", "h08_build_notes", "e02_claim_names", "a07_html_to_text", "a06_a09_notes"}
+PYTHON = {"h06_h07_blocks_round_trip", "d14_block_stats", "h03_apply_memoized", "h03_memo_stats", "d14_degradations", "h04_block_diff", "h05_segments_in_sql", "h05_parse_segments", "h04_merge_notes", "h08_build_notes", "e02_claim_names", "a07_html_to_text", "a06_a09_notes"}
 #: Without rows on so small a table.
 NONE_HERE = {"c11_page_drift", "g05_prune_cache"}
 
