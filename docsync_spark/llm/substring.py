@@ -7,13 +7,14 @@ block, to which no other phrase can have an equal window. Every document is fact
 its anchors name, and only blocks of two phrases or more are looked at again:
 
 * a phrase that stands elsewhere as it is, word for word, is a factor whole;
-* the other phrases of a block are laid over each other at the anchor. From each word of a phrase the
-  greedy parse takes the longest factor that any other phrase of the block has, left and right of the
-  anchor word by word. Factors of ``length`` words and more become duplicate spans;
+* the other phrases of a block are laid over each other at the anchor and sorted by what stands on its right. From each
+  word of a phrase the greedy parse takes the longest factor that any other phrase of the block has: of the phrases with the same
+  words between there and the anchor, one of its neighbours in that order goes along the furthest. Factors of ``length`` words and more
+  become duplicate spans;
 * neighbouring phrases overlap by ``length - 1`` words, so a window across the boundary of two factors
   belongs to one of the phrases and is checked there.
 
-Blocks of more than ``MOST`` different phrases are not parsed pair by pair: their windows are counted one by one,
+Blocks of more than ``MOST`` different phrases, more than one task should hold, are not parsed: their windows are counted one by one,
 which has the same result. Identical phrases are counted before they are dealt, so a passage with a million
 copies is one row from each task.
 """
@@ -35,8 +36,10 @@ U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 KNOWN_WORDS = 1 << 18
-#: Different phrases of a block that are parsed pair by pair; numbers that one step of it compares.
-MOST, COMPARED = 64, 1 << 21
+#: Different phrases of a block that is parsed in one task.
+MOST = 1 << 16
+#: Documents that lose words up to which their keys go to all tasks, so that no other text is shuffled.
+FEW = 1 << 20
 
 
 class _WordHashes(dict):
@@ -154,17 +157,33 @@ def _opened(batches, length: int, anchor: int):
                     yield pd.DataFrame(rows)
 
 
-def longest(sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The greedy parse of blocks of m phrases, laid over each other at the anchor.
+def longest(block: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The greedy parse of blocks of phrases, laid over each other at the anchor.
 
-    sides: word hashes leftward and rightward from the anchor, [blocks, m, words], zero where the phrase has no more.
-    Returns right[block, phrase, j]: how many words on the right of the anchor the longest factor has
-    that starts j words before the anchor and stands in another phrase of the block; -1 for none.
+    block: whose phrase it is; left and right: word hashes leftward and rightward from the anchor, [phrases, words], zero where the phrase has no
+    more. Returns reach[phrase, j]: how many words on the right of the anchor the longest factor has that starts j words
+    before the anchor and stands in another phrase of the block; -1 for none.
     """
-    left, right = (np.logical_and.accumulate((x[:, :, None] == x[:, None]) & (x[:, :, None] != 0), axis=3).sum(axis=3, dtype=np.int16) for x in sides)
-    left[:, np.arange(left.shape[1]), np.arange(left.shape[1])] = -1  # not against itself
-    reach = [np.where(left >= j, right, -1).max(axis=2) for j in range(sides[0].shape[2] + 1)]
-    return np.stack(reach, axis=2)
+    n, width = left.shape
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort(right.T[::-1])] = np.arange(n)
+    reach = np.full((n, width + 1), -1, np.int16)
+    same_left = _mixed(block.astype(U) + U(1))  # of the block and the j words before the anchor
+    at = np.arange(n)
+    for j in range(width + 1):
+        order = at[np.lexsort((rank[at], same_left[at]))]
+        beside = same_left[order[1:]] == same_left[order[:-1]]
+        a, b = order[1:][beside], order[:-1][beside]
+        if not len(a):
+            break
+        along = np.logical_and.accumulate((right[a] == right[b]) & (right[a] != 0), axis=1).sum(axis=1, dtype=np.int16)
+        reach[a, j] = along
+        reach[b, j] = np.maximum(reach[b, j], along)
+        if j < width:  # who has no partner for j words has none for more
+            at = np.union1d(a, b)
+            at = at[left[at, j] != 0]
+            same_left[at] = _mixed(same_left[at] * U(BASES[0]) + left[at, j])
+    return reach
 
 
 def _factors(batches, length: int, anchor: int):
@@ -172,8 +191,7 @@ def _factors(batches, length: int, anchor: int):
     width = length - anchor
 
     def parsed(rows: pd.DataFrame):
-        sizes = rows.groupby("anchor", sort=False).size().to_numpy()
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        block = np.cumsum(np.concatenate([[0], np.diff(rows["anchor"].to_numpy(np.int64)) != 0]))
         lead, n, start = (rows[c].to_numpy(np.int64) for c in ("lead", "n", "start"))
         sides = np.zeros((2, len(rows), width), U)
         for i, x in enumerate(rows["words"]):
@@ -182,21 +200,15 @@ def _factors(batches, length: int, anchor: int):
             sides[0, i, : lead[i]] = x[: lead[i]][::-1]
             after = x[lead[i] :]
             sides[1, i, : len(after)] = after
+        reach = longest(block, *sides)
         k1, k2 = rows["k1"].to_numpy(np.int64), rows["k2"].to_numpy(np.int64)
-        for m in np.unique(sizes[sizes > 1]):
-            of = first[sizes == m]
-            per = max(1, COMPARED // int(m * m * width))
-            for a in range(0, len(of), per):
-                at = of[a : a + per, None] + np.arange(m)
-                right = longest((sides[0][at], sides[1][at])).reshape(-1, width + 1)
-                flat = at.ravel()
-                offsets = lead[flat, None] - np.arange(n[flat].max())  # words before the anchor at which each window starts
-                inside = (np.arange(offsets.shape[1]) < n[flat, None]) & (offsets >= 0)
-                inside &= np.take_along_axis(right, np.maximum(offsets, 0), 1) >= width - offsets
-                edge = np.diff(np.pad(inside.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                row, begin = np.nonzero(edge == 1)
-                end = np.nonzero(edge == -1)[1]
-                yield pd.DataFrame({"k1": k1[flat[row]], "k2": k2[flat[row]], "start": (start[flat[row]] + begin).astype(np.int32), "n": (end - begin).astype(np.int32)})
+        offsets = lead[:, None] - np.arange(n.max(initial=0))  # words before the anchor at which each window starts
+        inside = (np.arange(offsets.shape[1]) < n[:, None]) & (offsets >= 0)
+        inside &= np.take_along_axis(reach, np.maximum(offsets, 0), 1) >= width - offsets
+        edge = np.diff(np.pad(inside.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, begin = np.nonzero(edge == 1)
+        end = np.nonzero(edge == -1)[1]
+        yield pd.DataFrame({"k1": k1[row], "k2": k2[row], "start": (start[row] + begin).astype(np.int32), "n": (end - begin).astype(np.int32)})
 
     held = None
     for batch in batches:
@@ -240,6 +252,11 @@ def _cut(batches, length: int, kept: list[str], text_col: str, with_text: bool):
         yield batch[kept].assign(n_words=np.array(total, np.int64), n_removed=np.array(gone, np.int64), kept_sha256=digests, **{"kept_text": left_texts, "factors": factors} if with_text else {})
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """keys, to all tasks if there are few of them."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, anchor: int = 8, with_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept_text, factors]) of every row of docs.
 
@@ -262,7 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = copies.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1")
     asked = copies.select("anchor", "one.*").join(blocks, "anchor").groupBy("k1", "k2")
     asked = asked.agg(F.collect_set(F.struct("start", "n", "lead", "anchor", (F.col("different") > MOST).alias("large"))).alias("spans"))
-    texts = row.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    asked = materialize(asked)
+    texts = row.join(_sent(asked.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     opened = "k1 long, k2 long, start int, n int, lead int, anchor long, words binary, w1 long, w2 long"
     opened = materialize(texts.join(asked, ["k1", "k2"]).mapInPandas(lambda b: _joined(_opened(b, length, anchor)), opened))
 
@@ -275,7 +293,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = several.select("k1", "k2", "start", "n").union(factors).union(counted).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     result = "__id " + docs.schema[id_col].dataType.simpleString() + ", n_words long, n_removed long, kept_sha256 string"
     result += ", kept_text string, factors array<struct<start:int,length:int>>" if with_text else ""
-    cut = row.join(spans, ["k1", "k2"], "left").mapInPandas(lambda b: _cut(b, length, ["__id"], "text", with_text), result)
+    spans = materialize(spans)
+    keys = _sent(spans.select("k1", "k2"))
+    # texts that lose nothing stay where they are
+    whole = row.join(keys, ["k1", "k2"], "left_anti").select("__id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    less = row.join(keys, ["k1", "k2"], "left_semi").join(spans, ["k1", "k2"]).select("__id", "text", "spans")
+    cut = whole.union(less).mapInPandas(lambda b: _cut(b, length, ["__id"], "text", with_text), result)
     return cut.withColumnRenamed("__id", id_col)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docsync_spark.llm import substring
@@ -58,3 +59,42 @@ def test_other_lengths_and_kept_text(spark):
 
 def test_empty_table(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_large_blocks_are_parsed_and_larger_ones_counted(spark, monkeypatch):
+    """One anchor in thousands of different phrases."""
+    rng = random.Random(9)
+    hot = [f"hot{i}" for i in range(8)]
+    sides = [[f"s{rng.randrange(40)}" for _ in range(30)] for _ in range(60)]
+    rows = []
+    for i in range(3000):
+        before, after = list(rng.choice(sides)), list(rng.choice(sides))
+        before[rng.randrange(30)] = f"b{i}"
+        after[rng.randrange(30)] = f"a{i}"
+        rows.append((i, " ".join(before + hot + after)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 35)
+    assert sum(r[2] > 0 for r in want) > 900
+    for most in (1 << 16, 100):
+        monkeypatch.setattr(substring, "MOST", most)
+        assert sorted((tuple(r)[:4] for r in substring.remove_repeats(docs).collect()), key=repr) == want
+
+
+def test_longest_factors_of_a_block():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, width = int(rng.integers(1, 12)), int(rng.integers(1, 6))
+        block = np.sort(rng.integers(0, 3, n))
+        sides = rng.integers(1, 3, (2, n, width)).astype(np.uint64)
+        for side in sides:
+            for row, k in zip(side, rng.integers(0, width + 1, n)):
+                row[k:] = 0
+        common = lambda x, y: int(np.logical_and.accumulate((x == y) & (x != 0)).sum())
+        left, right = sides
+        want = np.full((n, width + 1), -1)
+        for i in range(n):
+            for j in range(width + 1):
+                if j and left[i, j - 1] == 0:
+                    continue
+                want[i, j] = max((common(right[i], right[p]) for p in range(n) if p != i and block[p] == block[i] and common(left[i], left[p]) >= j), default=-1)
+        assert (substring.longest(block, left, right) == want).all()
