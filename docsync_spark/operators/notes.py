@@ -17,6 +17,7 @@ from docsync_spark.sources.scratch import written
 
 MARKER = "docsync"
 SEGMENT = "pos int, block_id string, content string, written_hash string"
+SEGMENTS = "array<struct<pos:bigint,block_id:string,content:string,written_hash:string>>"
 _INDENT = 2
 def segments_of(body: str, marker: str = MARKER) -> list[tuple[str | None, str, str | None]]:
     """(block_id, content, written_hash) of a note body in order; a begin without a later end is text.
@@ -448,33 +449,51 @@ def generated_blocks(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return paged.union(whole).union(gallery)
 
 
+def _put_into(body: pd.Series, ours: pd.Series, made: pd.Series) -> pd.DataFrame:
+    """(segments, warnings) of note bodies with the blocks made put in; nothing where the body is null."""
+    rows = []
+    for text, own, blocks in zip(body, ours, made, strict=True):
+        if not isinstance(text, str):
+            rows.append((None, None))
+            continue
+        found = segments_of(text)
+        if all(s[0] is None for s in found):  # the mark is part of a text
+            found = [] if own or not text.strip() else [(None, text.rstrip("\n") + "\n", None)]
+        out, warnings = merged(found, [(b["block_id"], b["content"]) for b in blocks])
+        rows.append(([{"pos": i, "block_id": b, "content": c, "written_hash": h} for i, (b, c, h) in enumerate(out)], warnings))
+    return pd.DataFrame({"segments": [r[0] for r in rows], "warnings": [r[1] for r in rows]})
+
+
 def build_notes(docs: DataFrame, pages: DataFrame, today: str, existing: DataFrame | None = None, base_tags: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, note, warnings): whole notes of docs, merged into the existing ones.
 
     docs: (doc_id, title, tags) and, if there, folder_parts, type, link, modified, first_published, body_text;
     pages as for generated_blocks; existing: (doc_id, text), at most one row a document. Of an existing note
     the first date, tags, front matter that isn't ours, text between our blocks and blocks that are no longer made stay;
-    a note without our blocks stays above ours, unless an older version wrote it. Documents without an existing note,
-    mostly nearly all, are rendered natively. A document without pages and text has a front matter alone.
+    a note without our blocks stays above ours, unless an older version wrote it. Notes without a mark of ours, mostly nearly all, are
+    rendered natively; the others are merged where they are, a row each. A document without pages and text has a front matter alone.
     """
     given = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
     strings = F.array().cast("array<string>")
     old = existing if existing is not None else docs.select("doc_id", F.lit(None).cast("string").alias("text")).limit(0)
     old = old.filter("text is not null").select("doc_id", T.split_frontmatter(F.col("text")).alias("x")).select("doc_id", "x.front", "x.body")
-    old = written(old.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
-    fresh = generated_blocks(docs, pages)
-    fresh = fresh.select("doc_id", "pos", "block_id", "content", S.block_digest(F.col("content")).alias("written_hash"))
-
-    both = old.select("doc_id").distinct()
-    parsed = parse_segments(old.withColumn("ours", T.looks_generated(F.col("front"))), "doc_id", "body", generated="ours")
-    merged = merge_notes(parsed, fresh.join(both, "doc_id", "left_semi").drop("written_hash"), "doc_id")
-    plain = fresh.join(both, "doc_id", "left_anti").withColumn("warnings", strings)
-    columns = ["doc_id", F.col("pos").cast("long").alias("pos"), "block_id", "content", "written_hash", "warnings"]
-    rows = plain.select(*columns).union(merged.select(*columns))
-    one = F.struct("pos", "block_id", "content", "written_hash")
-    bodies = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("segments"), F.flatten(F.collect_list("warnings")).alias("warnings"))
-
-    all_ = docs.join(old.select("doc_id", "front"), "doc_id", "left").join(bodies, "doc_id", "left")
+    fresh = generated_blocks(docs, pages).select("doc_id", F.struct(F.col("pos").cast("long").alias("pos"), "block_id", "content", S.block_digest(F.col("content")).alias("written_hash")).alias("one"))
+    bodies = fresh.groupBy("doc_id").agg(F.array_sort(F.collect_list("one")).alias("fresh"))
+
+    # a note without a mark of ours is one free text, or nothing, and needs no merge
+    ours = F.coalesce(T.looks_generated(F.col("front")), F.lit(False))
+    marked = F.coalesce(F.col("body").contains(f"{MARKER}:begin"), F.lit(False))
+    empty = F.array().cast(SEGMENTS)
+    made = F.coalesce("fresh", empty)
+    free = F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("block_id"), F.concat(F.regexp_replace("body", "\\n+\\z", ""), F.lit("\n")).alias("content"), F.lit(None).cast("string").alias("written_hash"))
+    kept = F.coalesce(~ours & (S.strip(F.col("body")) != ""), F.lit(False))
+    all_ = docs.join(old, "doc_id", "left").join(bodies, "doc_id", "left").withColumns({"__made": made, "__marked": marked, "__ours": ours})
+    put = F.pandas_udf(_put_into, f"segments {SEGMENTS}, warnings array<string>")
+    asked = [F.when(F.col("__marked"), F.col(c)) for c in ("body", "__ours", "__made")]
+    all_ = all_.withColumn("__merged", put(*asked))
+    all_ = all_.withColumn("segments", F.when(F.col("__marked"), F.col("__merged.segments")).when(kept, F.concat(F.array(free), "__made")).otherwise(F.col("__made")))
+    all_ = all_.withColumn("warnings", F.when(F.col("__marked"), F.col("__merged.warnings")))
+
     front = F.coalesce("front", strings)
     modified, published = S.to_iso_date(given("modified", "string")), S.to_iso_date(given("first_published", "string"))
     kind = F.when(given("type", "string").isin("pdf", "epub"), given("type", "string"))
@@ -486,6 +505,5 @@ def build_notes(docs: DataFrame, pages: DataFrame, today: str, existing: DataFra
         "synced": F.lit(today), "source": F.concat(F.lit("docsync/"), path), "type": kind, "document": link,
     }
     head = F.array_join(F.concat(F.array(F.lit("---"), T.render_frontmatter(values, {"tags": tags})), T.foreign_frontmatter(front), F.array(F.lit("---"), F.lit(""))), "\n")
-    empty = F.array().cast("array<struct<pos:bigint,block_id:string,content:string,written_hash:string>>")
-    note = F.concat(F.regexp_replace(F.concat(head, T.render_segments(F.coalesce("segments", empty))), "\\n+\\z", ""), F.lit("\n"))
+    note = F.concat(F.regexp_replace(F.concat(head, T.render_segments(F.col("segments"))), "\\n+\\z", ""), F.lit("\n"))
     return all_.select("doc_id", note.alias("note"), F.coalesce("warnings", strings).alias("warnings"))
