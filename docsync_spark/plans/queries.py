@@ -239,6 +239,27 @@ def _(t):
     return docs.select("id", S.folder_label(c("folder_parts")).alias("folder"), S.is_trashed(F.lit(False), c("folder_parts")).alias("trashed"))
 
 
+@query("c01_move_folders", """
+WITH RECURSIVE f AS (
+  SELECT 'R' || r_regionkey AS id, CASE WHEN r_regionkey = 0 THEN 'First' ELSE trim(r_name) END AS name, '' AS parent FROM region WHERE r_regionkey <> 3
+  UNION ALL SELECT 'N' || n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN trim(n_name) || ' II' ELSE trim(n_name) END, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || (n_nationkey + 1) WHEN n_nationkey % 8 = 7 THEN 'trash' ELSE 'R' || n_regionkey END FROM nation
+  UNION ALL SELECT 'R9', 'Ninth', 'N1'),
+w AS (SELECT id, CASE WHEN parent = 'trash' THEN '[TRASH] / ' ELSE '' END || name AS path FROM f WHERE parent NOT IN (SELECT id FROM f)
+  UNION ALL SELECT f.id, w.path || ' / ' || f.name FROM f JOIN w ON f.parent = w.id)
+SELECT id, path FROM f LEFT JOIN w USING (id)""")
+def _(t):
+    """Folder paths after moves, renamings, a removal and a new folder, each worked out from the paths before; then all taken together."""
+    paths = scratch.written(hierarchy.folder_paths(t.b_listing))
+    rows = lambda df, *c: df.select(*c, F.lit(False).alias("deleted"))
+    moved = rows(t.nation.filter("n_nationkey % 4 = 0"), F.expr("concat('N', n_nationkey) as id"), F.expr("concat(n_name, ' II') as name"), F.expr("concat('N', n_nationkey + 1) as parent"))
+    named = rows(t.region.filter("r_regionkey = 0"), F.expr("concat('R', r_regionkey) as id"), F.lit("First").alias("name"), F.lit("").alias("parent"))
+    gone = t.region.filter("r_regionkey = 3").selectExpr("concat('R', r_regionkey) as id", "r_name as name", "'' as parent", "true as deleted")
+    new = rows(t.region.filter("r_regionkey = 1"), F.lit("R9").alias("id"), F.lit("Ninth").alias("name"), F.lit("N1").alias("parent"))
+    for changes in (moved, named.union(gone), new):
+        paths = scratch.written(hierarchy.move_folders(paths, changes))
+    return paths.select("id", S.folder_label(c("parts")).alias("path"))
+
+
 _MATRIX = """m AS (
   SELECT d.id AS doc_id, e.destination, p.doc_id IS NULL OR p.version IS DISTINCT FROM d.hash OR coalesce(p.recipe, '') <> 'r1' OR coalesce(p.pages_failed, 0) <> 0 AS owes
   FROM docs d CROSS JOIN (SELECT * FROM b_destinations WHERE enabled) e LEFT JOIN b_publications p ON p.doc_id = d.id AND p.destination = e.destination AND p.profile = 'default')"""
