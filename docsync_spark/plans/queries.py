@@ -1037,10 +1037,11 @@ def _(t):
 
 
 @query("i04_stream_sync", _SELECT + """SELECT id AS doc_id, CASE WHEN (ord - 1000) % 37 = 0 THEN 'failed' ELSE 'published' END AS status,
-  md5('---' || chr(10) || 'docsync_id: ' || id || chr(10) || 'created: 2024-01-01' || chr(10) || 'updated: 2024-01-01' || chr(10) || 'synced: 2024-01-01' || chr(10) || 'source: docsync/' || CASE WHEN folder = '' THEN '' ELSE folder || '/' END || name || chr(10) || 'tags:' || chr(10) || '  - ' || source || chr(10) || '---' || chr(10)) AS note
-FROM j WHERE reason IS NULL""")
+  md5('---' || chr(10) || 'docsync_id: ' || id || chr(10) || 'created: 2024-01-01' || chr(10) || 'updated: 2024-01-01' || chr(10) || 'synced: 2024-01-01' || chr(10) || 'source: docsync/' || CASE WHEN folder = '' THEN '' ELSE folder || '/' END || name || chr(10) || 'tags:' || chr(10) || '  - ' || source || chr(10) || '---' || chr(10)
+    || coalesce('<!-- docsync:begin page-1 h=' || substr(sha256(page), 1, 8) || ' -->' || chr(10) || page || chr(10) || '<!-- docsync:end page-1 -->' || chr(10), '')) AS note
+FROM j LEFT JOIN (SELECT 'C' || doc_id AS page_of, trim(text, ' ' || chr(10)) AS page FROM documents WHERE text IS NOT NULL) ON page_of = id WHERE reason IS NULL""")
 def _(t):
-    """Each snapshot of the listing goes through selection, note building and the record of outcomes."""
+    """Each snapshot of the listing goes through selection, note building with the text of its pages, and the record of outcomes."""
     folder = scratch.scratch_folder(t.spark)
     criteria = dataclasses.replace(_CRITERIA, limit=None)
 
@@ -1052,8 +1053,8 @@ def _(t):
     def publish(rows: DataFrame, n: int) -> DataFrame:
         rows = scratch.written(rows)
         docs = rows.select("doc_id", c("name").alias("title"), F.array("source").alias("tags"), F.array("folder").alias("folder_parts"))
-        none = rows.limit(0).select("doc_id", F.lit(0).alias("idx"), F.lit("").alias("text"), F.lit("").alias("error"))
-        made = notes.build_notes(docs, none, "2024-01-01").select("doc_id", F.md5(c("note").cast("binary")).alias("note"))
+        texts = t.documents.filter("text is not null").select(F.concat(F.lit("C"), c("doc_id").cast("string")).alias("doc_id"), F.lit(0).alias("idx"), "text", F.lit(None).cast("string").alias("error"))
+        made = notes.build_notes(docs, texts.join(docs.select("doc_id"), "doc_id", "left_semi"), "2024-01-01").select("doc_id", F.md5(c("note").cast("binary")).alias("note"))
         failed = (c("ord") - 1000) % 37 == 0
         return made.join(rows.select("doc_id", F.when(failed, "failed").otherwise("published").alias("status")), "doc_id")
 
