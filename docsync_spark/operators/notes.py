@@ -313,11 +313,9 @@ WRITERS = {
 def render_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), writers: dict = WRITERS) -> DataFrame:
     """(*keys, text): blocks as Markdown. Items of one list are joined by a line end, all else by a blank line.
 
-    Callouts are written from the innermost outwards, as many levels as the blocks have. The blocks are written to the
-    shared folder once, as each level reads them; so are levels below the fourth, which keeps the plan small.
+    A block in callouts is its own text with a sign of quotation for each of them before every line, and what stands between
+    two blocks depends on the one before it in the same callout alone. So blocks are written each on its own, however deep they are, and put together once.
     """
-    blocks = written(blocks)
-    max_depth = blocks.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     b = {c: F.col(c) for c in ("text", "level", "attrs")}
     shown = None
     for kind, write in writers.items():
@@ -325,24 +323,19 @@ def render_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), writer
     head = F.concat(F.lit("> [!"), F.coalesce(F.nullif(F.col("attrs")["callout_type"], F.lit("")), F.lit("note")), F.lit("]"), F.when(F.col("text") != "", F.concat(F.lit(" "), F.col("text"))).otherwise(""))
     tight = F.when(F.col("kind").isin("list", "task_list"), F.concat("kind", F.coalesce(F.col("attrs")["ordered"], F.lit("false"))))
     rows = blocks.withColumn("__shown", F.when(F.col("kind") == "callout", head).otherwise(shown.otherwise(F.col("text")))).withColumn("__tight", tight)
-
-    def joined(at_depth: DataFrame, by: list[str]) -> DataFrame:
-        parts = F.array_sort(F.collect_list(F.when(F.trim("__shown") != "", F.struct("pos", "__shown", "__tight"))))
-        gap = lambda a, x: F.when(a["t"].isNull(), "\n\n").when(a["t"].eqNullSafe(x["__tight"]), "\n").otherwise("\n\n")
-        step = lambda a, x: F.struct(F.when(a["n"] == 0, x["__shown"]).otherwise(F.concat(a["s"], gap(a, x), x["__shown"])).alias("s"), x["__tight"].alias("t"), (a["n"] + 1).alias("n"))
-        start = F.struct(F.lit("").alias("s"), F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"))
-        return at_depth.groupBy(*by).agg(parts.alias("parts")).select(*by, F.aggregate("parts", start, step, lambda a: a["s"]).alias("text"))
-
-    inner = None
-    for depth in range(max_depth, -1, -1):
-        level = rows.filter(F.col("depth") == depth)
-        if inner is not None:
-            body = F.array_join(F.transform(F.split("__inner", "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
-            level = level.join(inner, [*keys, "pos"], "left").withColumn("__shown", F.when(F.col("kind") == "callout", F.concat("__shown", F.lit("\n"), F.coalesce(body, F.lit(">")))).otherwise(F.col("__shown"))).drop("__inner")
-        inner = joined(level, [*keys, "owner"]).withColumnsRenamed({"owner": "pos", "text": "__inner"})
-        if depth > 3:
-            inner = written(inner)
-    return inner.select(*keys, F.col("__inner").alias("text"))
+    rows = rows.filter(F.trim("__shown") != "")
+
+    before = Window.partitionBy(*keys, "owner").orderBy("pos")
+    along = Window.partitionBy(*keys).orderBy("pos")
+    rows = rows.withColumns({"__first": F.lag("pos").over(before).isNull(), "__last": F.lag("__tight").over(before), "__next": F.lead("owner").over(along)})
+    quoted = lambda line: F.when(line == "", F.rtrim(F.repeat(F.lit("> "), F.col("depth")))).otherwise(F.concat(F.repeat(F.lit("> "), F.col("depth")), line))
+    gap = F.when(F.col("__last").isNotNull() & F.col("__last").eqNullSafe(F.col("__tight")), "\n").otherwise(F.concat(F.lit("\n"), quoted(F.lit("")), F.lit("\n")))
+    gap = F.when(F.col("__first"), F.when(F.col("owner").isNull(), "").otherwise("\n")).otherwise(gap)
+    hollow = (F.col("kind") == "callout") & ~F.col("__next").eqNullSafe(F.col("pos"))  # nothing stands in it
+    piece = F.concat(gap, F.array_join(F.transform(F.split("__shown", "\n"), quoted), "\n"), F.when(hollow, F.concat(F.lit("\n"), quoted(F.lit(">")))).otherwise(""))
+    pieces = rows.select(*keys, F.struct("pos", piece.alias("piece")).alias("one"))
+    pieces = pieces.union(blocks.select(*keys, F.lit(None).cast(pieces.schema["one"].dataType)))  # texts whose blocks are all blank are empty
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["piece"]), "").alias("text"))
 
 
 def claim_names(docs: DataFrame, notes: DataFrame, most: int = 99, sentinel: str | None = None) -> DataFrame:

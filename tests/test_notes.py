@@ -171,3 +171,14 @@ def test_notes_are_merged_into_what_is_there(spark):
     again = spark.createDataFrame([(d, n) for d, (n, _) in made.items()], "doc_id string, text string")
     third = {r["doc_id"]: (r["note"], r["warnings"]) for r in notes.build_notes(docs, pages, "2024-02-02", again).collect()}
     assert {d: n for d, (n, _) in third.items()} == {d: n for d, (n, _) in made.items()} and not any(w for _, w in third.values())
+
+
+def test_callouts_three_hundred_deep_are_written_at_once(spark):
+    deep = "\n".join("> " * i + f"> [!note] level {i}" for i in range(300)) + "\n" + "> " * 300 + "bottom\n" + "> " * 299 + ">\n" + "> " * 299 + "> up again\n\nend"
+    pages = spark.createDataFrame([(1, deep), (None, "> [!tip] alone"), (3, "\n")], "doc_id int, text string")
+    once = notes.render_blocks(notes.extract_blocks(pages))
+    got = {r["doc_id"]: r["text"] for r in once.collect()}
+    assert got[1].startswith("> [!note] level 0\n> > [!note] level 1\n") and got[1].endswith("\n\nend") and "> " * 300 + "bottom" in got[1]
+    assert got[None] == "> [!tip] alone\n>"
+    again = {r["doc_id"]: r["text"] for r in notes.render_blocks(notes.extract_blocks(once)).collect()}
+    assert again == got
