@@ -148,10 +148,21 @@ def path_is_contained(segments: Column) -> Column:
     return F.forall(segments, lambda s: ~bad(s))
 
 
+def _one_digit(n: Column, unit: int) -> Column:
+    """n / unit, of a whole n, with one digit after the point: rounded from the exact quotient, ties to even. bround rounds the shortest decimal that names a double instead."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    rest = n % unit * 10
+    tenth, over = div(rest, unit), rest % unit * 2
+    tenths = div(n, unit) * 10 + tenth + ((over > unit) | (over == unit) & (tenth % 2 == 1)).cast("long")
+    return F.concat(div(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def format_size(n: Column) -> Column:
+    """Whole bytes; from 2^53 on they count as the double next to them."""
+    near = F.least(n.cast("long"), F.lit((1 << 63) - 1024)).cast("double").cast("long")
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(UNITS, 1):
-        text = F.concat(F.format_string("%.1f", F.bround(n / float(1024**i), 1)), F.lit(f" {unit}"))
+        text = F.concat(_one_digit(near, 1024**i), F.lit(f" {unit}"))
         out = out.when(n < 1024 ** (i + 1), text) if unit != "GB" else out.otherwise(text)
     return out
 
@@ -162,7 +173,7 @@ def humanize_duration(seconds: Column) -> Column:
     two = lambda big, small, a, b: F.concat(F.floor(big).cast("string"), F.lit(f"{a} "), F.floor(small).cast("string"), F.lit(b))
     return (
         F.when(seconds.isNull(), None)
-        .when(total < 10, F.concat(F.format_string("%.1f", F.bround(total, 1)), F.lit("s")))
+        .when(total < 10, F.concat(_one_digit((F.least(total, F.lit(10.0)) * 2.0**59).cast("long"), 1 << 59), F.lit("s")))
         .when(n < 60, F.concat(n.cast("string"), F.lit("s")))
         .when(n < 3600, two(n / 60, n % 60, "m", "s"))
         .when(n < 86400, two(n / 3600, n % 3600 / 60, "h", "m"))

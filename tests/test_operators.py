@@ -191,3 +191,15 @@ def test_plans_broadcast_configuration_and_use_no_python(world):
     matrix = selection.pending_matrix(listing.select(F.col("id").alias("doc_id"), F.col("hash").alias("version"), F.lit("pdf").alias("source")), destinations, publications, recipes)
     plan = matrix._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_one_digit_is_rounded_from_the_exact_value(spark):
+    """As printf does it: a size of petabytes that looks like a tie in 17 digits lies above or below of it."""
+    sizes = [1023, 1024, 1075, 1076, 1280, 1792, (1 << 20) - 1, 35272419737, 1085 * 2**30 // 100 + 1, (1 << 53) + 1, (1 << 63) - 1] + [(20 * k + 1) * 2**30 // 20 + d for k in range(1000, 90000, 997) for d in (0, 1)]
+    sizes += [int((k + d / 20) * 2**30) for k in range(1 << 24, 1 << 32, 1 << 29) for d in range(1, 20, 2)]
+    unit = lambda n: f"{n} B" if n < 1024 else next(f"{n / 1024**i:.1f} {u}" for i, u in enumerate(("KB", "MB", "GB"), 1) if u == "GB" or n < 1024 ** (i + 1))
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", S.format_size(F.col("n")).alias("x")).collect()
+    assert {r["n"]: r["x"] for r in got} == {n: unit(n) for n in sizes}
+    seconds = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, 1.45, 9.949999, 9.95, 9.96, 1e-300]
+    got = spark.createDataFrame([(x,) for x in seconds], "n double").select("n", S.humanize_duration(F.col("n")).alias("x")).collect()
+    assert {r["n"]: r["x"] for r in got} == {x: f"{x:.1f}s" for x in seconds}
