@@ -80,16 +80,21 @@ def breadcrumbs(pages: DataFrame, toc: DataFrame) -> DataFrame:
     return out.withColumn("breadcrumbs", F.coalesce("breadcrumbs", F.array().cast("array<string>")))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows, joined by a sort over all tasks and never broadcast: Spark takes a list of pages that is read from JSON for much smaller than it is."""
+    return rows.hint("merge")
+
+
 def annotated_pages(content_pages: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, idx, page_id, member): annotated pages of a PDF or EPUB by the page they lie on.
 
     content_pages as from flatten_page_list; members: (doc_id, page_id, member). Deleted pages claim
     their member and drop it; the index is redir, else the position. Members of no page follow.
     """
-    pages = content_pages.select("doc_id", "page_id", "deleted", F.coalesce("redir", "pos").alias("idx"), "pos")
+    pages = _dealt(content_pages.select("doc_id", "page_id", "deleted", F.coalesce("redir", "pos").alias("idx"), "pos"))
     claimed = members.join(pages, ["doc_id", "page_id"])
     kept = claimed.filter(~F.col("deleted")).select("doc_id", "idx", "pos", "page_id", "member")
-    n = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = _dealt(kept.groupBy("doc_id").agg(F.count("*").alias("n")))
     spare = members.join(pages, ["doc_id", "page_id"], "left_anti").join(n, "doc_id", "left")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("member")) - 1
     rest = spare.select("doc_id", (F.coalesce("n", F.lit(0)) + place).cast("int").alias("idx"), F.lit(None).cast("int").alias("pos"), "page_id", "member")
@@ -98,7 +103,7 @@ def annotated_pages(content_pages: DataFrame, members: DataFrame) -> DataFrame:
 
 def ordered_pages(content_pages: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, ordinal, page_id, member): live members in page-list order, then the others by path."""
-    pages = content_pages.select("doc_id", "page_id", "deleted", "pos")
+    pages = _dealt(content_pages.select("doc_id", "page_id", "deleted", "pos"))
     joined = members.join(pages, ["doc_id", "page_id"], "left").filter(~F.coalesce("deleted", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("pos").asc_nulls_last(), "member")) - 1
     return joined.select("doc_id", place.alias("ordinal"), "page_id", "member")

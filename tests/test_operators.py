@@ -203,3 +203,15 @@ def test_one_digit_is_rounded_from_the_exact_value(spark):
     seconds = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, 1.45, 9.949999, 9.95, 9.96, 1e-300]
     got = spark.createDataFrame([(x,) for x in seconds], "n double").select("n", S.humanize_duration(F.col("n")).alias("x")).collect()
     assert {r["n"]: r["x"] for r in got} == {x: f"{x:.1f}s" for x in seconds}
+
+
+def test_lists_of_pages_are_not_broadcast(spark):
+    members = spark.createDataFrame([(1, "a", "a.rm"), (1, "b", "b.rm"), (1, "z", "z.rm")], "doc_id long, page_id string, member string")
+    listed = pages.flatten_page_list(spark.createDataFrame([(1, '{"pages":["b","a"]}')], "doc_id long, content string"))
+    for made, want in (
+        (pages.annotated_pages(listed, members).select("idx", "page_id"), [(0, "b"), (1, "a"), (2, "z")]),
+        (pages.ordered_pages(listed, members).select("ordinal", "page_id"), [(0, "b"), (1, "a"), (2, "z")]),
+        (pages.pages_per_document(listed, members), [(1, 3)]),
+    ):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, made.collect())) == want
