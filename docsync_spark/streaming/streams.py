@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -13,93 +14,132 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from docsync_spark.functions.scalars import describe_run
 
 
-class _Changes(StatefulProcessor):
-    """Remembers the version and recipe last emitted for a document."""
+#: Documents share the state of a bucket, so that a batch reads and writes one value for each bucket and not one for each document.
+BUCKETS = 4096
+
+
+class _Documents(StatefulProcessor):
+    """What is known of the documents of one bucket: {doc_id: (value, ...)}, in the state store as one Arrow stream."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "version string, recipe string")
+        self._handle = handle
+        self._seen = handle.getValueState("seen", "documents binary, timer long")
+
+    def _load(self) -> tuple[dict[str | None, tuple], int | None]:
+        """The documents, and when the bucket's timer rings."""
+        if not self._seen.exists():
+            return {}, None
+        stored, timer = self._seen.get()
+        with pa.ipc.open_stream(stored) as reader:
+            ids, *values = (column.to_pylist() for column in reader.read_all().columns)
+        return dict(zip(ids, zip(*values, strict=True), strict=True)), timer
+
+    def _save(self, known: dict[str | None, tuple], timer: int | None = None) -> None:
+        if not known:
+            self._seen.clear()
+            return
+        columns = [pa.array(list(known)), *map(pa.array, zip(*known.values(), strict=True))]
+        table = pa.table(columns, names=[str(i) for i in range(len(columns))])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self._seen.update((sink.getvalue().to_pybytes(), timer))
+
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """(doc_id, version, recipe, at) by time; a bucket's rows may come in several frames, each in any order."""
+        every = [row for batch in rows for row in zip(*(batch[c].tolist() for c in ("doc_id", "version", "recipe", "at")), strict=True)]
+        for *texts, at in sorted(every, key=lambda row: row[3]):
+            yield (*(x if isinstance(x, str) else None for x in texts), at)
+
+    def close(self) -> None:
+        pass
+
+
+def _bucketed(rows: DataFrame):
+    """rows by bucket, with the time in microseconds, an unknown one first."""
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62)))
+    key = F.col("doc_id").cast("string")
+    return rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), key.alias("doc_id"), "version", "recipe", at.alias("at"), "ts").groupBy("bucket")
+
+
+class _Changes(_Documents):
+    """Remembers the version and recipe last emitted for a document."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # a key's rows may come in several frames, each in any order
-        seen = sorted((row.ts, i, row.doc_id, row.version, row.recipe) for i, row in enumerate(r for batch in rows for r in batch.itertuples(index=False)))
+        known, _ = self._load()
         out = []
-        for _, _, doc_id, *now in seen:
-            if not self._seen.exists() or tuple(self._seen.get()) != tuple(now):
-                self._seen.update(tuple(now))
-                out.append((doc_id, *now))
+        for doc_id, version, recipe, _ in self._in_order(rows):
+            if known.get(doc_id) != (version, recipe):
+                known[doc_id] = (version, recipe)
+                out.append((doc_id, version, recipe))
         if out:
+            self._save(known)
             yield pd.DataFrame(out, columns=["doc_id", "version", "recipe"])
 
-    def close(self) -> None:
-        pass
-
 
 def stream_changes(listing_stream: DataFrame) -> DataFrame:
     """(doc_id, version, recipe) whenever either differs from what was last emitted. Needs the RocksDB state store.
 
-    Input: (doc_id, version, recipe, ts). State is two strings a document, spread by doc_id.
+    Input: (doc_id, version, recipe, ts). State is three strings a document, spread by doc_id over BUCKETS values.
     """
-    return listing_stream.groupBy("doc_id").transformWithStateInPandas(_Changes(), "doc_id string, version string, recipe string", "Append", "None")
+    return _bucketed(listing_stream).transformWithStateInPandas(_Changes(), "doc_id string, version string, recipe string", "Append", "None")
 
 
-class _Transitions(StatefulProcessor):
-    """Remembers a document's last version and recipe, and until when it counts as present."""
+class _Transitions(_Documents):
+    """Remembers a document's last version and recipe, and until when it counts as present. A bucket's timer rings when the first of its documents is due."""
 
     def __init__(self, gone_after_ms: int):
         self._gone_after = gone_after_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._seen = handle.getValueState("seen", "version string, recipe string, until long")
+    def _keep(self, known: dict, doc_id, version, recipe, at: int) -> None:
+        until = at // 1000 + self._gone_after
+        known[doc_id] = (version, recipe, max(until, known[doc_id][2]) if doc_id in known else until)
 
-    def _keep(self, version, recipe, ts) -> None:
-        """A document has one timer at a time; one that rings too early is set again."""
-        until = int(pd.Timestamp(ts).timestamp() * 1000) + self._gone_after
-        known = self._seen.get() if self._seen.exists() else None
-        self._seen.update((version, recipe, until if known is None else max(until, known[2])))
-        if known is None:
-            self._handle.registerTimer(until)
+    def _set(self, known: dict, timer: int | None) -> None:
+        """A timer that rings for nothing is harmless, so an earlier one is only added."""
+        first = min((until for *_, until in known.values()), default=None)
+        if first is not None and (timer is None or first < timer):
+            self._handle.registerTimer(first)
+            timer = first
+        self._save(known, timer)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState.itertuples(index=False):
-            self._keep(row.version, row.recipe, row.ts)
+        known, timer = self._load()
+        for row in self._in_order(iter([initialState])):
+            self._keep(known, *row)
+        self._set(known, timer)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = sorted(((row.ts, i, row.version, row.recipe) for i, row in enumerate(r for batch in rows for r in batch.itertuples(index=False))), key=lambda r: r[:2])
+        known, timer = self._load()
         out = []
-        for ts, _, *now in seen:
-            known = self._seen.get() if self._seen.exists() else None
-            if known is None or tuple(known[:2]) != tuple(now):
-                out.append((key[0], *now, "new" if known is None else "changed"))
-            self._keep(*now, ts)
+        for doc_id, version, recipe, at in self._in_order(rows):
+            if doc_id not in known or known[doc_id][:2] != (version, recipe):
+                out.append((doc_id, version, recipe, "changed" if doc_id in known else "new"))
+            self._keep(known, doc_id, version, recipe, at)
+        self._set(known, timer)
         if out:
             yield pd.DataFrame(out, columns=["doc_id", "version", "recipe", "change"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self._seen.exists():
-            return
-        version, recipe, until = self._seen.get()
-        if until > timerValues.getCurrentWatermarkInMs():
-            self._handle.registerTimer(until)
-            return
-        self._seen.clear()
-        yield pd.DataFrame([(key[0], version, recipe, "orphaned")], columns=["doc_id", "version", "recipe", "change"])
-
-    def close(self) -> None:
-        pass
+        known, timer = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        gone = [(doc_id, version, recipe, "orphaned") for doc_id, (version, recipe, until) in known.items() if until <= now]
+        self._set({d: v for d, v in known.items() if v[2] > now}, timer if timer is not None and timer > now else None)
+        if gone:
+            yield pd.DataFrame(gone, columns=["doc_id", "version", "recipe", "change"])
 
 
 def stream_transitions(listing_stream: DataFrame, published: DataFrame | None = None, gone_after: dt.timedelta = dt.timedelta(days=1), watermark: str = "0 seconds") -> DataFrame:
     """(doc_id, version, recipe, change): a document is new, has changed, or is orphaned, as no snapshot has shown it for gone_after.
 
     Input: (doc_id, version, recipe, ts), ts the time of the snapshot; published has the same columns, as of the last publication, one row a
-    document, and is what the state starts from. Needs the RocksDB state store. State is one row and one timer a document, spread by doc_id; an
-    orphan's goes, so that the state holds what is there and no more. Time is that of the snapshots: while none comes, nothing is orphaned.
+    document, and is what the state starts from. Needs the RocksDB state store. State is one row a document, spread by doc_id over BUCKETS values
+    with a timer each; an orphan's goes, so that the state holds what is there and no more. Time is that of the snapshots: while none comes, nothing is orphaned.
     """
     stream = listing_stream.select("doc_id", "version", "recipe", "ts").withWatermark("ts", watermark)
-    first = published.select("doc_id", "version", "recipe", "ts").groupBy("doc_id") if published is not None else None
-    kind = f"doc_id {listing_stream.schema['doc_id'].dataType.simpleString()}, version string, recipe string, change string"
-    return stream.groupBy("doc_id").transformWithStateInPandas(_Transitions(int(gone_after.total_seconds() * 1000)), kind, "Append", "EventTime", initialState=first)
+    first = _bucketed(published.select("doc_id", "version", "recipe", "ts")) if published is not None else None
+    made = _bucketed(stream).transformWithStateInPandas(_Transitions(int(gone_after.total_seconds() * 1000)), "doc_id string, version string, recipe string, change string", "Append", "EventTime", initialState=first)
+    return made.withColumn("doc_id", F.col("doc_id").cast(listing_stream.schema["doc_id"].dataType))
 
 
 def distinct_snapshots(listing_stream: DataFrame, watermark: str = "1 day") -> DataFrame:

@@ -99,3 +99,26 @@ def test_sessions_are_closed_once_and_late_rows_are_counted(spark, tmp_path):
         spark.streams.removeListener(late)
     assert sorted(out) == [(1, at(1), at(2, 30), 2, 1), (1, at(4), at(5), 1, 1), (2, at(8), at(9, 30), 2, 0)]
     assert sum(late.dropped[i] for i in ids) == 2
+
+
+def test_documents_of_a_bucket_share_one_value_of_state(spark, tmp_path):
+    """The state store holds a row a bucket, however many documents there are, and each document keeps its own time."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out, n = [], 3 * streams.BUCKETS
+
+    def run(hour, rows):
+        rows.withColumn("ts", F.lit(f"2024-01-01 {hour:02}:00:00").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id long, version string, recipe string, ts timestamp").parquet(str(tmp_path / "in"))
+        query = streams.stream_transitions(stream, None, dt.timedelta(hours=3)).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").foreachBatch(lambda df, _: out.extend((r["doc_id"], r["change"]) for r in df.collect())).start()
+        assert query.awaitTermination(120)
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    listed = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("1").alias("version"), F.lit("r").alias("recipe"))
+    assert run(1, listed) <= 4 * streams.BUCKETS  # a value, and a timer in two orders, with room for stale ones
+    assert len(out) == n
+    run(3, listed.filter("doc_id % 2 = 0"))
+    run(5, listed.filter("doc_id % 4 = 0"))
+    gone = lambda: {d for d, change in out if change == "orphaned"}
+    assert gone() == set(range(1, n, 2))
+    run(7, listed.filter("doc_id % 4 = 0"))
+    assert gone() == {d for d in range(n) if d % 4}
