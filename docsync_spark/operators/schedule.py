@@ -84,13 +84,11 @@ def offsets(zone: str, first: dt.datetime, last: dt.datetime) -> list[tuple[int,
     return [*out, (start, end + 1, own)]
 
 
-def _instants(rows: DataFrame, local: Column, zones: DataFrame, zone: Column) -> DataFrame:
-    """rows with __fire, the instant of the wall clock's local seconds: the first one, or the end of the gap that they fall in."""
-    known = rows.join(F.broadcast(zones), zone == F.col("__zone"))
+def _instant(local: Column) -> Column:
+    """The instant of the wall clock's local seconds: the first one, or the end of the gap that they fall in."""
     there = F.filter("__spans", lambda s: (local >= s["since"] + s["offset"]) & (local < s["until"] + s["offset"]))
     gone = F.filter("__spans", lambda s: s["until"] + s["offset"] <= local)
-    at = F.coalesce(F.array_min(F.transform(there, lambda s: local - s["offset"])), F.array_max(F.transform(gone, lambda s: s["until"])))
-    return known.withColumn("__fire", F.timestamp_seconds(at))
+    return F.coalesce(F.array_min(F.transform(there, lambda s: local - s["offset"])), F.array_max(F.transform(gone, lambda s: s["until"])))
 
 
 def fires_of(rows: DataFrame, expr: str = "expr", start: str = "start", end: str = "end", tz: str | Column = "UTC") -> DataFrame:
@@ -100,7 +98,8 @@ def fires_of(rows: DataFrame, expr: str = "expr", start: str = "start", end: str
     instant after the gap, however long that is and whenever it begins; one that comes twice fires the first time. The session's zone plays no part.
     Day of month and day of week are alternatives if both are given. Expressions are read where the rows are; one that is none is an error. The
     zones in use are read on the driver, which knows some hundreds, and their changes over the whole span go along with the rows. A row without an expression
-    or a zone, or whose start isn't before its end, has no fires.
+    or a zone, or whose start isn't before its end, has no fires. Equal rows count once. Only rows are shuffled, fires are not: two local times give one instant
+    only in a gap and at its end, and there a row's first one counts.
     """
     zone = F.lit(tz) if isinstance(tz, str) else tz
     asked = rows.withColumns({"__from": F.col(start).cast("timestamp_ntz"), "__to": F.col(end).cast("timestamp_ntz"), "__tz": zone})
@@ -108,21 +107,42 @@ def fires_of(rows: DataFrame, expr: str = "expr", start: str = "start", end: str
     spans = asked.groupBy("__tz").agg(F.min("__from").alias("first"), F.max("__to").alias("last")).collect()  # a row a zone
     day = dt.timedelta(days=3)
     known = [(r["__tz"], offsets(r["__tz"], r["first"] - day, r["last"] + day)) for r in spans]
-    zones = rows.sparkSession.createDataFrame(known, "__zone string, __spans array<struct<since:long,until:long,offset:long>>")
+    gaps = [[(b[0] + a[2], b[0] + b[2]) for a, b in zip(x, x[1:], strict=False) if b[2] > a[2]] for _, x in known]
+    zones = rows.sparkSession.createDataFrame([(*x, g) for x, g in zip(known, gaps, strict=True)], "__zone string, __spans array<struct<since:long,until:long,offset:long>>, __gaps array<struct<low:long,high:long>>")
+    # a row becomes many, so that a fixed number of tasks is right however small the rows are
+    asked = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns).distinct()
+    asked = asked.join(F.broadcast(zones), F.col("__tz") == F.col("__zone"))
 
     fields = F.split(F.btrim(F.lower(F.col(expr))), "\\s+")
     five = F.when(F.size(fields) == 5, fields).otherwise(F.raise_error(F.concat(F.lit("a cron expression has five fields: "), F.col(expr))).cast("array<string>"))
     names = ("minute", "hour", "day", "month", "weekday")
     days = asked.withColumn("__five", five).withColumn("__either", (F.get("__five", F.lit(2)) != "*") & (F.get("__five", F.lit(4)) != "*"))
     days = days.withColumns({f"__{x}": _cron_values(F.get("__five", F.lit(i)), *_RANGES[i], _NAMES[i]) for i, x in enumerate(names)})
-    days = days.withColumn("__d", F.explode(F.sequence(F.to_date("__from"), F.to_date("__to"), F.expr("interval 1 day"))))
-    on_day, on_week = F.array_contains("__day", F.dayofmonth("__d")), F.array_contains("__weekday", F.dayofweek("__d") - 1)
-    days = days.filter(F.array_contains("__month", F.month("__d")) & F.when(F.col("__either"), on_day | on_week).otherwise(on_day & on_week))
-    slots = F.flatten(F.transform("__hour", lambda h: F.transform("__minute", lambda m: h * 60 + m)))
-    local = days.withColumn("__m", F.explode(slots)).withColumn("__local", F.expr("cast(__d as timestamp_ntz) + make_dt_interval(0, 0, __m, 0)"))
-    local = local.filter((F.col("__local") >= F.col("__from")) & (F.col("__local") < F.col("__to")))
-    found = _instants(local, _seconds(F.col("__d"), F.col("__m") * 60), zones, F.col("__tz"))
-    return found.select(*rows.columns, F.col("__fire").alias("fire")).distinct()
+    days = days.withColumn("__slots", F.flatten(F.transform("__hour", lambda h: F.transform("__minute", lambda m: h * 60 + m))))
+
+    def on(d: Column) -> Column:
+        on_day, on_week = F.array_contains(F.col("__day"), F.dayofmonth(d)), F.array_contains(F.col("__weekday"), F.dayofweek(d) - 1)
+        return F.array_contains(F.col("__month"), F.month(d)) & F.when(F.col("__either"), on_day | on_week).otherwise(on_day & on_week)
+
+    days = days.withColumn("__d", F.explode(F.sequence(F.to_date("__from"), F.to_date("__to"), F.expr("interval 1 day")))).filter(on(F.col("__d")))
+    # days that are far from any change have one offset
+    at, margin = _seconds(F.col("__d")), 2 * 86400
+    calm = F.filter("__spans", lambda s: (at >= s["since"] + s["offset"] + margin) & (at + 86400 < s["until"] + s["offset"] - margin))
+    days = days.withColumn("__calm", F.get(calm, F.lit(0))["offset"])
+    local = days.withColumn("__m", F.explode("__slots")).withColumn("__local", F.expr("cast(__d as timestamp_ntz) + make_dt_interval(0, 0, __m, 0)"))
+    local = local.filter((F.col("__local") >= F.col("__from")) & (F.col("__local") < F.col("__to"))).withColumn("__s", _seconds(F.col("__d"), F.col("__m") * 60))
+    begin = _seconds(F.to_date("__from"), F.hour("__from") * 3600 + F.minute("__from") * 60 + F.expr("extract(second from __from)"))
+
+    def before(gap: Column) -> Column:
+        """Another fire of the row lies in the gap."""
+        first = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(gap["low"] / 86400).cast("int"))
+        other = lambda d, m: (_seconds(d, m * 60) >= gap["low"]) & (_seconds(d, m * 60) < F.col("__s")) & (_seconds(d, m * 60) >= begin)
+        return F.exists(F.sequence(first, F.col("__d"), F.expr("interval 1 day")), lambda d: on(d) & F.exists("__slots", lambda m: other(d, m)))
+
+    again = F.exists(F.filter("__gaps", lambda g: F.col("__s").between(g["low"], g["high"])), before)
+    found = local.filter(F.col("__calm").isNotNull() | ~again)
+    fire = F.when(F.col("__calm").isNotNull(), F.col("__s") - F.col("__calm")).otherwise(_instant(F.col("__s")))
+    return found.select(*rows.columns, F.timestamp_seconds(fire).alias("fire"))
 
 
 def cron_fires(spark: SparkSession, expr: str, start: str, end: str, tz: str = "UTC") -> DataFrame:

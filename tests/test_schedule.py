@@ -4,6 +4,8 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from docsync_spark.operators import scan, schedule
 
 
@@ -146,3 +148,18 @@ def test_a_hundred_thousand_hints_without_a_nested_loop(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {(r["id"], r["model"]) for r in got.collect()} == {(i, f"model{i * 331 % 1000}") for i in range(300)}
+
+
+def test_fires_are_not_shuffled_and_come_once_in_a_gap(spark):
+    """Kiritimati and Apia skipped whole days: fires of the day before and of the gap, at its end once."""
+    rows = spark.createDataFrame([(1, "*/30 * * * *", "Pacific/Apia", "2011-12-29", "2012-01-01"), (1, "*/30 * * * *", "Pacific/Apia", "2011-12-29", "2012-01-01"), (2, "0 12 * * *", "Pacific/Apia", "2011-12-30 11:00:00.5", "2012-01-01"),
+                                  (3, "0,15,30 2,3 * * *", "Europe/Madrid", "2024-03-31 02:10:00", "2024-04-01"), (4, "30 2 * * *", "Europe/Madrid", "2024-10-27", "2024-10-28")], "id int, expr string, zone string, start string, end string")
+    made = schedule.fires_of(rows, tz=rows["zone"]).select("id", F.unix_seconds("fire").alias("at"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") > plan.rindex("Generate") and plan.count("Exchange hashpartitioning") == 1
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(set(got))
+    assert sum(i == 1 for i, _ in got) == 96  # two days that there were
+    assert [i for i, _ in got if i > 1].count(2) == 2
+    assert sorted(at for i, at in got if i == 3) == [1711846800 + 900 * k for k in range(3)]
+    assert [at for i, at in got if i == 4] == [1729989000]
