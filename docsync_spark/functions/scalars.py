@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -265,25 +266,27 @@ def redact(text: Column, secrets: Iterable[str]) -> Column:
     return text
 
 
-def redact_all(df: DataFrame, text_col: str, secrets: Iterable[str]) -> DataFrame:
-    """df with the text redacted as redact() does it, for any number of secrets: the plan holds one small table and no secret.
+def redact_all(df: DataFrame, text_col: str, secrets: Iterable[str] | DataFrame) -> DataFrame:
+    """df with the text redacted as redact() does it, for any number of secrets, a list or a table of one column: the plan holds no secret.
 
-    A text's runs of 8 code points are looked up among the secrets' first ones in one pass, and only secrets that may be in the text are put
-    through, in their order. A secret that could meet a mask, since an end of one is an end of the other or one is in the other,
+    A text's runs of 8 code points meet the secrets' first ones by a hash join, whose work does not grow with the number of secrets; only secrets that may be in
+    the text are put through, in their order. The secrets are broadcast. A secret that could meet a mask, since an end of one is an end of the other or one is in the other,
     may appear after a replacement only; such ones, few or none, are tried on every text.
     """
-    ordered = sorted({s for s in secrets if s and len(s) >= 8}, key=lambda s: (-len(s), s))
-    meets = lambda s: MASK in s or s in MASK or any(s[:k] == MASK[-k:] or s[-k:] == MASK[:k] for k in range(1, min(len(s), len(MASK)) + 1))
-    odd, known = [], {}
-    for n, s in enumerate(ordered):
-        odd.append((n, s)) if meets(s) else known.setdefault(s[:8], []).append((n, s))
-    pair = "array<struct<n:int,s:string>>"
-    one = df.sparkSession.createDataFrame([(known, odd)], f"__known map<string,{pair}>, __odd {pair}")
-    text = F.col(text_col)
-    begins = F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{8}))"), F.lit(1))), F.map_keys("__known"))
-    tried = F.array_sort(F.concat("__odd", F.flatten(F.transform(begins, lambda w: F.element_at("__known", w)))))
-    hidden = F.aggregate(tried, text, lambda t, s: F.replace(t, s["s"], F.lit(MASK)))
-    return df.join(F.broadcast(one), how="cross").withColumn(text_col, F.when(text.isNotNull(), hidden)).select(*df.columns)
+    if not isinstance(secrets, DataFrame):
+        secrets = df.sparkSession.createDataFrame([(s,) for s in secrets], "s string")
+    s, text = F.col("s"), F.col(text_col)
+    ends = [(F.substring(s, 1, k) == MASK[-k:]) | (F.right(s, F.lit(k)) == MASK[:k]) for k in range(1, len(MASK) + 1)]
+    meets = reduce(lambda a, b: a | b, ends, F.contains(s, F.lit(MASK)) | F.contains(F.lit(MASK), s))
+    ordered = secrets.toDF("s").filter(F.length("s") >= 8).distinct().select(F.struct((-F.length("s")).alias("n"), "s").alias("__secret"), F.substring("s", 1, 8).alias("__begin"), meets.alias("__odd"))
+    odd = ordered.filter("__odd").agg(F.collect_list("__secret").alias("__always"))
+    keyed = df.withColumn("__key", F.sha2(text, 256))
+    begins = keyed.select("__key", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{8}))"), F.lit(1)))).alias("__begin"))
+    found = begins.join(F.broadcast(ordered.filter("not __odd")), "__begin").groupBy("__key").agg(F.collect_set("__secret").alias("__tried"))
+    tried = F.array_sort(F.concat("__always", F.coalesce("__tried", F.array().cast(found.schema["__tried"].dataType))))
+    hidden = F.aggregate(tried, text, lambda t, x: F.replace(t, x["s"], F.lit(MASK)))
+    out = keyed.join(found, "__key", "left").join(F.broadcast(odd), how="cross")
+    return out.withColumn(text_col, F.when(text.isNotNull(), hidden)).select(*df.columns)
 
 
 def content_key(payload: Column, fingerprint: Column) -> Column:

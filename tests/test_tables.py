@@ -106,6 +106,15 @@ def test_the_plan_holds_no_secret(spark):
     assert max(sizes) < 1.2 * min(sizes)
 
 
+def test_secrets_are_looked_up_by_a_hash_join(spark):
+    """Work grows with texts and secrets, not with their product; copies of a text and a table of secrets do as well."""
+    secrets = spark.range(20_000).selectExpr("format_string('secret%05d-key', id) as s")
+    df = spark.createDataFrame([(i, f"a secret{i % 7:05}-key and secret00300-key") for i in range(50)] + [(50, None), (51, "")], "id int, text string")
+    out = S.redact_all(df, "text", secrets)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["text"] for r in out.collect()} == {i: f"a {S.MASK} and {S.MASK}" for i in range(50)} | {50: None, 51: ""}
+
+
 def test_segments_in_sql(spark):
     notes.register_segments(spark)
     body = "mine\n<!-- docsync:begin page-1 h=abcdef01 -->\ntext\n<!-- docsync:end page-1 -->\nend"
