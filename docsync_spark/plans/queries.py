@@ -8,7 +8,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
@@ -1080,14 +1080,19 @@ def _(t):
     return files.file_types(files.read_delimited_documents(t.spark, folder))
 
 
+def _spread(key) -> Column:
+    """One of 256 folders for a file of that key: a folder is listed by one task, and files are made in it one after another."""
+    return F.format_string("%02x/", F.pmod(F.xxhash64(key), F.lit(256)))
+
+
 @query("a01_blob_index", "SELECT o_custkey AS doc, count(*) AS blobs, CAST(sum(o_orderkey) AS BIGINT) AS bytes FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_custkey")
 def _(t):
     folder = scratch.scratch_folder(t.spark)
     size = F.when(c("o_custkey") % 3 == 0, "bad").otherwise(c("o_orderkey").cast("string"))
     line = F.concat_ws(":", F.lit("h"), F.lit("0"), c("o_orderkey").cast("string"), F.lit("0"), size)
     index = t.orders.groupBy("o_custkey").agg(F.concat(F.lit("3\nshort:line\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
-    sinks.write_notes(index.select(F.concat(c("o_custkey").cast("string"), F.lit(".idx")).alias("path"), "text"), folder)
-    found = files.read_blob_index(t.spark, folder)
+    sinks.write_notes(index.select(F.concat(_spread("o_custkey"), c("o_custkey").cast("string"), F.lit(".idx")).alias("path"), "text"), folder)
+    found = files.read_blob_index(t.spark, f"{folder}/*")
     return found.groupBy(c("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"))
 
 
@@ -1107,14 +1112,14 @@ def _(t):
     folder = scratch.scratch_folder(t.spark)
     changed = F.when(c("c_custkey") % 3 > 0, (c("c_custkey") + 1700000000000).cast("string"))
     body = F.to_json(F.struct(c("c_name").alias("visibleName"), changed.alias("lastModified"), (c("c_custkey") % 2 == 0).alias("pinned")))
-    sinks.write_notes(t.customer.select(F.concat(F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata")).alias("path"), body.alias("text")), folder)
-    return files.read_listing(t.spark, folder, flavor="ssh").select("id", "hash", "pinned", c("last_modified").cast("timestamp_ntz").alias("last_modified"))
+    sinks.write_notes(t.customer.select(F.concat(_spread("c_custkey"), F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata")).alias("path"), body.alias("text")), folder)
+    return files.read_listing(t.spark, f"{folder}/*", flavor="ssh").select("id", "hash", "pinned", c("last_modified").cast("timestamp_ntz").alias("last_modified"))
 
 
 @query("a02_listing", "SELECT 'C' || c_custkey AS id, c_name AS name, CAST(c_custkey * 7 AS VARCHAR) AS hash, 'DocumentType' AS doc_type FROM customer WHERE c_custkey % 4 > 0")
 def _(t):
     folder = scratch.scratch_folder(t.spark)
     body = F.to_json(F.struct(c("c_name").alias("visibleName"), (c("c_custkey") * 7).cast("string").alias("hash"), (c("c_custkey") % 4 == 0).alias("deleted")))
-    path = F.concat(F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata"))
+    path = F.concat(_spread("c_custkey"), F.lit("C"), c("c_custkey").cast("string"), F.lit(".metadata"))
     sinks.write_notes(t.customer.select(path.alias("path"), body.alias("text")), folder)
-    return files.read_listing(t.spark, folder).select("id", "name", "hash", "doc_type")
+    return files.read_listing(t.spark, f"{folder}/*").select("id", "name", "hash", "doc_type")

@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 from docsync_spark.functions.scalars import path_is_contained
 
 
+#: Of Spark's splits of small files, those that one task reads at most.
+SPLITS = 64
+
+
+def _whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, content, uri) of each file, many files to a task: opening one counts as 4 MB in Spark's splits, so that small files come a few to each.
+
+    As binary files, since the text source copies Hadoop's configuration for every file that it opens.
+    """
+    raw = spark.read.format("binaryFile").options(**options).load(path).select("path", "content", F.col("_metadata.file_path").alias("uri"))
+    splits = raw.rdd.getNumPartitions()
+    return raw.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-splits // SPLITS)))
+
+
 def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
@@ -24,7 +38,7 @@ def read_blob_index(spark: SparkSession, path: str) -> DataFrame:
     The first line of a file is its schema version; lines of fewer than 5 parts are passed over; a
     size that is no whole number makes the whole document void. doc_id is the file's name.
     """
-    lines = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("doc_id"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = _whole_files(spark, path).select(_stem(F.col("uri")).alias("doc_id"), F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("n", "line"))
     parts = F.split("line", ":")
     rows = lines.filter("n > 0").select("doc_id", parts.alias("p")).filter(F.size("p") >= 5)
     rows = rows.select("doc_id", F.col("p")[0].alias("hash"), F.col("p")[1].alias("type"), F.col("p")[2].alias("id"), F.col("p")[3].try_cast("int").alias("subfiles"), F.col("p")[4].try_cast("long").alias("size"))
@@ -37,7 +51,7 @@ def read_listing(spark: SparkSession, path: str, flavor: str = "cloud", limit: i
     A file that is no JSON object costs its row alone; deleted items are dropped. 'ssh' takes lastModified,
     else the id, as hash; 'cloud' the JSON's own. limit takes the first accepted items by id.
     """
-    raw = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("file_id"), F.try_parse_json("value").alias("j"))
+    raw = _whole_files(spark, path).select(_stem(F.col("uri")).alias("file_id"), F.try_parse_json(F.col("content").cast("string")).alias("j"))
     get = lambda key, kind="string": F.try_variant_get("j", f"$.{key}", kind)
     millis = get("lastModified").try_cast("long")
     id_ = F.coalesce(get("id"), F.col("file_id"))
@@ -84,7 +98,7 @@ def explode_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] |
 
 def read_notes(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """(path, text, state): 'text' or 'unreadable' for what exists, 'absent' for wanted paths that don't."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    files = _whole_files(spark, path, recursiveFileLookup=True)
     fine = F.is_valid_utf8(F.col("content").cast("string"))
     rows = files.select("path", F.when(fine, F.col("content").cast("string")).alias("text"), F.when(fine, "text").otherwise("unreadable").alias("state"))
     if wanted is None:

@@ -23,7 +23,7 @@ def write_notes(df: DataFrame, root: str) -> None:
     """Writes (path, text) rows to files under root, a folder that all executors share, by path or URI.
 
     Each file is written beside its place and then moved there, so that a repeated task leaves the
-    same. Paths that leave the root, by name or, on a local file system, by link, are refused.
+    same. Files are what takes time, so rows are dealt to all tasks however few bytes they are. Paths that leave the root, by name or, on a local file system, by link, are refused.
     """
     bad = df.filter(~S.path_is_contained(F.split("path", "/"))).limit(1).count()
     if bad:
@@ -45,7 +45,9 @@ def write_notes(df: DataFrame, root: str) -> None:
                 f.write((row["text"] or "").encode("utf-8", "surrogatepass"))
             store.move(part, target)
 
-    df.select("path", "text").foreachPartition(run)
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    df.select("path", "text").repartition(tasks, "path").foreachPartition(run)
 
 
 def render_transcripts(pages: DataFrame, docs: DataFrame) -> DataFrame:

@@ -34,6 +34,18 @@ def test_listing(spark, tmp_path):
     assert [r["id"] for r in files.read_listing(spark, str(tmp_path), limit=1).collect()] == ["a"]
 
 
+def test_many_small_files_go_to_few_tasks(spark, tmp_path):
+    bodies = spark.range(300).select(F.format_string("%02x/%d.metadata", F.col("id") % 40, "id").alias("path"), F.lit('{"hash":"x"}').alias("text"))
+    sinks.write_notes(bodies.coalesce(1), str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = files.read_listing(spark, f"{tmp_path}/*")
+        assert rows.rdd.getNumPartitions() == 16 and sorted(int(r["id"]) for r in rows.collect()) == list(range(300))
+        assert files.read_notes(spark, str(tmp_path)).rdd.getNumPartitions() == 16
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_delimited(spark, tmp_path):
     (tmp_path / "x").write_text('===FILE===id1\n{"fileType":"pdf"}\n===FILE===\nid2\nnot json\n')
     docs = files.read_delimited_documents(spark, str(tmp_path / "x"))
