@@ -8,10 +8,12 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync_spark.functions.scalars import path_is_contained
+from docsync_spark.sources.scratch import text_parts
 
 
 #: Of Spark's splits of small files, those that one task reads at most.
@@ -133,9 +135,11 @@ def html_to_text(df: DataFrame, html_col: str, out: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch[kept].assign(**{out: [text_of(x if isinstance(x, str) else None) for x in batch[html_col]]})
+            for part in text_parts(batch, html_col):
+                made = pa.array([text_of(x) for x in part.column(html_col).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), made], names=[*kept, out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def epub_text(members: DataFrame) -> DataFrame:
