@@ -7,13 +7,14 @@ import hashlib
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
 from docsync_spark.functions import text as T
 from docsync_spark.operators.selection import merge_tags
-from docsync_spark.sources.scratch import written
+from docsync_spark.sources.scratch import text_parts, written
 
 MARKER = "docsync"
 SEGMENT = "pos int, block_id string, content string, written_hash string"
@@ -268,15 +269,27 @@ def blocks_of(text: str) -> list[tuple]:
 
 def extract_blocks(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """(*keys, pos, kind, text, level, parent_pos, owner, depth, attrs): flat block rows of each text."""
-    columns = [*keys, "pos", "kind", "text", "level", "parent_pos", "owner", "depth", "attrs"]
     schema = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys) + ", pos int, kind string, text string, level int, parent_pos int, owner int, depth int, attrs map<string,string>"
+    made = {"pos": pa.int32(), "kind": pa.string(), "text": pa.string(), "level": pa.int32(), "parent_pos": pa.int32(), "owner": pa.int32(), "depth": pa.int32(), "attrs": pa.map_(pa.string(), pa.string())}
+
+    def out(part: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        """The blocks of the texts at these places of part, each with its text's keys."""
+        fresh = zip(*rows, strict=True) if rows else [()] * len(made)
+        arrays = [pa.array([list(x.items()) for x in values] if name == "attrs" else values, kind) for values, (name, kind) in zip(fresh, made.items(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(at, pa.int64())) for k in keys), *arrays], names=[*keys, *made])
 
     def run(batches):
         for batch in batches:
-            rows = [(*k, *b) for *k, t in batch[[*keys, text_col]].itertuples(index=False, name=None) if isinstance(t, str) for b in blocks_of(t)]
-            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("pos", "level", "parent_pos", "owner", "depth")})
-
-    return pages.select(*keys, text_col).mapInPandas(run, schema)
+            for part in text_parts(batch, text_col):
+                at, rows = [], []
+                for i, text in enumerate(part.column(text_col).to_pylist()):
+                    if text is not None:
+                        found = blocks_of(text)
+                        at += [i] * len(found)
+                        rows += found
+                yield out(part, at, rows)
+
+    return pages.select(*keys, text_col).mapInArrow(run, schema)
 
 
 def line_kinds(text: Column) -> Column:

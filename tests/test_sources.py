@@ -4,9 +4,11 @@ import struct
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docsync_spark.operators import notes
 from docsync_spark.sources import files, sinks
 
 
@@ -102,3 +104,13 @@ def test_snapshots(spark, tmp_path):
 def test_html_to_text(spark):
     pages = spark.createDataFrame([(1, "<p> a <b>b</b></p>"), (2, None), (3, "")], "id long, html string").withColumn("text", F.lit(1))
     assert {r["id"]: r["text"] for r in files.html_to_text(pages, "html").collect()} == {1: "a\nb", 2: "", 3: ""}
+
+
+def test_python_holds_few_long_texts_at_once(spark, monkeypatch):
+    rows = pa.record_batch({"id": list(range(12)), "text": [*["<p>x</p>" * 40000] * 10, None, "<b>y</b>"]})
+    df = spark.createDataFrame([], "id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    for run in (files.html_to_text(df, "text", "out"), notes.extract_blocks(df, ("id",))):
+        out = list(run([rows]))
+        assert max(len(set(b.column("id").to_pylist())) for b in out) <= 4
+        assert {i for b in out for i in b.column("id").to_pylist()} >= {*range(10), 11}
