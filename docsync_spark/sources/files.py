@@ -3,31 +3,97 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync_spark.functions.scalars import path_is_contained
 from docsync_spark.sources.scratch import text_parts
+from docsync_spark.sources.sinks import file_system
 
-
-#: Of Spark's splits of small files, those that one task reads at most.
+#: Of Spark's splits of small files, those that one task read at most.
 SPLITS = 64
+#: Bytes of content, and names of files, that a Python task gives out at once.
+STEP_BYTES, STEP_NAMES = 1 << 20, 1 << 12
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder of that name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")) or name.endswith("._COPYING_")
+
+
+def _names(folder: str, recursive: bool) -> Iterator[str]:
+    """The files in a folder that are not hidden."""
+    store, at = file_system(folder)
+    for x in store.get_file_info(fs.FileSelector(at, recursive=recursive)):
+        below = x.path[len(at) :].strip("/")
+        if x.type == fs.FileType.File and not any(map(_hidden, below.split("/"))):
+            yield f"{folder}/{below}"
+
+
+def _listed(batches: Iterator[pa.RecordBatch], recursive: bool) -> Iterator[pa.RecordBatch]:
+    """(path) of all files of rows (path, folder)."""
+    for batch in batches:
+        for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+            names = _names(path, recursive) if folder else iter([] if _hidden(path.rpartition("/")[2]) else [path])
+            while some := list(itertools.islice(names, STEP_NAMES)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["path"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) of rows (path)."""
+    paths, contents, held = [], [], 0
+    given = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            store, at = file_system(path)
+            with store.open_input_stream(at, compression=None) as f:
+                contents.append(f.read())
+            paths.append(path)
+            held += len(contents[-1])
+            if held >= STEP_BYTES or len(paths) == STEP_NAMES:
+                yield given()
+                paths, contents, held = [], [], 0
+    if paths:
+        yield given()
+
+
+def _whole_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, content) of each file in the folders that path, a pattern perhaps, stands for, and of the files that it stands for.
+
+    Tasks list the folders and read the files by Arrow's file systems, as write_notes writes them, so that the driver knows only what the path itself stands
+    for. In stores that Arrow can't open Spark's reader finds the files; its driver keeps a record of each.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [(x.getPath().toString(), x.isDirectory()) for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    try:
+        store, first = file_system(found[0][0])
+        known = store.get_file_info(first).type != fs.FileType.NotFound
+    except (IndexError, OSError, pa.ArrowException):
+        known = False
+    if not known:
+        return _by_spark(spark, path, recursive, tasks)
+    roots = spark.createDataFrame(found, "path string, folder boolean").repartition(min(len(found), tasks))
+    names = roots.mapInArrow(lambda b: _listed(b, recursive), "path string").repartition(tasks, "path")
+    return names.mapInArrow(_read, "path string, content binary")
 
 
-def _whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(path, content, uri) of each file, many files to a task: opening one counts as 4 MB in Spark's splits, so that small files come a few to each.
+def _by_spark(spark: SparkSession, path: str, recursive: bool, tasks: int) -> DataFrame:
+    """The same by Spark's reader, many files to a task: opening one counts as 4 MB in Spark's splits, so that small files come a few to each.
 
     As binary files, since the text source copies Hadoop's configuration for every file that it opens.
     """
-    raw = spark.read.format("binaryFile").options(**options).load(path).select("path", "content", F.col("_metadata.file_path").alias("uri"))
-    splits = raw.rdd.getNumPartitions()
-    return raw.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-splits // SPLITS)))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
+    return raw.coalesce(max(tasks, -(-raw.rdd.getNumPartitions() // SPLITS)))
 
 
 def _stem(path: Column) -> Column:
@@ -40,7 +106,7 @@ def read_blob_index(spark: SparkSession, path: str) -> DataFrame:
     The first line of a file is its schema version; lines of fewer than 5 parts are passed over; a
     size that is no whole number makes the whole document void. doc_id is the file's name.
     """
-    lines = _whole_files(spark, path).select(_stem(F.col("uri")).alias("doc_id"), F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("n", "line"))
+    lines = _whole_files(spark, path).select(_stem(F.col("path")).alias("doc_id"), F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("n", "line"))
     parts = F.split("line", ":")
     rows = lines.filter("n > 0").select("doc_id", parts.alias("p")).filter(F.size("p") >= 5)
     rows = rows.select("doc_id", F.col("p")[0].alias("hash"), F.col("p")[1].alias("type"), F.col("p")[2].alias("id"), F.col("p")[3].try_cast("int").alias("subfiles"), F.col("p")[4].try_cast("long").alias("size"))
@@ -53,7 +119,7 @@ def read_listing(spark: SparkSession, path: str, flavor: str = "cloud", limit: i
     A file that is no JSON object costs its row alone; deleted items are dropped. 'ssh' takes lastModified,
     else the id, as hash; 'cloud' the JSON's own. limit takes the first accepted items by id.
     """
-    raw = _whole_files(spark, path).select(_stem(F.col("uri")).alias("file_id"), F.try_parse_json(F.col("content").cast("string")).alias("j"))
+    raw = _whole_files(spark, path).select(_stem(F.col("path")).alias("file_id"), F.try_parse_json(F.col("content").cast("string")).alias("j"))
     get = lambda key, kind="string": F.try_variant_get("j", f"$.{key}", kind)
     millis = get("lastModified").try_cast("long")
     id_ = F.coalesce(get("id"), F.col("file_id"))
@@ -100,7 +166,7 @@ def explode_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] |
 
 def read_notes(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """(path, text, state): 'text' or 'unreadable' for what exists, 'absent' for wanted paths that don't."""
-    files = _whole_files(spark, path, recursiveFileLookup=True)
+    files = _whole_files(spark, path, recursive=True)
     fine = F.is_valid_utf8(F.col("content").cast("string"))
     rows = files.select("path", F.when(fine, F.col("content").cast("string")).alias("text"), F.when(fine, "text").otherwise("unreadable").alias("state"))
     if wanted is None:

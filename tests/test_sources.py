@@ -114,3 +114,21 @@ def test_python_holds_few_long_texts_at_once(spark, monkeypatch):
         out = list(run([rows]))
         assert max(len(set(b.column("id").to_pylist())) for b in out) <= 4
         assert {i for b in out for i in b.column("id").to_pylist()} >= {*range(10), 11}
+
+
+def test_the_driver_keeps_no_record_of_files(spark, tmp_path):
+    """Tasks list and read the folders: Spark's index of files, which its driver holds, is not made for them."""
+    bodies = spark.range(50).select(F.format_string("%02x/a %d.metadata", F.col("id") % 4, "id").alias("path"), F.lit('{"hash":"x"}').alias("text"))
+    sinks.write_notes(bodies, str(tmp_path))
+    (tmp_path / "01" / "_hidden.metadata").write_text("{}")
+    (tmp_path / "01" / "sub").mkdir()
+    (tmp_path / "01" / "sub" / "deep.metadata").write_text("{}")
+    (tmp_path / "01" / "b.metadata.gz").write_text('{"hash":"y"}')
+    rows = files.read_listing(spark, f"{tmp_path}/*")
+    assert rows.inputFiles() == [] and sorted(r["id"] for r in rows.collect()) == sorted([*(f"a {i}" for i in range(50)), "b.metadata"])
+    for path, recursive in ((f"{tmp_path}/*", False), (f"{tmp_path}/*/*", False), (f"{tmp_path}/*/a*", False), (str(tmp_path), True)):
+        got, want = (sorted(map(tuple, found.collect())) for found in (files._whole_files(spark, path, recursive), files._by_spark(spark, path, recursive, 4)))
+        assert got == want and len(got) >= 50
+    assert len(list(files._read(iter([pa.record_batch({"path": [f"{tmp_path}/01/b.metadata.gz"] * 5000})])))) == 2
+    (tmp_path / "none").mkdir()
+    assert files.read_listing(spark, f"{tmp_path}/none").count() == 0
