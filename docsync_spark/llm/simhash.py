@@ -246,10 +246,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, fp, component_id) of every row of docs.
+    """(id, *keep, fp, component_id, root) of every row of docs.
 
     component_id is the smallest id that links of at most radius differing bits reach, the row's
-    own included. Null and blank texts have fingerprint zero and link like any other. Rows with
+    own included; root names the component, also where ids repeat. Null and blank texts have fingerprint zero and link like any other. Rows with
     a null id take part; a component of such rows alone has a null component_id. Repeated rows
     come back as often as they came. An empty table gives an empty result.
     """
@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.select("fp"), radius)).toDF("fp", "root")
     rooted = materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select(id_col, *keep, "fp", "component_id")
+    named = materialize(rooted.join(least, "root").select("fp", "component_id", "root"))
+    return marked.join(named, "fp").select(id_col, *keep, "fp", "component_id", "root")
 
 
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,16 +271,15 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
     """The rows of docs that stay: of each component, as find has them, the one with the smallest id.
 
-    Of several rows with that id, which one stays is settled by their other columns' hash.
-    Components of null ids alone keep one row.
+    Of several rows of a component with that id, which one stays is settled by their other columns' hash; rows of
+    that id in other components are documents of their own. Components of null ids alone keep one row.
     """
     keys = [unused(docs, "row1"), unused(docs, "row2")]
     keyed = docs.withColumns({k: F.xxhash64(F.lit(k), *docs.columns) for k in keys})
     own = keyed.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(keys[0]).alias("key0"), F.col(keys[1]).alias("key1"))
     found = find(own, "id", "text", keep=("key0", "key1"))
     first = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
-    group = F.when(F.col("id").isNull(), F.col("fp"))
-    chosen = first.groupBy("id", group.alias("fp")).agg(F.min(F.struct("key0", "key1")).alias("row")).select("row.*").distinct()
+    chosen = first.groupBy("root").agg(F.min(F.struct("key0", "key1")).alias("row")).select("row.*").distinct()
     chosen = materialize(chosen.toDF(*keys))
     kept = keyed.join(F.broadcast(chosen) if chosen.count() <= FEW else chosen, keys, "left_semi")
     # only rows that come more than once are brought together; all others stay where they are

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,8 @@ def features(word: str) -> list[int]:
 def fit(texts: list[str], labels: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """(bias, weights) that maximise the likelihood of document labels under noisy-or; counts: for how many documents each stands."""
     number: dict[str, int] = {}
-    words, sentence, owner = [], [], []
+    # 8 bytes each: as Python's numbers those of millions of words would take what a task should not hold, nor its worker keep afterwards
+    words, sentence, owner = array("q"), array("q"), array("q")
     for d, text in enumerate(texts):
         fresh = True
         for t in TOKEN.findall(text.lower()):
@@ -60,9 +62,12 @@ def fit(texts: list[str], labels: np.ndarray, counts: np.ndarray | None = None)
     weights, bias = np.zeros(FEATURES), BIAS
     if not owner or not labels.any():
         return bias, weights
-    words, sentence, owner = np.array(words), np.array(sentence), np.array(owner)
-    pairs = [(i, f) for w, i in number.items() for f in features(w)]
-    at, feature = np.array(pairs).T
+    at, feature = array("q"), array("q")
+    for w, i in number.items():
+        found = features(w)
+        at.extend([i] * len(found))
+        feature.extend(found)
+    words, sentence, owner, at, feature = (np.frombuffer(x, np.int64) for x in (words, sentence, owner, at, feature))
     y = labels.astype(float)
     share = (np.ones(len(texts)) if counts is None else counts / counts.mean()) / len(texts)
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from docsync_spark.llm import simhash
+from docsync_spark.llm import shingles, simhash
 
 
 def brute_fingerprint(text):
@@ -124,3 +124,13 @@ def test_one_of_each_component_keeps_the_smallest_id_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(map(tuple, simhash.one_of_each_component(docs).collect()), key=repr)
     assert got == sorted([(3, text, "b"), (9, "other words here now", None), (None, "lonely words of no id", "c")], key=repr)
+
+
+def test_components_with_the_same_smallest_id_keep_a_row_each(spark):
+    """Rows of one id that are nothing alike are different documents."""
+    texts = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(3)]
+    rows = [(3, texts[0], "a"), (3, texts[1], "b"), (3, texts[1] + " more", "c"), (4, texts[0] + " more", "d"), (5, texts[2], "e"), (3, texts[1], "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for find in (simhash.near_duplicates, shingles.similar):
+        got = [tuple(r) for r in simhash.one_of_each_component(docs, find=lambda d, *a, find=find, **k: find(d, *a, **k, radius=6)).collect()]
+        assert sorted((d, t[:2]) for d, t, _ in got) == [(3, "0w"), (3, "1w"), (5, "2w")] and len({r[2] for r in got} & {"b", "c"}) == 1

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -77,3 +78,15 @@ def test_one_id_in_many_rows_is_learnt_from_once(spark):
     once = spark.createDataFrame(docs, "doc_id long, text string")
     a, b = (toxicity.train(x, marks, fit_rows=20).first() for x in (many, once))
     assert (a["bias"], a["at"], a["weights"]) == (b["bias"], b["at"], b["weights"])  # the smallest text is the first one
+
+
+def test_fit_holds_few_bytes_a_word(monkeypatch):
+    """Not Python's numbers: of millions of words these would stay in a worker that later stages use again."""
+    monkeypatch.setattr(toxicity, "FEATURES", 1 << 10)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    texts = [" ".join(f"word{(i * j) % 997}" for j in range(400)) for i in range(1, 601)]
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(600) % 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45 * 600 * 400
