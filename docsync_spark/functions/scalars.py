@@ -1,4 +1,4 @@
-"""Scalar rules as Column expressions. All are native; none needs Python on the executors."""
+"""Scalar rules as Column expressions. All are native; only redact_all, which takes whole tables, needs Python on the executors."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsync_spark.functions import substrings
+
 SOURCES = (("notebook", ""), ("pdf", "pdf"), ("epub", "epub"))
 #: Characters that file names can't hold.
 UNSAFE = r'[/\\:*?"<>|#^\[\]]'
@@ -269,20 +271,21 @@ def redact(text: Column, secrets: Iterable[str]) -> Column:
 def redact_all(df: DataFrame, text_col: str, secrets: Iterable[str] | DataFrame) -> DataFrame:
     """df with the text redacted as redact() does it, for any number of secrets, a list or a table of one column: the plan holds no secret.
 
-    A text's runs of 8 code points meet the secrets' first ones by a hash join, whose work does not grow with the number of secrets; only secrets that may be in
-    the text are put through, in their order. The secrets are broadcast. A secret that could meet a mask, since an end of one is an end of the other or one is in the other,
-    may appear after a replacement only; such ones, few or none, are tried on every text.
+    Tasks look a text's places up in a table of the secrets' bits, whose size does not grow with the secrets; what seems to occur meets the secrets by a join, and
+    only secrets that occur in a text are put through, in their order. A secret that could meet a mask, since an end of one is an end of the other or one is in
+    the other, may appear after a replacement only; such ones, few or none, are broadcast and tried on every text.
     """
     if not isinstance(secrets, DataFrame):
         secrets = df.sparkSession.createDataFrame([(s,) for s in secrets], "s string")
     s, text = F.col("s"), F.col(text_col)
     ends = [(F.substring(s, 1, k) == MASK[-k:]) | (F.right(s, F.lit(k)) == MASK[:k]) for k in range(1, len(MASK) + 1)]
     meets = reduce(lambda a, b: a | b, ends, F.contains(s, F.lit(MASK)) | F.contains(F.lit(MASK), s))
-    ordered = secrets.toDF("s").filter(F.length("s") >= 8).distinct().select(F.struct((-F.length("s")).alias("n"), "s").alias("__secret"), F.substring("s", 1, 8).alias("__begin"), meets.alias("__odd"))
+    ordered = secrets.toDF("s").filter(F.length("s") >= 8).distinct().select(F.struct((-F.length("s")).alias("n"), "s").alias("__secret"), meets.alias("__odd"), *substrings.names(s))
     odd = ordered.filter("__odd").agg(F.collect_list("__secret").alias("__always"))
     keyed = df.withColumn("__key", F.sha2(text, 256))
-    begins = keyed.select("__key", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{8}))"), F.lit(1)))).alias("__begin"))
-    found = begins.join(F.broadcast(ordered.filter("not __odd")), "__begin").groupBy("__key").agg(F.collect_set("__secret").alias("__tried"))
+    plain = ordered.filter("not __odd")
+    seen = substrings.occurring(keyed.filter(text.isNotNull()).select("__key", text.alias("text")), plain.select("__secret.s"))
+    found = seen.join(plain, list(substrings.NAMES)).groupBy("__key").agg(F.collect_set("__secret").alias("__tried"))
     tried = F.array_sort(F.concat("__always", F.coalesce("__tried", F.array().cast(found.schema["__tried"].dataType))))
     hidden = F.aggregate(tried, text, lambda t, x: F.replace(t, x["s"], F.lit(MASK)))
     out = keyed.join(found, "__key", "left").join(F.broadcast(odd), how="cross")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsync_spark.functions import scalars as S
+from docsync_spark.functions import substrings
 from docsync_spark.operators import notes, state
 from docsync_spark.sources import tables
 
@@ -121,3 +122,14 @@ def test_segments_in_sql(spark):
     spark.createDataFrame([(1, body), (2, None), (3, "")], "id int, body string").createOrReplaceTempView("some_notes")
     got = spark.sql("SELECT id, s.* FROM some_notes, LATERAL note_segments(body) s ORDER BY id, pos").collect()
     assert [tuple(r) for r in got] == [(1, 0, None, "mine", None), (1, 1, "page-1", "text", "abcdef01"), (1, 2, None, "end", None), (3, 0, None, "", None)]
+
+
+def test_only_what_occurs_of_many_secrets_becomes_rows(spark):
+    """Not every place of a text: 100,000 places hold three secrets, and strings like them that are none."""
+    secrets = spark.range(5000).selectExpr("concat('secret-é', repeat('x', int(id % 7)), lpad(string(id), 5, '0')) as s")
+    text = "word secret-é " * 7500 + "secret-é00000 secret-éx00001secret-éxx00002 secret-éxx00003 secret-é0000"
+    texts = spark.createDataFrame([("k", text), ("n", None), ("o", "short"), ("p", "secret-é"), ("q", "00000 secret-é00000")], "`__key` string, text string")
+    seen = sorted((r["__key"], r["__bytes"]) for r in substrings.occurring(texts, secrets).collect())
+    assert set(seen) >= {("k", 14), ("k", 15), ("k", 16), ("q", 14)} and len(seen) <= 6
+    want = spark.range(1).select(S.redact(F.lit(text), [r["s"] for r in secrets.limit(3).collect()]))
+    assert S.redact_all(texts.filter("__key = 'k'"), "text", secrets).first()["text"] == want.first()[0]
